@@ -25,6 +25,7 @@ from strandlake.llm import common
 
 MARK = "▁"
 NEVER = float("-inf")
+START = -1
 #: Words, and parts of words, kept in a worker's tables before they start anew.
 KEPT_WORDS = 300_000
 
@@ -65,8 +66,9 @@ class PieceCodec:
         runs = {len(p): i for p, (i, _) in self.pieces.items() if not p.strip(MARK)}
         self.longest_run = max(runs)
         self.runs = runs
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.after: list[dict[int, bool]] = [{} for _ in range(1 + max(self.text_of))]
+        self.length = [len(self.text_of.get(i, "")) for i in range(1 + max(self.text_of))]
+        self.alphabet = {c for p in self.pieces for c in p}
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
         self.digits = [str(i) for i in range(1 + max(*self.text_of, *self.byte_ids))]
@@ -91,90 +93,62 @@ class PieceCodec:
                 scores[at] = score(parts[at] + parts[at + 1], NEVER)
         return parts
 
-    def _pair_fits(self, a: int, b: int) -> bool:
-        x, y = self.text_of[a], self.text_of[b]
-        out = self.fits[a, b] = self._merged(x + y) == [x, y]
-        return out
-
-    def _stands(self, a: int) -> bool:
-        x = self.text_of[a]
-        out = self.whole[a] = self._merged(x) == [x]
+    def _test(self, a: int, b: int) -> bool:
+        """Whether piece b can follow piece a; a is START where b comes first."""
+        x, y = "" if a == START else self.text_of[a], self.text_of[b]
+        out = self.after[b][a] = self._merged(x + y) == ([x, y] if x else [y])
         return out
 
     # --- encoding
     def _segment(self, text: str) -> list[int]:
-        """Ids of a string without runs of marks; a character that is no piece gives -1 - code point."""
-        n = len(text)
-        last: list[int] = [0] * n
-        size: list[int] = [0] * n
-        fits, whole = self.fits, self.whole
+        """Ids of a string of the pieces' characters."""
+        last: list[int | None] = [None] * (len(text) + 1)
+        last[0] = START
+        after = self.after
         for end, (i, k) in self.automaton.iter(text):
-            if size[end]:
-                continue
-            before = end - k
-            if before < 0 or (size[before] and last[before] < 0):
-                ok = whole.get(i)
-                if ok is None:
-                    ok = self._stands(i)
-            elif not size[before]:  # a character that is no piece
-                last[before], size[before] = -1 - ord(text[before]), 1
-                ok = whole.get(i)
-                if ok is None:
-                    ok = self._stands(i)
-            else:
-                a = last[before]
-                ok = fits.get((a, i))
-                if ok is None:
-                    ok = self._pair_fits(a, i)
-            if ok:
-                last[end], size[end] = i, k
-        out = []
-        end = n - 1
-        while end >= 0:
-            if not size[end]:
-                last[end], size[end] = -1 - ord(text[end]), 1
-            out.append(last[end])
-            end -= size[end]
-        return out[::-1]
-
-    def _run(self, n: int) -> list[int]:
-        out = []
-        while n > 0:
-            k = min(n, self.longest_run)
-            while k not in self.runs:
-                k -= 1
-            out.append(self.runs[k])
-            n -= k
+            if last[end + 1] is None:
+                a = last[end + 1 - k]
+                ok = after[i].get(a)
+                if ok or ok is None and self._test(a, i):
+                    last[end + 1] = i
+        out, end, length = [], len(text), self.length
+        while end:
+            i = last[end]
+            out.append(i)
+            end -= length[i]
+        out.reverse()
         return out
 
     def _part(self, part: str) -> tuple[int, str, bool]:
         """(number of ids, ids as text, whether they decode to the part) of a string across whose ends no piece reaches."""
-        found = self._segment(part)
-        if min(found) >= 0:
+        if self.alphabet.issuperset(part):
+            found = self._segment(part)
             same = "".join([self.text_of[i] for i in found]) == part
-        else:
-            found = [j for i in found for j in ((i,) if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8")])]
-            same = self.decode(found, strip=False) == part.replace(MARK, " ")
-        out = len(found), ",".join([self.digits[i] for i in found]), same
-        if len(part) <= 64:
-            if len(self.parts) >= KEPT_WORDS:
-                self.parts.clear()
-            self.parts[part] = out
-        return out
+        else:  # one character that is in no piece
+            found = [self.byte_ids[b] for b in part.encode("utf-8")]
+            same = self.decode(found, strip=False) == part
+        return len(found), ",".join([self.digits[i] for i in found]), same
 
     def word(self, word: str) -> tuple[int, str, bool]:
         """The same of a word with the mark before it."""
         text = MARK + word
-        bigrams, parts = self.bigrams, self.parts
-        cuts = [k for k in range(2, len(text)) if text[k - 1 : k + 1] not in bigrams]  # no piece reaches across these
-        if text[:2] not in bigrams:
-            cuts.insert(0, 1)
+        cuts = None
+        if not (word.isalpha() and self.alphabet.issuperset(word)):
+            bigrams = self.bigrams
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in bigrams]  # no piece reaches across these
         if cuts:
-            start, found = 0, []
+            start, found, parts = 0, [], self.parts
             for cut in [*cuts, len(text)]:
                 part = text[start:cut]
-                found.append(parts.get(part) or self._part(part))
                 start = cut
+                out = parts.get(part)
+                if out is None:
+                    out = self._part(part)
+                    if len(part) <= 64:
+                        if len(parts) >= KEPT_WORDS:
+                            parts.clear()
+                        parts[part] = out
+                found.append(out)
             out = sum([f[0] for f in found]), ",".join([f[1] for f in found]), all([f[2] for f in found])
         else:
             out = self._part(text)

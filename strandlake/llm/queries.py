@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, source_mix
+from strandlake.llm import exact_dedup, piece_codec, source_mix
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_piece_codec": piece_codec.op6_piece_codec,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
