@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, piece_codec, source_mix
+from strandlake.llm import exact_dedup, language_spans, piece_codec, source_mix
 
 QUERIES = {
+    "op2_language_spans": language_spans.op2_language_spans,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_piece_codec": piece_codec.op6_piece_codec,
     "op10_source_mix": source_mix.op10_source_mix,
