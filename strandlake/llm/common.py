@@ -81,3 +81,23 @@ def bloom(keys: DataFrame, key: str, n_keys: int, most_slots: int = 1 << 22) ->
     slots = np.unpackbits(held.view(np.uint8), bitorder="little").tobytes()
     slot = F.expr(f"cast(shiftrightunsigned({key}, {64 - log2}) as int)")
     return F.substring(F.lit(bytearray(slots)), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """rows left-joined with table, which has one row a key (nulls equal); weight: how many of the rows have the key.
+
+    Keys that more than 1/share of all rows have are at most share in number; these are looked up in a broadcast
+    table, all others in a shuffled join, so that no key gathers many rows in one task.
+    """
+    most = max(1000, total // share)
+    values = [c for c in table.columns if c not in on]
+    hot = table.where(F.col(weight) > most).select(*[F.col(c).alias(f"__hot_{c}") for c in table.columns])
+    cold = table.where(F.col(weight) <= most).select(*[F.col(c).alias(f"__cold_{c}") for c in table.columns])
+    met = rows.join(F.broadcast(hot), [rows[c].eqNullSafe(hot[f"__hot_{c}"]) for c in on], "left")
+    # rows answered already get a number of their own in place of the key's part, which matches nothing
+    done = F.col(f"__hot_{weight}").isNotNull()
+    met = met.withColumn("__part", F.when(done, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")))
+    cold = cold.withColumn("__cold_part", F.lit(-1).cast("long"))
+    met = met.join(cold, [F.col("__part") == F.col("__cold_part"), *[F.col(c).eqNullSafe(F.col(f"__cold_{c}")) for c in on]], "left")
+    out = [F.when(done, F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c) for c in values]
+    return met.select(*[F.col(c) for c in rows.columns], *out)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, language_spans, piece_codec, source_mix
+from strandlake.llm import exact_dedup, language_spans, piece_codec, secret_scan, source_mix, url_templates
 
 QUERIES = {
     "op2_language_spans": language_spans.op2_language_spans,
+    "op4_url_templates": url_templates.op4_url_templates,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_piece_codec": piece_codec.op6_piece_codec,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
