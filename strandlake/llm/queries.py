@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, language_spans, piece_codec, secret_scan, source_mix, url_templates
+from collections.abc import Callable
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from strandlake.llm import exact_dedup, language_spans, piece_codec, secret_scan, source_mix, url_templates, warc_index
+from strandlake.shipping import ship
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES = {
     "op2_language_spans": language_spans.op2_language_spans,
     "op4_url_templates": url_templates.op4_url_templates,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op9_warc_index": warc_index.op9_warc_index,
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
+QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
+
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op9_warc_index": warc_index.ORACLE,
     "op10_source_mix": source_mix.ORACLE,
 }
