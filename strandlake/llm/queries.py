@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import exact_dedup, language_spans, piece_codec, secret_scan, simhash, source_mix, url_templates, warc_index
+from strandlake.llm import exact_dedup, language_spans, piece_codec, quality, secret_scan, simhash, source_mix, url_templates, warc_index
 from strandlake.shipping import ship
 
 
@@ -19,6 +19,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 _QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_language_spans": language_spans.op2_language_spans,
     "op3_simhash": simhash.op3_simhash,
     "op4_url_templates": url_templates.op4_url_templates,
