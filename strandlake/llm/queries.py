@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import exact_dedup, language_spans, piece_codec, quality, secret_scan, simhash, source_mix, url_templates, warc_index
+from strandlake.llm import exact_dedup, language_spans, ngram_join, piece_codec, quality, secret_scan, simhash, source_mix, url_templates, warc_index
 from strandlake.shipping import ship
 
 
@@ -26,6 +26,7 @@ _QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_warc_index": warc_index.op9_warc_index,
     "op10_source_mix": source_mix.op10_source_mix,
 }
