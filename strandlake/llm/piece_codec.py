@@ -196,7 +196,7 @@ class PieceCodec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self._words(text) for i in ids.split(",")] if text else []
+        return list(map(int, ",".join([ids for _, ids, _ in self._words(text)]).split(","))) if text else []
 
     def decode(self, ids: list[int], strip: bool = True) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD each, the mark that encoding puts first is taken off."""
@@ -294,6 +294,22 @@ def digest(spark: SparkSession, path: str | None = None):
     return digests
 
 
+def tokenised(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """docs, all columns, with ids (array<int>), n_tokens, ids_sha256 and decoded_sha256 of the text, in one pass.
+
+    Null text counts as empty; existing columns of these names are replaced.
+    """
+    shared = _vocabulary(docs.sparkSession, path)
+
+    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        codec = _codec(shared)
+        return pd.DataFrame([(codec.encode(t or ""), *codec.digests(t or "")) for t in texts], columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = docs.withColumn("__tokens", run(F.col(text_col)))
+    return out.withColumns({c: F.col(f"__tokens.{c}") for c in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")}).drop("__tokens")
+
+
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256. Null text counts as empty; empty input gives no rows."""
     out: Column = digest(docs.sparkSession, path)(F.col(text_col))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from strandlake.llm import exact_dedup, language_spans, ngram_join, piece_codec, quality, secret_scan, simhash, source_mix, url_templates, warc_index
 from strandlake.shipping import ship
 
@@ -31,6 +32,7 @@ _QUERIES = {
     "op10_source_mix": source_mix.op10_source_mix,
 }
 
+_QUERIES["pipeline"] = corpus_pipeline.run
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 
 ORACLES = {
@@ -38,3 +40,5 @@ ORACLES = {
     "op9_warc_index": warc_index.ORACLE,
     "op10_source_mix": source_mix.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
