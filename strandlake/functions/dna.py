@@ -15,6 +15,11 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGT", "TGCA")
 
 
+def upper(seq: Column) -> Column:
+    """a, c, g and t in upper case; nothing else changes, so lengths stay (upper() makes two letters of some)."""
+    return F.translate(seq, "acgt", "ACGT")
+
+
 def is_dna(seq: Column) -> Column:
     """Whether a string consists of A, C, G and T in either case (true for an empty one)."""
     return ~seq.rlike("[^ACGTacgt]")
@@ -22,7 +27,7 @@ def is_dna(seq: Column) -> Column:
 
 def char_idx(c: Column) -> Column:
     """0..3 for A, C, G, T in either case, null for any other character."""
-    i = F.instr(F.lit(ALPHABET), F.upper(c))
+    i = F.instr(F.lit(ALPHABET), upper(c))
     return F.when((F.length(c) == 1) & (i > 0), i - 1)
 
 

@@ -26,7 +26,7 @@ def against(index: KmerIndex, kmers: DataFrame) -> DataFrame:
 def against_sequences(index: KmerIndex, seqs: DataFrame, add_rev_comp: bool = False) -> DataFrame:
     if add_rev_comp:
         seqs = sequences.with_reverse_complements(seqs)
-    return against(index, kmers_of(seqs.select("seq_id", F.upper("seq").alias("seq")), index.k))
+    return against(index, kmers_of(seqs.select("seq_id", dna.upper(F.col("seq")).alias("seq")), index.k))
 
 
 def against_set_operation(result: KmerIndex, op: str, a: DataFrame, b: DataFrame) -> DataFrame:

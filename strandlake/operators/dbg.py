@@ -141,7 +141,7 @@ def orientations(unitigs: DataFrame, k: int, rounds: int = 12, id_col: str = "un
     the ones with the largest hash among the sequences they touch turn at once. The result never has more sources than
     all Forward has.
     """
-    ends = unitigs.select(F.col(id_col).alias("id"), F.upper("seq").alias("seq"))
+    ends = unitigs.select(F.col(id_col).alias("id"), dna.upper(F.col("seq")).alias("seq"))
     rc = dna.reverse_complement(F.col("seq"))
     ends = store.written(ends.select("id", F.left("seq", F.lit(k - 1)).alias("fl"), F.right("seq", F.lit(k - 1)).alias("fr"), F.left(rc, F.lit(k - 1)).alias("rl"), F.right(rc, F.lit(k - 1)).alias("rr")), "ends")
     state = ends.select("id", F.lit(False).alias("turned"))

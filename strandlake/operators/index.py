@@ -96,7 +96,7 @@ class KmerIndex:
         """From sequences (seq). Any k from 1; the result doesn't depend on how the input is partitioned."""
         if k < 1:
             raise ValueError("k must be at least 1")
-        seqs = seqs.select("seq_id", F.upper("seq").alias("seq"))
+        seqs = seqs.select("seq_id", dna.upper(F.col("seq")).alias("seq"))
         if add_rev_comp:
             seqs = sequences.with_reverse_complements(seqs).select("seq_id", "seq")
         runs = sequences.dna_runs(seqs)

@@ -34,7 +34,7 @@ def bounds(index: KmerIndex, strings: DataFrame, col: str = "str") -> DataFrame:
 
 def contexts(queries: DataFrame, k: int) -> DataFrame:
     """query_id, pos, context for every character of the queries (query_id, seq)."""
-    padded = queries.select("query_id", F.concat(F.lit(dna.PAD * (k - 1)), F.upper("seq")).alias("seq"))
+    padded = queries.select("query_id", F.concat(F.lit(dna.PAD * (k - 1)), dna.upper(F.col("seq"))).alias("seq"))
     cells = dna.windows(padded, "seq", k, "w", ["query_id"], start="pos")
     return cells.select("query_id", "pos", F.regexp_extract("w", r"([ACGT]*)\z", 1).alias("context"))
 

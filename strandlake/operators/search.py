@@ -25,7 +25,7 @@ def search(index: KmerIndex, patterns: DataFrame, col: str = "pattern") -> DataF
 
     The empty pattern has all nodes. A pattern longer than k has no range here.
     """
-    rows = patterns.withColumn("__p", F.upper(col))
+    rows = patterns.withColumn("__p", dna.upper(F.col(col)))
     present = [r[0] for r in rows.select(F.length("__p").alias("l")).where(f"l <= {index.k}").distinct().collect()]  # k + 1 at most
     found = intervals(index, present)
     return rows.join(found.select(F.col("str").alias("__p"), "lo", "hi"), "__p", "left").drop("__p")
@@ -71,7 +71,7 @@ def padded_spectrum(index: KmerIndex, dummies: bool = True) -> DataFrame:
 
 def query_windows(queries: DataFrame, k: int) -> DataFrame:
     """query_id, pos, kmer: all windows of each query, whatever characters they hold."""
-    return dna.windows(queries.select("query_id", F.upper("seq").alias("seq")), "seq", k, "kmer", ["query_id"], start="pos")
+    return dna.windows(queries.select("query_id", dna.upper(F.col("seq")).alias("seq")), "seq", k, "kmer", ["query_id"], start="pos")
 
 
 def lookup(index: KmerIndex, queries: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def membership(kmers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Distinct windows are counted first, so the set is met once by each, and a frequent window is one row.
     """
-    mine = dna.windows(queries.select("query_id", F.upper("seq").alias("seq")), "seq", k, "kmer", ["query_id"]).groupBy("query_id", "kmer").agg(F.count("*").alias("n"))
+    mine = dna.windows(queries.select("query_id", dna.upper(F.col("seq")).alias("seq")), "seq", k, "kmer", ["query_id"]).groupBy("query_id", "kmer").agg(F.count("*").alias("n"))
     hit = mine.join(kmers.select("kmer", F.lit(True).alias("hit")), "kmer", "left")
     return hit.groupBy("query_id").agg(F.sum("n").alias("n_kmers"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("n_found"))
 

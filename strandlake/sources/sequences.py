@@ -11,7 +11,7 @@ from strandlake.plans import rank
 
 def from_values(spark: SparkSession, seqs: list[str | bytes]) -> DataFrame:
     rows = [(i, s.decode() if isinstance(s, bytes) else s) for i, s in enumerate(seqs)]
-    return spark.createDataFrame(rows, "seq_id long, seq string").withColumn("seq", F.upper("seq"))
+    return spark.createDataFrame(rows, "seq_id long, seq string").withColumn("seq", dna.upper(F.col("seq")))
 
 
 def from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,7 +26,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     records = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), "value")
     body = F.regexp_replace("value", "^>", "")
     head = F.regexp_replace(F.regexp_extract(body, "^([^\n]*)", 1), "\r$", "")
-    seq = F.upper(F.regexp_replace(F.regexp_replace(body, "^[^\n]*\n?", ""), "[\r\n ]", ""))
+    seq = dna.upper(F.regexp_replace(F.regexp_replace(body, "^[^\n]*\n?", ""), "[\r\n ]", ""))
     rows = records.where(F.length(F.trim("value")) > 0).select("file", "at", "m", head.alias("header"), seq.alias("seq"))
     key = F.concat_ws(":", F.col("file"), F.lpad(F.col("at").cast("string"), 20, "0"), F.lpad(F.col("m").cast("string"), 20, "0"))
     return rank.ranked(rows.withColumn("key", key), "key", "seq_id").select("seq_id", "header", "seq")
@@ -40,7 +40,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else paths
     whole = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
     records = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 4) / 4).cast("int")), lambda i: F.struct(i.alias("i"), F.get("lines", i * 4).alias("h"), F.get("lines", i * 4 + 1).alias("s"), F.get("lines", i * 4 + 3).alias("q")))
-    rows = whole.where(F.size("lines") >= 4).select("file", F.explode(records).alias("r")).select(F.concat_ws(":", "file", F.lpad(F.col("r.i").cast("string"), 12, "0")).alias("key"), F.expr("substring(r.h, 2)").alias("header"), F.upper("r.s").alias("seq"), F.col("r.q").alias("quality"))
+    rows = whole.where(F.size("lines") >= 4).select("file", F.explode(records).alias("r")).select(F.concat_ws(":", "file", F.lpad(F.col("r.i").cast("string"), 12, "0")).alias("key"), F.expr("substring(r.h, 2)").alias("header"), dna.upper(F.col("r.s")).alias("seq"), F.col("r.q").alias("quality"))
     return rank.ranked(rows, "key", "seq_id").select("seq_id", "header", "seq", "quality")
 
 
