@@ -4,8 +4,9 @@ Rare-first prefix filtering. Of two sets with a Jaccard index of at least t, the
 any order common to all, share one. The order is by how often an n-gram occurs, rarest first; frequencies are estimated
 from a table of hashed counts over the whole corpus, whose size is fixed (an estimate costs candidates, never links, as
 the order is the same for all documents). Prefix n-grams become postings (n-gram, document, set size, position).
-Candidates share a posting and pass the length filter and the positional filter; a suffix filter (the sets' numbers of
-elements between fixed pivots bound their overlap) comes before the two sets are intersected. Each pair is verified once.
+Candidates share a posting and pass the length filter and the positional filter, then a suffix filter: fixed pivots cut
+the hashes into 64 parts, and the numbers of elements in these bound the overlap of two sets from 64 bytes of each. Only
+the sets of pairs that are left are fetched and intersected. Each pair is verified once.
 
 Documents with equal sets are one class and are represented by the smallest id, so copies make no pairs. Pairs are not
 all made: an n-gram's documents are first compared with its smallest document, then with its largest, and the links'
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from strandlake.llm import common
 
 SKETCH_BITS = 20
+#: Parts that pivots cut the hashes into, for the suffix filter.
+PART_BITS = 6
+PARTS = 1 << PART_BITS
 CHUNKS = 64
 #: Documents with an n-gram in their prefix, above the mean of the table, from which its postings are spread.
 SPREAD = 4000
@@ -135,11 +139,11 @@ def _record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 # --- pass 1: set sizes, signatures, counts
-STATS = "doc long, n int, s1 long, s2 long, chunk int, counts binary"
+STATS = "doc long, n int, s1 long, s2 long, parts binary, chunk int, counts binary"
 
 
 def _stats(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -147,15 +151,17 @@ def _stats(width: int):
             docs, grams = shingle_sets(texts, width)
             n = np.bincount(docs, minlength=len(texts)).astype(np.int32)
             s1, s2 = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
+            parts = np.zeros((len(texts), PARTS), dtype=np.uint8)
             if len(docs):
                 held = np.flatnonzero(n)
                 at = np.concatenate(([0], np.cumsum(n[held])[:-1]))
                 s1[held] = np.add.reduceat(mix(grams), at)
                 s2[held] = np.bitwise_xor.reduceat(mix(grams + np.uint64(0x9E3779B97F4A7C15)), at)
+                spread = np.bincount(docs * PARTS + (grams >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=len(texts) * PARTS)
+                parts = np.minimum(spread, 255).astype(np.uint8).reshape(len(texts), PARTS)
                 counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield _record(schema, doc=ids, n=n, s1=s1.view(np.int64), s2=s2.view(np.int64))
-        parts = counts.reshape(CHUNKS, -1)
-        yield _record(schema, chunk=np.arange(CHUNKS, dtype=np.int32), counts=[zlib.compress(p.tobytes(), 1) for p in parts])
+            yield _record(schema, doc=ids, n=n, s1=s1.view(np.int64), s2=s2.view(np.int64), parts=[x.tobytes() for x in parts])
+        yield _record(schema, chunk=np.arange(CHUNKS, dtype=np.int32), counts=[zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)])
 
     return run
 
@@ -244,17 +250,10 @@ def _sets(width: int, wanted: DataFrame, n_wanted: int, docs: DataFrame) -> Data
     return rows.mapInArrow(run, "doc long, grams binary").join(wanted, "doc", "left_semi")
 
 
-PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-
-
 def overlap_enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Whether den * |a & b| >= num * |a | b|, for sorted arrays of distinct hashes."""
     n = len(a) + len(b)
-    need = -(-num * n // (num + den))
-    # suffix filter: elements on either side of a pivot can't meet, so the differences of the parts' sizes are lost
-    ca = np.diff(np.concatenate(([0], np.searchsorted(a, PIVOTS), [len(a)])))
-    cb = np.diff(np.concatenate(([0], np.searchsorted(b, PIVOTS), [len(b)])))
-    if int(np.minimum(ca, cb).sum()) < need:
+    if not n:
         return False
     if len(a) > len(b):
         a, b = b, a
@@ -263,6 +262,30 @@ def overlap_enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common_n >= num * (n - common_n)
 
 
+def _suffix_filtered(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter passes.
+
+    Elements in different parts can't be equal, so two sets differ by at least the sum, over the parts, of the
+    differences of their numbers of elements there; a pair whose sum is more than links allow is dropped.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for x in batches:
+            n = x.num_rows
+            if not n:
+                continue
+            pa_, pb_ = (np.frombuffer(b"".join(v.as_py() for v in x.column(c)), dtype=np.uint8).reshape(n, PARTS).astype(np.int16) for c in ("xa", "xb"))
+            size = np.asarray(x.column("na")).astype(np.int64) + np.asarray(x.column("nb"))
+            need = -(-num * size // (num + den))
+            kept = np.abs(pa_ - pb_).sum(axis=1) <= size - 2 * need
+            yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(kept)), x.column("b").filter(pa.array(kept))], schema=schema)
+
+    both = pairs.join(parts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa")), "a")
+    both = both.join(parts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb")), "b")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, linked) for pairs (a, b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
@@ -347,6 +370,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = common.written(rows.mapInArrow(_stats(width), STATS), "stats")
     table = _summed(stats)
     rank = spark.sparkContext.broadcast(np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32))  # 4 MB, whatever the corpus
+    parts = stats.where("chunk IS NULL AND doc IS NOT NULL").select("doc", "n", "parts")
     stats = stats.where("chunk IS NULL").select("doc", "n", "s1", "s2")
     total = stats.count()
 
@@ -367,9 +391,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     live = live.join(moved, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"), "n", "pos").distinct()
     shared_tokens = live.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token")
     live = common.written(live.join(shared_tokens, "token", "left_semi"), "live")
-    wanted = common.written(live.select("doc").distinct(), "wanted")
-    n_wanted = wanted.count()
-    sets = common.written(_sets(width, wanted, n_wanted, known), "sets")
 
     done: DataFrame | None = None
     labels: DataFrame | None = None
@@ -380,6 +401,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = common.written(_suffix_filtered(pairs, parts, num, den), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        # sets are worked out again from the texts, for the documents that are compared
+        sets = common.written(_sets(width, wanted, 2 * pairs.count(), known), "sets")
         with _few_rows_a_batch(spark):
             new = common.written(_verified(pairs, sets, num, den), name)
         done = new if done is None else done.unionByName(new)
