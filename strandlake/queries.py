@@ -20,7 +20,7 @@ from strandlake.sources import sequences
 from strandlake.streaming import live
 
 K, WIDE, SETS = 7, 12, 9
-QUERY_ID = F.col("conv_id") * 1000 + F.col("turn")
+QUERY_ID = "conv_id * 1000 + turn"
 
 _indexes: dict[tuple, KmerIndex] = {}
 
@@ -28,7 +28,7 @@ _indexes: dict[tuple, KmerIndex] = {}
 def seqs(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if table == "conversations":
-        return sequences.from_table(df.withColumn("id", QUERY_ID), "id", "text")
+        return sequences.from_table(df.withColumn("id", F.expr(QUERY_ID)), "id", "text")
     return sequences.from_table(df, {"documents": "doc_id", "benchmark": "item_id"}[table], "text")
 
 
