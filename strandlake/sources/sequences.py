@@ -38,7 +38,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     A file is one unit here, as only its line count from the start tells a quality line from a header.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    whole = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
     records = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 4) / 4).cast("int")), lambda i: F.struct(i.alias("i"), F.get("lines", i * 4).alias("h"), F.get("lines", i * 4 + 1).alias("s"), F.get("lines", i * 4 + 3).alias("q")))
     rows = whole.where(F.size("lines") >= 4).select("file", F.explode(records).alias("r")).select(F.concat_ws(":", "file", F.lpad(F.col("r.i").cast("string"), 12, "0")).alias("key"), F.expr("substring(r.h, 2)").alias("header"), dna.upper(F.col("r.s")).alias("seq"), F.col("r.q").alias("quality"))
     return rank.ranked(rows, "key", "seq_id").select("seq_id", "header", "seq", "quality")
