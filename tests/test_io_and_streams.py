@@ -163,3 +163,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("build-lcs", "-i", tmp_path / "a", "-o", tmp_path / "lcs") == 0 and spark.read.parquet(str(tmp_path / "lcs")).agg(F.sum("lcs")).first()[0] == 24
     with pytest.raises(SystemExit):
         run("check", "-i", tmp_path / "a")
+
+
+def test_data_source(spark, tmp_path):
+    from strandlake.sources import datasource
+
+    write_fasta(tmp_path / "a.fna", SEQS)
+    write_fasta(tmp_path / "b.fna.gz", ["acgt"])
+    (tmp_path / "c.fq").write_text("@x\nAC\n+\n@@\n@y\nGT\n+\nII\n")
+    datasource.register(spark)
+    got = [r.seq for p in ("*.fna*", "c.fq") for r in spark.read.format("fastx").load(str(tmp_path / p)).orderBy("file", "record").collect()]
+    assert got == [*SEQS, "ACGT", "AC", "GT"]
