@@ -9,36 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import common, exact_dedup, ngram_join, piece_codec, quality, source_mix
-from strandlake.shipping import ship
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the co-trained classifier rejects; it learns from labels of these documents."""
-    ship(spark)
+    common.prepare(spark)
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the row with the largest doc_id."""
-    ship(spark)
+    common.prepare(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard index of 0.8 or more over five-word shingles, the one with the smallest doc_id."""
-    ship(spark)
+    common.prepare(spark)
     return ngram_join.one_of_each(docs, width=5, num=80, den=100)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times (0 to 3) as the mix of the sources takes it."""
-    ship(spark)
+    common.prepare(spark)
     return source_mix.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, and of the text: ids, their number and digest, and the digest of the text decoded from them."""
-    ship(spark)
+    common.prepare(spark)
     return piece_codec.tokenised(docs).select("doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
