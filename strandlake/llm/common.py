@@ -10,11 +10,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.shipping import ship
+
 #: ASCII white space as used by every word definition here.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 
+#: Rows given to a Python worker at once, so that batches of whole texts stay small on both sides.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and lowers the rows of an Arrow batch to BATCH_ROWS where the session has Spark's default."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10000:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

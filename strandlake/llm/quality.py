@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     docs: doc_id and NAMES; labels: doc_id, quality. Labels that are null, or whose document isn't there, teach
     nothing; of several labels of a document the lowest counts.
     """
-    spark = docs.sparkSession
+    docs = docs.select("doc_id", *NAMES)
     dice = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 11).cast("double") / F.lit(float(1 << 53))
     n_labels, n_docs = labels.count(), docs.count()
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(dice < min(1.0, labelled / max(n_labels, 1))).groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").cast("int").alias("y"))

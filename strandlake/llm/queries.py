@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandlake.llm import exact_dedup, language_spans, ngram_join, piece_codec, quality, secret_scan, simhash, source_mix, url_templates, warc_index
-from strandlake.shipping import ship
+from strandlake.llm import common, exact_dedup, language_spans, ngram_join, piece_codec, quality, secret_scan, simhash, source_mix, url_templates, warc_index
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        common.prepare(spark)
         return query(spark, sf_dir)
 
     return run

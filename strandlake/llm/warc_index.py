@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import datetime
 import hashlib
 import posixpath
 import uuid
