@@ -135,7 +135,7 @@ def check_set_operation(spark, a) -> int:
         unitigs = dbg.Dbg(_load(spark, index, a)).unitigs().select(F.col("unitig_id").alias("seq_id"), "seq")
         return kmers_of(unitigs, result.k)
 
-    first = checks.against_set_operation(result, a.op, kmers(a.seq1, a.sbwt1), kmers(a.seq2, a.sbwt2)).first()
+    first = checks.against_set_operation(result, a.op, kmers(a.seq1, a.index1), kmers(a.seq2, a.index2)).first()
     print("PASS" if first is None else f"FAIL: {first.kmer} is {first.side}")
     return int(first is not None)
 
@@ -194,7 +194,7 @@ def parser() -> argparse.ArgumentParser:
     add("stats", stats, opt("-i", "--input", required=True), cpp)
     add("kmer-at-colex", kmer_at_colex, opt("-i", "--input", required=True), opt("-r", "--rank", type=int, required=True), cpp)
     add("check", check, opt("-i", "--input", required=True), opt("--invariant", action="store_true"), opt("-s", "--original-sequences"), opt("--add-revcomp", action="store_true"), cpp)
-    add("check-set-operation", check_set_operation, opt("--op", required=True, choices=["merge", "intersect", "difference"]), *[opt(f"--{x}{n}") for x in ("seq", "sbwt") for n in (1, 2)], opt("--result", required=True), cpp)
+    add("check-set-operation", check_set_operation, opt("--op", required=True, choices=["merge", "intersect", "difference"]), *[opt(f"--{x}{n}") for x in ("seq", "index") for n in (1, 2)], opt("--result", required=True), cpp)
     with_input(add("sort-kmers-to-disk", sort_kmers, *building))
     with_input(add("build-from-kmers-on-disk", build_from_kmers, opt("--kmers-file", required=True), *building), required=False)
     return p

@@ -123,7 +123,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dummy_nodes": lambda s, d: dummies_of(sources_of(kmers_of(seqs(s, d, "benchmark"), K), K), K).select("node", F.col("len").cast("long").alias("len")),
     "all_dummy_nodes": lambda s, d: index_of(s, d, all_dummy_paths=True).nodes.where("is_dummy").select("node"),
     "padded_spectrum": lambda s, d: index_of(s, d).nodes.select("colex", "node", F.col("len").cast("long").alias("len")),
-    "sbwt_labels": lambda s, d: index_of(s, d).labels().select("colex", "node", "labels"),
+    "edge_labels": lambda s, d: index_of(s, d).labels().select("colex", "node", "labels"),
     "lcs_array": lambda s, d: index_of(s, d).nodes.select("colex", F.col("lcs").cast("long").alias("lcs")),
     "group_leaders": lambda s, d: index_of(s, d).nodes.where("is_leader").select("colex", "grp"),
     "c_array": lambda s, d: index_of(s, d).c_array(),
@@ -267,7 +267,7 @@ ORACLES: dict[str, str] = {
     "dummy_nodes": f"{_BASE} SELECT node, len FROM nd WHERE len < {K}",
     "all_dummy_nodes": f"{_ALL} SELECT node FROM nd WHERE len < {K}",
     "padded_spectrum": f"{_BASE} SELECT colex, node, len FROM nd",
-    "sbwt_labels": f"{_BASE} SELECT colex, node, labels FROM nd",
+    "edge_labels": f"{_BASE} SELECT colex, node, labels FROM nd",
     "lcs_array": f"{_BASE} SELECT colex, lcs FROM nd",
     "group_leaders": f"{_BASE} SELECT colex, grp FROM nd WHERE leader",
     "c_array": f"{_BASE} SELECT label, (1 + (SELECT count(*) FROM nd WHERE len > 0 AND right(node, 1) < label))::BIGINT AS c FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS label)",

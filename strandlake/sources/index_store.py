@@ -123,14 +123,14 @@ def import_plain_matrix(spark: SparkSession, path: str) -> KmerIndex:
 
 
 def import_bwt(spark: SparkSession, bwt: bytes, sentinel: str = "#") -> DataFrame:
-    """text: the string whose Burrows-Wheeler transform is given (a small one, undone on the driver)."""
+    """text: the string whose BWT is given (a small one, undone on the driver)."""
     s = bwt.decode()
-    order = sorted(range(len(s)), key=lambda i: (s[i], i))
+    order = sorted(range(len(s)), key=lambda i: (s[i], i))  # the row that begins with what another one ends with
     at, out = s.index(sentinel), []
-    for _ in range(len(s)):
+    for _ in s:
         at = order[at]
         out.append(s[at])
-    return spark.createDataFrame([("".join(out),)], "text string")
+    return spark.createDataFrame([("".join(out[-1:] + out[:-1]),)], "text string")
 
 
 def truncated_lcp(lcp: list[int], k: int) -> list[int]:
