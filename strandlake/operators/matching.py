@@ -14,23 +14,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import dna
 from strandlake.operators.index import KmerIndex
-from strandlake.operators.search import intervals
+from strandlake.operators.search import bounds, intervals
 from strandlake.plans import rank, store
 
-#: Above every character of a node.
-TOP = "~"
-
-
-def bounds(index: KmerIndex, strings: DataFrame, col: str = "str") -> DataFrame:
-    """str, lo, hi: the range of nodes that end in each distinct string of ACGT of at most k characters; absent ones are left out."""
-    held = index.nodes.select(F.reverse("node").alias("key"))
-    rev = strings.select(F.reverse(col).alias("rev")).distinct()
-    keys = rev.select(F.explode(F.array("rev", F.concat("rev", F.lit(TOP)))).alias("key"))
-    at = rank.merged(held, keys).select("key", "below")
-    lo = at.where(~F.col("key").endswith(TOP)).select(F.col("key").alias("rev"), F.col("below").alias("lo"))
-    hi = at.where(F.col("key").endswith(TOP)).select(F.expr("substring(key, 1, length(key) - 1)").alias("rev"), F.col("below").alias("hi"))
-    return lo.join(hi, "rev").where("lo < hi").select(F.reverse("rev").alias(col), "lo", "hi")
-
 
 def contexts(queries: DataFrame, k: int) -> DataFrame:
     """query_id, pos, context for every character of the queries (query_id, seq)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import dna
 from strandlake.operators.index import KmerIndex
+from strandlake.plans import rank
 
 
 def intervals(index: KmerIndex, lengths: list[int]) -> DataFrame:
@@ -20,15 +21,32 @@ def intervals(index: KmerIndex, lengths: list[int]) -> DataFrame:
     return out
 
 
+#: Above every character of a node.
+TOP = "~"
+
+
+def bounds(index: KmerIndex, strings: DataFrame, col: str = "str") -> DataFrame:
+    """str, lo, hi: the range of nodes that end in each distinct string of ACGT of at most k characters; absent ones are left out."""
+    held = index.nodes.select(F.reverse("node").alias("key"))
+    rev = strings.select(F.reverse(col).alias("rev")).distinct()
+    keys = rev.select(F.explode(F.array("rev", F.concat("rev", F.lit(TOP)))).alias("key"))
+    at = rank.merged(held, keys).select("key", "below")
+    lo = at.where(~F.col("key").endswith(TOP)).select(F.col("key").alias("rev"), F.col("below").alias("lo"))
+    hi = at.where(F.col("key").endswith(TOP)).select(F.expr("substring(key, 1, length(key) - 1)").alias("rev"), F.col("below").alias("hi"))
+    return lo.join(hi, "rev").where("lo < hi").select(F.reverse("rev").alias(col), "lo", "hi")
+
+
 def search(index: KmerIndex, patterns: DataFrame, col: str = "pattern") -> DataFrame:
     """patterns with lo and hi: the half-open range of nodes that end in the pattern, null if there is none.
 
-    The empty pattern has all nodes. A pattern longer than k has no range here.
+    The empty pattern has all nodes. A pattern longer than k, or with other characters than ACGT, has no range.
     """
     rows = patterns.withColumn("__p", dna.upper(F.col(col)))
-    present = [r[0] for r in rows.select(F.length("__p").alias("l")).where(f"l <= {index.k}").distinct().collect()]  # k + 1 at most
-    found = intervals(index, present)
-    return rows.join(found.select(F.col("str").alias("__p"), "lo", "hi"), "__p", "left").drop("__p")
+    asked = rows.where((F.length("__p") > 0) & (F.length("__p") <= index.k) & ~F.col("__p").rlike("[^ACGT]"))
+    found = bounds(index, asked.select(F.col("__p").alias("str"))).withColumnRenamed("str", "__p")
+    every = F.length("__p") == 0
+    out = rows.join(found, "__p", "left")
+    return out.select(*patterns.columns, F.when(every, F.lit(0)).otherwise(F.col("lo")).alias("lo"), F.when(every, F.lit(index.n_sets())).otherwise(F.col("hi")).alias("hi"))
 
 
 def search_from(index: KmerIndex, rows: DataFrame, start: str = "start", col: str = "pattern") -> DataFrame:
