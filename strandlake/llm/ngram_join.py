@@ -9,8 +9,8 @@ the hashes into 64 parts, and the numbers of elements in these bound the overlap
 the sets of pairs that are left are fetched and intersected. Each pair is verified once.
 
 Documents with equal sets are one class and are represented by the smallest id, so copies make no pairs. Pairs are not
-all made: an n-gram's documents are first compared with its smallest document, then with its largest, and the links'
-components are found; after that every pair whose n-gram agrees but whose components differ is verified. So the groups
+all made: an n-gram's documents are first compared with its smallest document, then with up to LEADERS others, and the
+links' components are found; after that every pair whose n-gram agrees but whose components differ is verified. So the groups
 are exact, while a group of many similar documents costs about a comparison each. N-grams that very many documents have
 in their prefix are spread over salts when the postings are dealt.
 
@@ -36,6 +36,10 @@ PARTS = 1 << PART_BITS
 CHUNKS = 64
 #: Documents with an n-gram in their prefix, above the mean of the table, from which its postings are spread.
 SPREAD = 4000
+#: Documents of an n-gram that all its others are compared with in the second round.
+LEADERS = 8
+#: A document's shared n-grams by which the first two rounds find candidates.
+FEW = 12
 #: Bytes of text that are worked on at once (a longer text is one batch).
 BATCH = 1 << 20
 #: Rows of two sets given to a Python worker at once.
@@ -390,7 +394,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moved = found.where("rep <> doc").select("doc", "rep").distinct()
     live = live.join(moved, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"), "n", "pos").distinct()
     shared_tokens = live.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token")
-    live = common.written(live.join(shared_tokens, "token", "left_semi"), "live")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))
+    live = common.written(live.join(shared_tokens, "token", "left_semi").withColumn("nth", nth), "live")
 
     done: DataFrame | None = None
     labels: DataFrame | None = None
@@ -399,9 +404,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def verify(pairs: DataFrame, name: str) -> None:
         nonlocal done, labels, edges
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _suffix_filtered(pairs, parts, num, den)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = common.written(_suffix_filtered(pairs, parts, num, den), "pairs")
+        pairs = common.written(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         # sets are worked out again from the texts, for the documents that are compared
         sets = common.written(_sets(width, wanted, 2 * pairs.count(), known), "sets")
@@ -409,6 +415,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             new = common.written(_verified(pairs, sets, num, den), name)
         done = new if done is None else done.unionByName(new)
         links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if labels is not None and not links.limit(1).count():
+            return
         if labels is not None:  # components so far are single nodes now
             links = links.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
             links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
@@ -426,9 +434,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if twice.count():
         labels = common.written(components(twice), "components")
 
-    for pick in (F.min, F.max):
+    for leaders in (1, LEADERS):
         now = common.written(labelled(live), "labelled")
-        lead = now.groupBy("token").agg(pick(F.struct("doc", "n", "pos", "comp")).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "x")
+        # a document's first few shared n-grams do here; this only spares comparisons later
+        now = now.where(F.col("nth") <= FEW)
+        open_ = now.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+        share = F.pmod(F.xxhash64("doc"), F.lit(leaders))
+        lead = now.groupBy("token", share.alias("share")).agg(F.min(F.struct("doc", "n", "pos", "comp")).alias("x")).join(open_, "token").select("token", "x")
         pairs = now.join(lead, "token").where((F.col("comp") != F.col("x.comp")) & _passes(F.col("n"), F.col("x.n"), F.col("pos"), F.col("x.pos"), num, den))
         verify(pairs.select(F.col("x.doc").alias("a"), F.col("doc").alias("b")), "round")
 
