@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -76,6 +79,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def constant(spark: SparkSession, value, kind: str) -> Column:
+    """A large value as a scalar subquery: a literal would be printed into every description of the plan that the driver keeps."""
+    return spark.createDataFrame([(value,)], f"value {kind}").scalar()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, after work on large arrays."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bloom(keys: DataFrame, key: str, n_keys: int, most_slots: int = 1 << 22) -> Column:
     """A condition on a long column of the same name: true for every value in keys, and false for most others.
 
@@ -94,7 +109,7 @@ def bloom(keys: DataFrame, key: str, n_keys: int, most_slots: int = 1 << 22) ->
     held[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view("<u8")
     slots = np.unpackbits(held.view(np.uint8), bitorder="little").tobytes()
     slot = F.expr(f"cast(shiftrightunsigned({key}, {64 - log2}) as int)")
-    return F.substring(F.lit(bytearray(slots)), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    return F.substring(constant(keys.sparkSession, bytearray(slots), "binary"), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:

@@ -78,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, n_repeated = keys.count(), repeated.count()
     depth, slots = directory(histogram, capacity)
     slot = F.expr(f"cast(shiftrightunsigned(h, {64 - depth}) as int)") if depth else F.lit(0)
-    bucket = F.get(F.split(F.lit(",".join(map(str, slots))), ","), slot).cast("int").alias("bucket")
+    bucket = F.get(common.constant(spark, slots, "array<int>"), slot).alias("bucket")
     chains = (
         texts.where(common.bloom(repeated, "h", n_repeated))
         .groupBy(bucket, "h", "norm")

@@ -246,7 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     apart = np.zeros(len(y), dtype=bool)
     for q in (0, 1):
         apart[np.flatnonzero(y == q)[::3]] = True
-    return co_train(x, m, y, px, pm, apart, **settings)
+    model = co_train(x, m, y, px, pm, apart, **settings)
+    del got, taught, x, m, px, pm
+    common.give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:

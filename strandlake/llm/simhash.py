@@ -128,8 +128,7 @@ def _buckets(docs: DataFrame, id_col: str, bucket_rows: int) -> Column:
             number, load = number + 1, 0
         load += n
         of[c] = number
-    table = F.split(F.lit(",".join(map(str, of))), ",")
-    return F.coalesce(F.get(table, cell).cast("int"), F.lit(number))
+    return F.coalesce(F.get(common.constant(docs.sparkSession, of, "array<int>"), cell), F.lit(number))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
