@@ -2,8 +2,8 @@
 
 Writing: one record a page. Of pages with equal payloads the one with the smallest id is the response; the others are
 revisit records that name it and carry no payload. Tasks write their records, each a gzip member, to a file of their own
-in the shared folder: under a name of the attempt first and renamed when complete, so a task that runs again replaces
-its file whole.
+in the shared folder: one a task attempt, renamed when complete, and named in the index by the attempt that counted. So
+tasks may be lost, run again or run twice.
 
 Index: every record has a line "key, page id, file, offset, length", where the key is the URL with its host labels
 reversed (com,example)/path. Lines are range-sorted by key; each range becomes one shard of compressed blocks of
@@ -111,6 +111,12 @@ def _page_number(text: str) -> int | None:
     return None if inner == "none" else int(inner)
 
 
+def _attempt() -> str:
+    """Names the task and its attempt: what an attempt that was lost or overtaken wrote is in no line and disturbs no other."""
+    task = TaskContext.get()
+    return f"{task.partitionId():05d}-{task.taskAttemptId()}"
+
+
 class AtomicFile:
     """A file that appears under its name when it is complete."""
 
@@ -155,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for b in batches:
             lines = []
             if out is None and b.num_rows:
-                name = f"part-{TaskContext.get().partitionId():05d}.warc.gz"
+                name = f"part-{_attempt()}.warc.gz"
                 out = AtomicFile(folder, name)
             for i, url, payload, refers_to in zip(*(b.column(c) for c in ("id", "url", "payload", "refers_to"))):
                 page_id, url = i.as_py(), url.as_py()
@@ -194,7 +200,7 @@ def write_index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -
             for key, page_id, file, offset, length in zip(f["key"], f["page_id"], f["file"], f["offset"], f["length"]):
                 line = _sort_key(key, None if pd.isna(page_id) else int(page_id)) + f"\t{file}\t{offset}\t{length}".encode()
                 if blocks is None:
-                    name = f"shard-{TaskContext.get().partitionId():05d}"
+                    name = f"shard-{_attempt()}"
                     first = line.rsplit(b"\t", 3)[0]
                     blocks = AtomicFile(folder, f"{name}.blocks")
                 waiting.append(line)
