@@ -91,6 +91,18 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_held: dict = {}
+
+
+def hold(name: str, make):
+    """State that a worker process keeps between tasks: of one operator at a time, so that workers stay small."""
+    if _held.get("name") != name:
+        _held.clear()
+        give_back()
+        _held.update(name=name, value=make())
+    return _held["value"]
+
+
 def bloom(keys: DataFrame, key: str, n_keys: int, most_slots: int = 1 << 22) -> Column:
     """A condition on a long column of the same name: true for every value in keys, and false for most others.
 

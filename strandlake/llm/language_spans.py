@@ -49,19 +49,17 @@ SCRIPTS = {
     "hangul": [(0xAC00, 0xD7AF), (0x1100, 0x11FF)],
 }
 
-_tables: dict[str, np.ndarray] = {}
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    script = np.zeros(0x110000, dtype=np.uint8)
+    for k, ranges in enumerate(SCRIPTS.values()):
+        for lo, hi in ranges:
+            script[lo : hi + 1] = k + 1
+    return np.array([chr(c).isalpha() for c in range(0x110000)]), script
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """By code point: whether it is a letter, and its script's number (0: any other)."""
-    if not _tables:
-        _tables["letter"] = np.array([chr(c).isalpha() for c in range(0x110000)])
-        script = np.zeros(0x110000, dtype=np.uint8)
-        for k, ranges in enumerate(SCRIPTS.values()):
-            for lo, hi in ranges:
-                script[lo : hi + 1] = k + 1
-        _tables["script"] = script
-    return _tables["letter"], _tables["script"]
+    return common.hold("letters", _tables)
 
 
 def lowered(text: str) -> str:

@@ -249,16 +249,10 @@ class PieceCodec:
         return sum([f[0] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-_held: dict[str, object] = {}
-
-
 def _codec(shared) -> PieceCodec:
-    """The worker process's codec; only the last vocabulary's is held."""
+    """The worker process's codec."""
     vocabulary = shared.value
-    if _held.get("key") != vocabulary["key"]:
-        _held.clear()
-        _held.update(key=vocabulary["key"], codec=PieceCodec(vocabulary))
-    return _held["codec"]
+    return common.hold(f"codec {vocabulary['key']}", lambda: PieceCodec(vocabulary))
 
 
 def _vocabulary(spark: SparkSession, path: str | None):

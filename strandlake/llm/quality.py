@@ -261,6 +261,7 @@ def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
     @F.pandas_udf("score double, p_content double, p_meta double, kept boolean")
     def judge(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        common.hold("quality", lambda: None)  # no state of its own, but none of others either
         model = shared.value
         out = [model.score(t or "", s, x, n) for t, s, x, n in zip(text, source, lang, n_chars)]
         f = pd.DataFrame(out, columns=["score", "p_content", "p_meta"], dtype=float)
