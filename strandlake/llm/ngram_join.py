@@ -5,12 +5,12 @@ any order common to all, share one. The order is by how often an n-gram occurs,
 from a table of hashed counts over the whole corpus, whose size is fixed (an estimate costs candidates, never links, as
 the order is the same for all documents). Prefix n-grams become postings (n-gram, document, set size, position).
 Candidates share a posting and pass the length filter and the positional filter, then a suffix filter: fixed pivots cut
-the hashes into 64 parts, and the numbers of elements in these bound the overlap of two sets from 64 bytes of each. Only
+the hashes into PARTS parts, and the numbers of elements in these bound the overlap of two sets, a byte a part. Only
 the sets of pairs that are left are fetched and intersected. Each pair is verified once.
 
 Documents with equal sets are one class and are represented by the smallest id, so copies make no pairs. Pairs are not
-all made: an n-gram's documents are first compared with its smallest document, then with up to LEADERS others, and the
-links' components are found; after that every pair whose n-gram agrees but whose components differ is verified. So the groups
+all made: an n-gram's documents are first compared with its smallest document and the links' components are found; then, as
+long as that leaves many pairs, those outside the n-gram's largest component with a few documents of it; after that every pair whose n-gram agrees but whose components differ is verified. So the groups
 are exact, while a group of many similar documents costs about a comparison each. N-grams that very many documents have
 in their prefix are spread over salts when the postings are dealt.
 
@@ -31,31 +31,31 @@ from strandlake.llm import common
 
 SKETCH_BITS = 20
 #: Parts that pivots cut the hashes into, for the suffix filter.
-PART_BITS = 6
+PART_BITS = 9
 PARTS = 1 << PART_BITS
 CHUNKS = 64
 #: Documents with an n-gram in their prefix, above the mean of the table, from which its postings are spread.
 SPREAD = 4000
-#: Documents of an n-gram that all its others are compared with in the second round.
-LEADERS = 8
-#: A document's shared n-grams by which the first two rounds find candidates.
+#: Rounds, at most, in which documents outside an n-gram's largest component are compared with LEADERS of its documents.
+ROUNDS, LEADERS = 6, 8
+#: A document's shared n-grams by which the first round finds candidates.
 FEW = 12
 #: Bytes of text that are worked on at once (a longer text is one batch).
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Rows of two sets given to a Python worker at once.
 PAIR_ROWS = 500
 
-_state: dict = {}
 
+def _fresh() -> dict:
+    rng = np.random.default_rng(20240229)
+    letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    space = np.zeros(256, dtype=bool)
+    space[[32, 9, 10, 11, 12, 13]] = True
+    return {"letter": letter, "space": space, "base": 0x9E3779B97F4A7C15 | 5, "size": 0}
 
-def _constants():
-    if not _state:
-        rng = np.random.default_rng(20240229)
-        letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        space = np.zeros(256, dtype=bool)
-        space[[32, 9, 10, 11, 12, 13]] = True
-        _state.update(letter=letter, space=space, base=0x9E3779B97F4A7C15 | 5, size=0)
-    return _state
+
+def _constants() -> dict:
+    return common.hold("n-grams", _fresh)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -399,16 +399,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     done: DataFrame | None = None
     labels: DataFrame | None = None
-    edges: DataFrame | None = None
 
-    def verify(pairs: DataFrame, name: str) -> None:
-        nonlocal done, labels, edges
+    def outside() -> tuple[DataFrame, DataFrame, int]:
+        """The postings with components, those outside their n-gram's largest one, and a bound on the pairs these have."""
+        now = common.written(labelled(live), "labelled")
+        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("x"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+        main = common.written(main.select("token", F.col("x.comp").alias("main"), F.col("x.k").alias("inside"), "k"), "open")
+        work = main.agg(F.sum((F.col("k") - F.col("inside")) * F.col("k"))).first()[0] or 0
+        rest = now.join(main.select("token", "main"), "token").where("comp <> main").select("token", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "pos", "comp")], "main")
+        return now, rest, work
+
+    def verify(pairs: DataFrame, name: str) -> bool:
+        """Compares the pairs that were not yet, and brings the components up to date; whether there were new links."""
+        nonlocal done, labels
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = _suffix_filtered(pairs, parts, num, den)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
         # sets are worked out again from the texts, for the documents that are compared
         sets = common.written(_sets(width, wanted, 2 * pairs.count(), known), "sets")
         with _few_rows_a_batch(spark):
@@ -416,12 +426,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = new if done is None else done.unionByName(new)
         links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if labels is not None and not links.limit(1).count():
-            return
+            return False
         if labels is not None:  # components so far are single nodes now
             links = links.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
             links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        edges = links
-        labels = common.written(components(edges), "components")
+        labels = common.written(components(links), "components")
+        return True
 
     def labelled(df: DataFrame) -> DataFrame:
         if labels is None:
@@ -434,22 +444,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if twice.count():
         labels = common.written(components(twice), "components")
 
-    for leaders in (1, LEADERS):
-        now = common.written(labelled(live), "labelled")
-        # a document's first few shared n-grams do here; this only spares comparisons later
-        now = now.where(F.col("nth") <= FEW)
-        open_ = now.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-        share = F.pmod(F.xxhash64("doc"), F.lit(leaders))
-        lead = now.groupBy("token", share.alias("share")).agg(F.min(F.struct("doc", "n", "pos", "comp")).alias("x")).join(open_, "token").select("token", "x")
-        pairs = now.join(lead, "token").where((F.col("comp") != F.col("x.comp")) & _passes(F.col("n"), F.col("x.n"), F.col("pos"), F.col("x.pos"), num, den))
-        verify(pairs.select(F.col("x.doc").alias("a"), F.col("doc").alias("b")), "round")
+    def filtered(n: str, pos: str) -> Column:
+        return _passes(F.col("n"), F.col(n), F.col("pos"), F.col(pos), num, den)
+
+    # a document's first few shared n-grams do in these rounds, which only spare comparisons later
+    lead = live.where(F.col("nth") <= FEW).groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("x"))
+    pairs = live.where(F.col("nth") <= FEW).join(lead, "token").where((F.col("doc") != F.col("x.doc")) & filtered("x.n", "x.pos"))
+    verify(pairs.select(F.col("x.doc").alias("a"), F.col("doc").alias("b")), "round")
+    n_live = live.count()
+    for r in range(ROUNDS):
+        now, rest, work = outside()
+        if work <= 4 * n_live:
+            break
+        share = F.pmod(F.xxhash64("doc", F.lit(r)), F.lit(LEADERS))
+        lead = now.join(rest.select("token", "main").distinct(), "token").where("comp = main").groupBy("token", share.alias("share")).agg(F.min(F.struct("doc", "n", "pos")).alias("x"))
+        pairs = rest.withColumnsRenamed({f"r_{c}": c for c in ("doc", "n", "pos", "comp")}).join(lead, "token").where(filtered("x.n", "x.pos"))
+        if not verify(pairs.select(F.col("x.doc").alias("a"), F.col("doc").alias("b")), "round"):
+            break
 
     # all that is left: documents outside their n-gram's largest component, against all of other components
-    now = common.written(labelled(live), "labelled")
-    sizes = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("x.comp").alias("main"))
-    rest = now.join(main, "token").where("comp <> main").select("token", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "pos", "comp")], "main")
-    pairs = rest.join(now, "token").where((F.col("comp") != F.col("r_comp")) & ((F.col("comp") == F.col("main")) | (F.col("r_doc") < F.col("doc"))) & _passes(F.col("n"), F.col("r_n"), F.col("pos"), F.col("r_pos"), num, den))
+    now, rest, _ = outside()
+    pairs = rest.join(now, "token").where((F.col("comp") != F.col("r_comp")) & ((F.col("comp") == F.col("main")) | (F.col("r_doc") < F.col("doc"))) & filtered("r_n", "r_pos"))
     verify(pairs.select(F.col("r_doc").alias("a"), F.col("doc").alias("b")), "round")
 
     of_class = found.where("rep IS NOT NULL").groupBy("rep").agg(F.max("size").alias("size"))
