@@ -285,6 +285,9 @@ def _suffix_filtered(pairs: DataFrame, parts: DataFrame, num: int, den: int) ->
             kept = np.abs(pa_ - pb_).sum(axis=1) <= size - 2 * need
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(kept)), x.column("b").filter(pa.array(kept))], schema=schema)
 
+    # only the parts of documents in candidates are shuffled
+    docs = pairs.select(F.xxhash64("a").alias("h")).unionByName(pairs.select(F.xxhash64("b").alias("h")))
+    parts = parts.withColumn("h", F.xxhash64("doc")).where(common.bloom(docs, "h", 2 * pairs.count())).drop("h")
     both = pairs.join(parts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa")), "a")
     both = both.join(parts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb")), "b")
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
@@ -414,7 +417,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Compares the pairs that were not yet, and brings the components up to date; whether there were new links."""
         nonlocal done, labels
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = _suffix_filtered(pairs, parts, num, den)
+        pairs = _suffix_filtered(common.written(pairs, "candidates"), parts, num, den)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
