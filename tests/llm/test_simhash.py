@@ -72,3 +72,33 @@ def test_near_fingerprints_finds_all(spark):
     counted = simhash.with_near(df.where("fingerprint IS NOT NULL"), F.lit(True))
     near = {signed(a): sum(0 < (a ^ b).bit_count() <= 3 for b in set(held)) for a in set(held)}
     assert all(r.near_found == near[r.fingerprint] for r in counted.collect()) and counted.count() == len(held) + 10
+
+
+def test_scan_finds_all(spark, monkeypatch):
+    rng = random.Random(3)
+    held = {rng.getrandbits(64) - (1 << 63) for _ in range(400)} | {0, -1}
+    df = spark.createDataFrame([(x,) for x in held] + [(0,), (None,)], "fingerprint long")
+    for tile in (50, 1000):
+        monkeypatch.setattr(simhash, "TILE_QUERIES", tile)
+        got = sorted(map(tuple, simhash.near_by_scan(df, df, 22).collect()))
+        assert got == sorted((a, b, d) for a in held for b in held if (d := ((a ^ b) & ((1 << 64) - 1)).bit_count()) <= 22)
+
+
+def test_query_finds_near_copies(spark, tmp_path):
+    rng = random.Random(4)
+    rows, partner, shingles = [], {}, lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i in range(0, 800, 20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(20, 280), 5):
+            other[at] = "changed"
+        a, b = shingles(words), shingles(other)
+        assert len(a & b) / len(a | b) >= 0.8
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other)), (i + 2, " ".join(words))]
+        partner[i] = f"{fingerprint(' '.join(other)) & ((1 << 64) - 1):016x}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in simhash.op3_simhash(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[i].near is None and got[i].near_copies is None for i in got if i % 20)
+    for i, mark in partner.items():
+        assert got[i].near_found == len(got[i].near) and got[i].near_copies == 1 + (mark == got[i].fingerprint)
+    assert sum(mark in (got[i].fingerprint, *got[i].near) for i, mark in partner.items()) >= 0.95 * len(partner)
