@@ -2,13 +2,16 @@
 
 Content: frequencies of hashed character trigrams and of hashed five-grams of character kinds (letter in lower or upper
 case, digit, each mark, white space), and the shares of distinct and of repeated words and of distinct lines. Metadata: source, language, recorded
-length and the layout of lines, as hashed categories. Either view is a logistic regression. In each round both judge a
-pool of unlabelled documents, and the most confident verdicts of one, in the labels' proportion, join the other's
-training set. Then both are calibrated (Platt) on labelled documents kept apart, and a logistic unit over the two
+length and the layout of lines, as hashed categories. Either view is a logistic regression. In each round both judge
+all unlabelled documents, and the most confident verdicts of one, in the labels' proportion and CONFIDENT more of all
+documents every round, teach the other. Then both are calibrated (Platt) on labelled documents kept apart, and a logistic unit over the two
 calibrated scores, fitted on these too, gives the document's score. The threshold keeps KEEP_GOOD of the good ones.
 
-Fitting reads samples of a bounded size, chosen by hash: about LABELLED labelled and POOL other documents. Every
-document is scored, from its whole text.
+Fitting reads a sample of about LABELLED labelled documents, chosen by hash. The unlabelled ones are judged in tasks,
+from a table of their views. Their verdicts come back in bounded size: a histogram of each view's scores, by which the
+cut of the most confident is set, and for each view, verdict and kind of document (source and language, hashed to
+KINDS_APART) the sum of the views of all documents within the cut. The mean of such a group, weighted by its number, is
+a row of the other view's training set; all of them together have at most half the weight of the labelled ones.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import common
 
-#: Bounds on the samples that fitting reads (expected numbers of documents).
-LABELLED, POOL = 3000, 2000
+#: Bound on the sample of labelled documents that fitting reads (expected number).
+LABELLED = 3000
 ROUNDS, CONFIDENT = 4, 0.05
 KEEP_GOOD = 0.995
 GRAMS, KINDS, DENSE, META = 1024, 1024, 6, 256
 CONTENT = GRAMS + KINDS + DENSE
 LEAST = 10
+#: Groups of documents whose confident verdicts are summed; bins of a score between -REACH and REACH.
+KINDS_APART, BINS, REACH = 32, 4096, 16.0
+#: Sums are of whole numbers, so that no order of adding changes them.
+UNIT = float(1 << 24)
 
 
 def _kind_table() -> np.ndarray:
@@ -156,30 +163,24 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip((c, a, b), -30, 30))))
 
 
-def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, pool_m: np.ndarray, apart: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT, keep_good: float = KEEP_GOOD) -> CoTrained:
-    """x, m: the two views of labelled documents; apart: those kept for calibration; pool: unlabelled ones."""
+def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, others: Unlabelled, apart: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT, keep_good: float = KEEP_GOOD) -> CoTrained:
+    """x, m: the two views of labelled documents; apart: those kept for calibration; others: the unlabelled ones."""
     base = np.flatnonzero(~apart)
     share = y[base].mean()
-    taken: list[dict[int, float]] = [{}, {}]  # pool rows in each view's training set, with their pseudo-label
+    taught: list[list[tuple[float, float, np.ndarray]]] = [[], []]  # (pseudo-label, number, mean) of groups of documents, for each view
 
     def train(view: int):
-        mine, pool = ((x, pool_x), (m, pool_m))[view]
-        extra = list(taken[view])
-        data = np.concatenate((mine[base], pool[extra])) if extra else mine[base]
-        labels = np.concatenate((y[base], [taken[view][k] for k in extra])) if extra else y[base]
-        weight = np.concatenate((np.ones(len(base)), np.full(len(extra), 0.5)))
-        return logistic(data, labels, weight)
-
-    for _ in range(rounds if len(pool_x) else 0):
-        for view, pool in ((0, pool_x), (1, pool_m)):
-            w, b = train(view)
-            p = 1 / (1 + np.exp(-np.clip(pool @ w + b, -30, 30)))
-            order = np.argsort(p, kind="stable")
-            n = max(1, int(confident * len(order)))
-            low = [k for k in order if k not in taken[1 - view]][: max(1, int(n * (1 - share)))]
-            high = [k for k in order[::-1] if k not in taken[1 - view]][: max(1, int(n * share))]
-            taken[1 - view].update({int(k): 0.0 for k in low if p[k] < 0.1})
-            taken[1 - view].update({int(k): 1.0 for k in high if p[k] > 0.9})
+        mine = (x, m)[view][base]
+        extra = taught[view]
+        if not extra:
+            return logistic(mine, y[base])
+        number = np.array([n for _, n, _ in extra])
+        weight = np.concatenate((np.ones(len(base)), 0.5 * number * min(1.0, len(base) / number.sum())))
+        return logistic(np.concatenate((mine, [mean for _, _, mean in extra])), np.concatenate((y[base], [q for q, _, _ in extra])), weight)
+
+    for _ in range(rounds if others.n else 0):
+        for groups, more in zip(taught, others.verdicts((train(0), train(1)), confident, share)):
+            groups += more
     (cw, cb), (mw, mb) = train(0), train(1)
     test = np.flatnonzero(apart)
     z, v = x[test] @ cw + cb, m[test] @ mw + mb
@@ -214,7 +215,146 @@ def _views(docs: DataFrame) -> DataFrame:
     return docs.select("key", "y", *NAMES).mapInPandas(run, "key long, y int, at binary, value binary, meta binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, **settings) -> CoTrained | None:
+def _packed(docs: DataFrame) -> DataFrame:
+    """The views of documents in few bytes: kind, meta, and which slots of the content view hold what, compressed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for text, source, lang, n_chars in zip(*(f[c] for c in NAMES)):
+                text = text or ""
+                v = content(text)
+                # the frequencies are counts by one factor
+                counts = np.rint(v[: GRAMS + KINDS] * ((len(text) + DAMPING) / SCALE)).astype("<u4")
+                held = counts > 0
+                body = np.packbits(held).tobytes() + v[GRAMS + KINDS :].astype("<f8").tobytes() + np.array([SCALE / (len(text) + DAMPING)]).astype("<f8").tobytes() + counts[held].tobytes()
+                meta = np.array(metadata(text, source, lang, n_chars), dtype="<u2").tobytes()
+                out.append((zlib.crc32(f"{source} {lang}".encode("utf-8", "replace")) % KINDS_APART, meta, zlib.compress(body, 1)))
+            yield pd.DataFrame(out, columns=["kind", "meta", "body"])
+
+    return docs.select(*NAMES).mapInPandas(run, "kind int, meta binary, body binary")
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of a content view."""
+    raw = zlib.decompress(body)
+    n = (GRAMS + KINDS) // 8
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, n)))
+    rest = np.frombuffer(raw, "<f8", DENSE + 1, n)
+    return np.concatenate((at, np.arange(GRAMS + KINDS, CONTENT))), np.concatenate((np.frombuffer(raw, "<u4", -1, n + 8 * (DENSE + 1)) * rest[DENSE], rest[:DENSE]))
+
+
+def _bin(z: float) -> int:
+    return int(min(max((z + REACH) / (2 * REACH), 0.0), 1.0 - 1e-9) * BINS)
+
+
+def _side(z: float, cut: tuple[int, int]) -> int | None:
+    """The verdict on a document of this score, if it is confident: less than 0.1 or more than 0.9, and within the cut."""
+    edge = 2.1972245773362196  # log 9
+    return 0 if z < -edge and _bin(z) <= cut[0] else 1 if z > edge and _bin(z) >= cut[1] else None
+
+
+class Unlabelled:
+    """All documents without a label, judged in tasks from a table of their views."""
+
+    def __init__(self, docs: DataFrame, labelled: DataFrame):
+        """docs: doc_id and NAMES; labelled: doc_id of those with a label. Rows alike count once, but for those without an id."""
+        docs = docs.withColumn("h", F.xxhash64("doc_id"))
+        labelled = labelled.distinct()
+        # ids are shuffled, and the texts only of documents that the filters can't tell from others or that occur again
+        again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+        asked = common.written(labelled.unionByName(again).distinct().select("doc_id", F.xxhash64("doc_id").alias("h")), "asked")
+        maybe = F.col("doc_id").isNotNull() & common.bloom(asked, "h", asked.count())
+        wanted = common.written(docs.where(maybe).select("doc_id", "h").distinct().join(labelled, "doc_id", "left_anti"), "wanted")
+        rest = docs.where(maybe & common.bloom(wanted, "h", wanted.count())).dropDuplicates(["doc_id", *NAMES]).join(wanted.select("doc_id"), "doc_id", "left_semi")
+        self.rows = common.written(_packed(docs.where(~maybe).select(*NAMES).unionByName(rest.select(*NAMES))), "unlabelled")
+        self.n = self.rows.count()
+        self.earlier: list = []  # the models and cuts of each round so far
+
+    def _judged(self, models, schema: str, judge) -> DataFrame:
+        """judge(rows of kind, meta slots, content slots and values, and each view's score or None if an earlier round took the document) in each task."""
+        shared = self.rows.sparkSession.sparkContext.broadcast((models, self.earlier))  # of fixed size
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            common.hold("quality", lambda: None)
+            models, earlier = shared.value
+
+            def scores(models, slots, at, value):
+                (cw, cb), (mw, mb) = models
+                return float(cw[at] @ value) + cb, float(mw[slots].sum()) + mb
+
+            def rows():
+                for f in frames:
+                    for kind, meta, body in zip(f["kind"], f["meta"], f["body"]):
+                        slots = np.frombuffer(meta, "<u2")
+                        at, value = _unpacked(body)
+                        taken = [False, False]
+                        for old, cuts in earlier:
+                            z = scores(old, slots, at, value)
+                            taken = [t or _side(z[v], cuts[v]) is not None for v, t in enumerate(taken)]
+                        if not all(taken):
+                            z = scores(models, slots, at, value)
+                            yield kind, slots, at, value, [None if t else z[v] for v, t in enumerate(taken)]
+
+            yield from judge(rows())
+
+        return self.rows.mapInPandas(run, schema)
+
+    def verdicts(self, models, part: float, share: float) -> list[list[tuple[float, float, np.ndarray]]]:
+        """For each view (pseudo-label, number, mean) of the groups that the other view is confident of now and wasn't before.
+
+        These are the documents of lowest and of highest score, part of all in the labels' proportion (share: of good
+        ones), where the view gives less than 0.1 or more than 0.9. Documents in the last bin that is needed are all
+        taken, and the numbers lowered in proportion to what was wanted.
+        """
+
+        def count(rows):
+            held = np.zeros((2, BINS), dtype=np.int64)
+            for *_, z in rows:
+                for view in (0, 1):
+                    if z[view] is not None:
+                        held[view, _bin(z[view])] += 1
+            view, at = np.nonzero(held)
+            yield pd.DataFrame({"view": view.astype(np.int32), "bin": at.astype(np.int32), "n": held[view, at]})
+
+        held = np.zeros((2, BINS), dtype=np.int64)
+        for r in self._judged(models, "view int, bin int, n long", count).groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():  # 2 * BINS rows at most
+            held[r.view, r.bin] = r.n
+        wanted = [max(1.0, part * self.n * q) for q in (1 - share, share)]
+        cuts = [(int(np.searchsorted(np.cumsum(h), wanted[0])), BINS - 1 - int(np.searchsorted(np.cumsum(h[::-1]), wanted[1]))) for h in held]
+
+        def gather(rows):
+            sums: dict[tuple[int, int, int], list] = {}
+            for kind, slots, at, value, z in rows:
+                for view in (0, 1):
+                    label = None if z[view] is None else _side(z[view], cuts[view])
+                    if label is not None:
+                        key = (1 - view, label, int(kind))
+                        if key not in sums:
+                            sums[key] = [0, np.zeros(META if view == 0 else CONTENT, dtype=np.int64)]
+                        sums[key][0] += 1
+                        if view == 0:
+                            sums[key][1][slots] += 1
+                        else:
+                            sums[key][1][at] += np.rint(value * UNIT).astype(np.int64)
+            yield pd.DataFrame([(*key, n, v.tobytes()) for key, (n, v) in sums.items()], columns=["view", "label", "kind", "n", "total"])
+
+        def add(f: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(t, dtype=np.int64) for t in f["total"])
+            return pd.DataFrame({"view": f["view"][:1], "label": f["label"][:1], "kind": f["kind"][:1], "n": [int(f["n"].sum())], "total": [total.tobytes()]})
+
+        schema = "view int, label int, kind int, n long, total binary"
+        got = self._judged(models, schema, gather).groupBy("view", "label", "kind").applyInPandas(add, schema).collect()  # 4 * KINDS_APART rows at most
+        self.earlier.append((models, cuts))
+        out: list[list[tuple[float, float, np.ndarray]]] = [[], []]
+        for r in sorted(got, key=lambda r: (r.view, r.label, r.kind)):
+            total = np.frombuffer(bytes(r.total), dtype=np.int64).astype(float)
+            fewer = min(1.0, wanted[r.label] / sum(x.n for x in got if (x.view, x.label) == (r.view, r.label)))
+            out[r.view].append((float(r.label), r.n * fewer, total / r.n / (UNIT if r.view == 0 else 1.0)))
+        return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, **settings) -> CoTrained | None:
     """A model, or None if there are fewer than LEAST labelled documents of either quality.
 
     docs: doc_id and NAMES; labels: doc_id, quality. Labels that are null, or whose document isn't there, teach
@@ -222,14 +362,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """
     docs = docs.select("doc_id", *NAMES)
     dice = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 11).cast("double") / F.lit(float(1 << 53))
-    n_labels, n_docs = labels.count(), docs.count()
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(dice < min(1.0, labelled / max(n_labels, 1))).groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").cast("int").alias("y"))
+    usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
+    n_labels = labels.count()
+    known = usable.where(dice < min(1.0, labelled / max(n_labels, 1))).groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").cast("int").alias("y"))
     known = common.written(known, "known")  # about `labelled` rows
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["key"]).select("key", "y", *NAMES)
-    other = docs.where(dice < min(1.0, pool / max(n_docs, 1))).select(F.col("doc_id").alias("key"), F.lit(None).cast("int").alias("y"), *NAMES)
     # a document that occurs many times counts once
-    got = common.written(_views(rows).unionByName(_views(other)).dropDuplicates(["key", "y"]), "views").toPandas()
-    got = got.sort_values(["key", "y"], kind="stable").reset_index(drop=True)
+    got = common.written(_views(rows).dropDuplicates(["key"]), "views").toPandas()
+    got = got.sort_values("key", kind="stable").reset_index(drop=True)
 
     def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         x, m = np.zeros((len(rows), CONTENT), dtype=np.float32), np.zeros((len(rows), META), dtype=np.float32)
@@ -238,16 +378,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             m[k, np.frombuffer(meta, dtype=np.int32)] = 1
         return x, m
 
-    taught = got[got["y"].notna()]
-    y = taught["y"].to_numpy(dtype=np.float64)
+    y = got["y"].to_numpy(dtype=np.float64)
     if min(y.sum(), (1 - y).sum()) < LEAST:
         return None
-    (x, m), (px, pm) = matrix(taught), matrix(got[got["y"].isna()])
+    x, m = matrix(got)
     apart = np.zeros(len(y), dtype=bool)
     for q in (0, 1):
         apart[np.flatnonzero(y == q)[::3]] = True
-    model = co_train(x, m, y, px, pm, apart, **settings)
-    del got, taught, x, m, px, pm
+    model = co_train(x, m, y, Unlabelled(docs, usable.select("doc_id")), apart, **settings)
+    del got, x, m
     common.give_back()
     return model
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.llm import quality
@@ -36,3 +37,41 @@ def test_long_texts_are_scored_whole():
     text = "ab cd. " * 400_000
     whole = quality.content(text)
     assert abs(whole[: quality.GRAMS].sum() - quality.SCALE) < 0.01
+
+
+def test_all_unlabelled_documents_teach(spark):
+    """A rare kind of document, which only its metadata gives away, changes how its words are judged, wherever the ids fall."""
+    rng = random.Random(2)
+
+    def text(words):
+        return " ".join(rng.choices(words, k=40))
+
+    good, bad, rare = ["mild", "kind", "calm"], ["GRAB!!", "BUY$$", "WIN##"], ["qzx", "zxq", "xqz"]
+    taught = [(i, text(good if i % 2 else bad), "en", "fine" if i % 2 else "junk", 5000 if i % 4 == 0 else 9) for i in range(400)]
+    plain = [(1000 + i, text(good if i % 2 else bad), "en", "fine" if i % 2 else "junk", 9) for i in range(4000)]
+    odd = [(10_000 + i, text(rare), "de", "junk", 5000) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    # none of the odd ones is in a sample of 2,000 by hash, nor a labelled one
+    dice = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") / F.lit(float(1 << 53))
+    odd = spark.createDataFrame(odd, SCHEMA).where(dice > 0.5)
+    base = spark.createDataFrame(taught + plain, SCHEMA)
+    asked = spark.createDataFrame([(1, text(rare), "fr", "new", 9)], SCHEMA)
+    without, taught_all = (quality.scored(asked, quality.fit(d, labels)).first().quality_scores.p_content for d in (base, base.unionByName(odd)))
+    assert taught_all < without - 0.05
+
+
+def test_unlabelled_documents(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 50}", "en", "s", 9) for i in range(60)] + [(None, "none", "en", "s", 9)], SCHEMA)
+    labelled = spark.createDataFrame([(i,) for i in range(0, 50, 2)] * 2, "doc_id long")
+    others = quality.Unlabelled(docs, labelled)
+    assert others.n == 25 + 1
+    for at, value in (quality._unpacked(bytes(r.body)) for r in others.rows.collect()):
+        assert any((abs(quality.content(f"text {i}")[at] - value) < 1e-9).all() for i in range(50)) or (abs(quality.content("none")[at] - value) < 1e-9).all()
+    # verdicts do not depend on how rows are dealt
+    rng = np.random.default_rng(1)
+    models = ((rng.normal(0, 5, quality.CONTENT), 0.0), (rng.normal(0, 5, quality.META), 0.0))
+    again = quality.Unlabelled(docs.repartition(5), labelled)
+    a, b = others.verdicts(models, 1.0, 0.5), again.verdicts(models, 1.0, 0.5)
+    assert sum(n for view in a for _, n, _ in view) > 0
+    for one, two in zip(a, b):
+        assert [x[:2] for x in one] == [x[:2] for x in two] and all((x[2] == y[2]).all() for x, y in zip(one, two))
