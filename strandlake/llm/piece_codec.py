@@ -38,12 +38,19 @@ def tokenizer_path() -> str:
 
 
 def load_vocabulary(path: str) -> dict:
-    """What encoding and decoding need of a model file: pieces with scores, byte ids, unknown id."""
+    """What encoding and decoding need of a model file: pieces with scores, byte ids, unknown id.
+
+    Raises on a model in which pieces of marks only don't all rank last and equal, or that has marks within pieces.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i))]
+    names = [sp.id_to_piece(i) for i in plain]
+    marks = {sp.get_score(i) for i, p in zip(plain, names) if not p.strip(MARK)}
+    if len(marks) != 1 or any(sp.get_score(i) <= min(marks) for i, p in zip(plain, names) if p.strip(MARK)) or any(MARK in p[1:] for p in names if p.strip(MARK)):
+        raise ValueError(f"{path}: marks are ranked or placed otherwise than this codec takes for given")
     with open(path, "rb") as f:
         key = hashlib.sha256(f.read()).hexdigest()
     return {
@@ -76,6 +83,8 @@ class PieceCodec:
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
         self.digits = [str(i) for i in range(1 + max(*self.text_of, *self.byte_ids))]
+        self.spelled = [self.text_of.get(i, "") for i in range(len(self.digits))]
+        self.plain = np.array([i in self.text_of for i in range(len(self.digits))])
         self.lone = f"{runs[1]},"
         self.bigrams = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
 
@@ -123,17 +132,15 @@ class PieceCodec:
         out.reverse()
         return out
 
-    def _part(self, part: str) -> tuple[int, str, bool]:
-        """(number of ids, ids as text, whether they decode to the part) of a string across whose ends no piece reaches."""
+    def _part(self, part: str) -> tuple[int, str]:
+        """(number of ids, ids as text) of a string across whose ends no piece reaches."""
         if self.alphabet.issuperset(part):
             found = self._segment(part)
-            same = "".join([self.text_of[i] for i in found]) == part
         else:  # one character that is in no piece
             found = [self.byte_ids[b] for b in part.encode("utf-8")]
-            same = self.decode(found, strip=False) == part
-        return len(found), ",".join([self.digits[i] for i in found]), same
+        return len(found), ",".join([self.digits[i] for i in found])
 
-    def word(self, word: str) -> tuple[int, str, bool]:
+    def word(self, word: str) -> tuple[int, str]:
         """The same of a word with the mark before it."""
         text = MARK + word
         cuts = None
@@ -153,7 +160,7 @@ class PieceCodec:
                             parts.clear()
                         parts[part] = out
                 found.append(out)
-            out = sum([f[0] for f in found]), ",".join([f[1] for f in found]), all([f[2] for f in found])
+            out = sum([f[0] for f in found]), ",".join([f[1] for f in found])
         else:
             out = self._part(text)
         if len(word) <= 64:
@@ -172,7 +179,7 @@ class PieceCodec:
             n -= k
         return out
 
-    def _words(self, text: str) -> list[tuple[int, str, bool]]:
+    def _words(self, text: str) -> list[tuple[int, str]]:
         """What word() gives, for the words and runs of marks of a text in order."""
         words, word = self.words.get, self.word
         split = text.replace(MARK, " ").split(" ")
@@ -188,24 +195,40 @@ class PieceCodec:
                 if marks > 1:
                     # the last mark belongs to the run before if the word didn't take it
                     if found[1].startswith(lone):
-                        found = (found[0] - 1, found[1][len(lone) :], found[2])
+                        found = (found[0] - 1, found[1][len(lone) :])
                         marks += 1
                     run = self._run(marks - 1)
-                    out.append((len(run), ",".join(run), True))
+                    out.append((len(run), ",".join(run)))
                 out.append(found)
             else:
                 run = self._run(marks)
-                out.append((len(run), ",".join(run), True))
+                out.append((len(run), ",".join(run)))
             marks = 0
         return out
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; an array takes a tenth of a list's memory."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        return np.fromstring(",".join([ids for _, ids, _ in self._words(text)]), dtype=np.int32, sep=",")
-
-    def decode(self, ids: list[int], strip: bool = True) -> str:
+        return self._numbers(self.joined(text))
+
+    def joined(self, text: str) -> str:
+        """The ids of a text, as numbers joined by commas."""
+        return ",".join([ids for _, ids in self._words(text)]) if text else ""
+
+    @staticmethod
+    def _numbers(joined: str) -> np.ndarray:
+        return np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, dtype=np.int32)
+
+    def text(self, ids: np.ndarray) -> str:
+        """decode(), for an array of ids; where all are pieces these are only joined."""
+        if not len(ids):
+            return ""
+        ids_ = ids.tolist()
+        if not self.plain[ids].all():
+            return self.decode(ids_)
+        out = "".join(map(self.spelled.__getitem__, ids_)).replace(MARK, " ")
+        return out[1:] if out.startswith(" ") else out
+
+    def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD each, the mark that encoding puts first is taken off."""
         out, raw = [], bytearray()
 
@@ -232,21 +255,22 @@ class PieceCodec:
             if raw:
                 flush()
             p = self.text_of[i].replace(MARK, " ") if i in self.text_of else self.other[i]
-            if n == 0 and strip and p.startswith(" ") and i in self.text_of:
+            if n == 0 and p.startswith(" ") and i in self.text_of:
                 p = p[1:]
             out.append(p)
         flush()
         return "".join(out)
 
+    def whole(self, text: str) -> tuple[np.ndarray, int, str, str]:
+        """Ids, their number, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids."""
+        joined = self.joined(text)
+        ids = self._numbers(joined)
+        back = self.text(ids).encode("utf-8", "surrogatepass")
+        return ids, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        found = self._words(text) if text else []
-        ids = ",".join([f[1] for f in found])
-        if all([f[2] for f in found]):  # every word's ids were decoded and gave the word
-            back = text.replace(MARK, " ")
-        else:
-            back = self.decode([int(i) for i in ids.split(",")])
-        return sum([f[0] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids."""
+        return self.whole(text)[1:]
 
 
 def _codec(shared) -> PieceCodec:
@@ -306,7 +330,7 @@ def tokenised(docs: DataFrame, text_col: str = "text", path: str | None = None)
     @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
         codec = _codec(shared)
-        return pd.DataFrame([(codec.encode(t or ""), *codec.digests(t or "")) for t in texts], columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([codec.whole(t or "") for t in texts], columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.withColumn("__tokens", run(F.col(text_col)))
     return out.withColumns({c: F.col(f"__tokens.{c}") for c in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")}).drop("__tokens")
