@@ -15,6 +15,7 @@ runs of marks are cut from the left into the longest such pieces. Characters in
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -83,8 +84,10 @@ class PieceCodec:
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
         self.digits = [str(i) for i in range(1 + max(*self.text_of, *self.byte_ids))]
-        self.spelled = [self.text_of.get(i, "") for i in range(len(self.digits))]
-        self.plain = np.array([i in self.text_of for i in range(len(self.digits))])
+        # what an id stands for by itself: a piece, or a byte of ASCII
+        ascii_ = {i: chr(b) for i, b in self.byte_of.items() if b < 128}
+        self.spelled = [self.text_of[i].replace(MARK, " ") if i in self.text_of else ascii_.get(i, "") for i in range(len(self.digits))]
+        self.odd = np.array([i not in self.text_of and i not in ascii_ for i in range(len(self.digits))])
         self.lone = f"{runs[1]},"
         self.bigrams = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
 
@@ -132,15 +135,15 @@ class PieceCodec:
         out.reverse()
         return out
 
-    def _part(self, part: str) -> tuple[int, str]:
-        """(number of ids, ids as text) of a string across whose ends no piece reaches."""
+    def _part(self, part: str) -> tuple[bytes, str]:
+        """The ids, as 32-bit numbers and as text, of a string across whose ends no piece reaches."""
         if self.alphabet.issuperset(part):
             found = self._segment(part)
         else:  # one character that is in no piece
             found = [self.byte_ids[b] for b in part.encode("utf-8")]
-        return len(found), ",".join([self.digits[i] for i in found])
+        return array("i", found).tobytes(), ",".join([self.digits[i] for i in found])
 
-    def word(self, word: str) -> tuple[int, str]:
+    def word(self, word: str) -> tuple[bytes, str]:
         """The same of a word with the mark before it."""
         text = MARK + word
         cuts = None
@@ -160,7 +163,7 @@ class PieceCodec:
                             parts.clear()
                         parts[part] = out
                 found.append(out)
-            out = sum([f[0] for f in found]), ",".join([f[1] for f in found])
+            out = b"".join([f[0] for f in found]), ",".join([f[1] for f in found])
         else:
             out = self._part(text)
         if len(word) <= 64:
@@ -169,17 +172,17 @@ class PieceCodec:
             self.words[word] = out
         return out
 
-    def _run(self, n: int) -> list[str]:
+    def _run(self, n: int) -> tuple[bytes, str]:
         out = []
         while n > 0:
             k = min(n, self.longest_run)
             while k not in self.runs:
                 k -= 1
-            out.append(str(self.runs[k]))
+            out.append(self.runs[k])
             n -= k
-        return out
+        return array("i", out).tobytes(), ",".join(map(str, out))
 
-    def _words(self, text: str) -> list[tuple[int, str]]:
+    def _words(self, text: str) -> list[tuple[bytes, str]]:
         """What word() gives, for the words and runs of marks of a text in order."""
         words, word = self.words.get, self.word
         split = text.replace(MARK, " ").split(" ")
@@ -195,77 +198,64 @@ class PieceCodec:
                 if marks > 1:
                     # the last mark belongs to the run before if the word didn't take it
                     if found[1].startswith(lone):
-                        found = (found[0] - 1, found[1][len(lone) :])
+                        found = (found[0][4:], found[1][len(lone) :])
                         marks += 1
-                    run = self._run(marks - 1)
-                    out.append((len(run), ",".join(run)))
+                    out.append(self._run(marks - 1))
                 out.append(found)
             else:
-                run = self._run(marks)
-                out.append((len(run), ",".join(run)))
+                out.append(self._run(marks))
             marks = 0
         return out
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; an array takes a tenth of a list's memory."""
-        return self._numbers(self.joined(text))
-
-    def joined(self, text: str) -> str:
-        """The ids of a text, as numbers joined by commas."""
-        return ",".join([ids for _, ids in self._words(text)]) if text else ""
-
-    @staticmethod
-    def _numbers(joined: str) -> np.ndarray:
-        return np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, dtype=np.int32)
+        return np.frombuffer(b"".join([ids for ids, _ in self._words(text)]) if text else b"", dtype=np.int32)
 
-    def text(self, ids: np.ndarray) -> str:
-        """decode(), for an array of ids; where all are pieces these are only joined."""
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """Text of ids; bytes that are no UTF-8 become U+FFFD each, the mark that encoding puts first is taken off."""
+        ids = np.asarray(ids, dtype=np.int64)
         if not len(ids):
             return ""
-        ids_ = ids.tolist()
-        if not self.plain[ids].all():
-            return self.decode(ids_)
-        out = "".join(map(self.spelled.__getitem__, ids_)).replace(MARK, " ")
-        return out[1:] if out.startswith(" ") else out
+        listed, spelled = ids.tolist(), self.spelled
+        odd = np.flatnonzero(self.odd[ids])
+        if len(odd):  # runs of bytes beyond ASCII, and of ids that are no text
+            out, at = [], 0
+            for run in np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1):
+                out += map(spelled.__getitem__, listed[at : run[0]])
+                at = int(run[-1]) + 1
+                out.append(self._odd(listed[run[0] : at]))
+            back = "".join([*out, *map(spelled.__getitem__, listed[at:])])
+        else:
+            back = "".join(map(spelled.__getitem__, listed))
+        return back[1:] if listed[0] in self.text_of and back.startswith(" ") else back
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD each, the mark that encoding puts first is taken off."""
+    def _odd(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
-
-        def flush():
-            k = 0
-            while k < len(raw):
+        for i in [*ids, None]:
+            if i in self.byte_of:
+                raw.append(self.byte_of[i])
+                continue
+            while raw:
                 for size in (1, 2, 3, 4):
                     try:
-                        out.append(bytes(raw[k : k + size]).decode("utf-8"))
-                        k += size
+                        out.append(bytes(raw[:size]).decode("utf-8"))
                         break
                     except UnicodeDecodeError:
                         continue
                 else:
-                    out.append("�")
-                    k += 1
-            raw.clear()
-
-        for n, i in enumerate(ids):
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                flush()
-            p = self.text_of[i].replace(MARK, " ") if i in self.text_of else self.other[i]
-            if n == 0 and p.startswith(" ") and i in self.text_of:
-                p = p[1:]
-            out.append(p)
-        flush()
+                    out.append("\ufffd")
+                    size = 1
+                del raw[:size]
+            if i is not None:
+                out.append(self.other[i])
         return "".join(out)
 
     def whole(self, text: str) -> tuple[np.ndarray, int, str, str]:
         """Ids, their number, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids."""
-        joined = self.joined(text)
-        ids = self._numbers(joined)
-        back = self.text(ids).encode("utf-8", "surrogatepass")
+        found = self._words(text) if text else []
+        ids = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32)
+        joined = ",".join([f[1] for f in found])
+        back = self.decode(ids).encode("utf-8", "surrogatepass")
         return ids, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -303,7 +293,7 @@ def decoded(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         codec = _codec(shared)
-        return ids.map(lambda x: codec.decode([int(i) for i in x]) if x is not None else "")
+        return ids.map(lambda x: codec.decode(x) if x is not None else "")
 
     return df.withColumn(text_col, text(F.col(ids_col)))
 
