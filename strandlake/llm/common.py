@@ -70,7 +70,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to.rsplit("/", 1)[0])
 
 
 def ascii_lower(text: Column) -> Column:
@@ -103,25 +111,37 @@ def hold(name: str, make):
     return _held["value"]
 
 
-def bloom(keys: DataFrame, key: str, n_keys: int, most_slots: int = 1 << 22) -> Column:
+def bloom(keys: DataFrame, key: str, n_keys: int, most_bits: int = 1 << 25) -> Column:
     """A condition on a long column of the same name: true for every value in keys, and false for most others.
 
-    The filter holds a byte a slot and at most most_slots of them, whatever the input; when it fills up, it lets
-    more rows pass, so an exact step must follow.
+    The filter holds at most most_bits bits (4 MB), whatever the input; when it fills up, it lets more rows pass, so an
+    exact step must follow.
     """
     log2 = 12
-    while (1 << log2) < min(16 * max(n_keys, 1), most_slots):
+    while (1 << log2) < min(16 * max(n_keys, 1), most_bits):
         log2 += 1
     words = (
         keys.groupBy(F.expr(f"cast(shiftrightunsigned({key}, {64 - log2 + 6}) as int)").alias("w"))
         .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({key}, {64 - log2}) & 63 as int)))").alias("b"))
         .toPandas()
     )
-    held = np.zeros(1 << (log2 - 6), dtype="<u8")
-    held[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view("<u8")
-    slots = np.unpackbits(held.view(np.uint8), bitorder="little").tobytes()
-    slot = F.expr(f"cast(shiftrightunsigned({key}, {64 - log2}) as int)")
-    return F.substring(constant(keys.sparkSession, bytearray(slots), "binary"), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    held = np.zeros(1 << (log2 - 6), dtype=np.int64)
+    held[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    word = F.get(constant(keys.sparkSession, held.tolist(), "array<bigint>"), F.expr(f"cast(shiftrightunsigned({key}, {64 - log2 + 6}) as int)"))
+    return F.getbit(word, F.expr(f"cast(shiftrightunsigned({key}, {64 - log2}) & 63 as int)")) == 1
+
+
+def without(docs: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
+    """docs, all columns, without the rows whose values in the columns `on` (nulls equal) are in gone, which has these columns only.
+
+    Only rows that a bounded filter can't tell from those in gone are shuffled.
+    """
+    gone = written(gone.select(*[F.col(c).alias(f"__gone_{c}") for c in on]), "gone")
+    hashed = gone.select(F.xxhash64(*gone.columns).alias("__h"))
+    maybe = bloom(hashed, "__h", gone.count())
+    docs = docs.withColumn("__h", F.xxhash64(*on))
+    rest = docs.where(maybe).join(gone, [F.col(c).eqNullSafe(F.col(f"__gone_{c}")) for c in on], "left_anti")
+    return docs.where(~maybe).unionByName(rest).drop("__h")
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:

@@ -1,77 +1,72 @@
 """Similarity self-join of documents on the Jaccard index of their word n-grams, and the groups that it links.
 
 Rare-first prefix filtering. Of two sets with a Jaccard index of at least t, the first n - ceil(t n) + 1 elements, in
-any order common to all, share one. The order is by how often an n-gram occurs, rarest first; frequencies are estimated
-from a table of hashed counts over the whole corpus, whose size is fixed (an estimate costs candidates, never links, as
-the order is the same for all documents). Prefix n-grams become postings (n-gram, document, set size, position).
-Candidates share a posting and pass the length filter and the positional filter, then a suffix filter: fixed pivots cut
-the hashes into PARTS parts, and the numbers of elements in these bound the overlap of two sets, a byte a part. Only
-the sets of pairs that are left are fetched and intersected. Each pair is verified once.
-
-Documents with equal sets are one class and are represented by the smallest id, so copies make no pairs. Pairs are not
-all made: an n-gram's documents are first compared with its smallest document and the links' components are found; then, as
-long as that leaves many pairs, those outside the n-gram's largest component with a few documents of it; after that every pair whose n-gram agrees but whose components differ is verified. So the groups
-are exact, while a group of many similar documents costs about a comparison each. N-grams that very many documents have
-in their prefix are spread over salts when the postings are dealt.
-
-Words are cut and hashed (64 bits) by array operations over whole batches of texts.
+any order common to all, share one. The order is by the number of documents that hold an n-gram, rarest first.
+
+1. Documents: a pass over the texts gives each document's set size, a digest of its word sequence (documents of one
+   sequence are one class, represented by the smallest), a signature for the suffix filter, and the n-grams that are
+   very frequent. These are found by lossy counting: what makes up more than one in HOTS of all occurrences is found
+   for certain, so at most HOTS n-grams are broadcast, whatever the input. They come last in the order.
+2. Frequencies: a second pass deals all other n-grams by ranges of their hash, packed (5 bytes an n-gram and the
+   documents' ids once a pack). A task sorts its range and sends back, for each n-gram that two documents share, the
+   document and the exact count. N-grams of one document alone, usually most, never travel again.
+3. Prefixes: a document's n-grams that nobody else has come first, so the shared ones' positions follow from their
+   number. Those within the prefix are the postings (n-gram, document, set size, position, signature).
+4. Candidates: documents with a posting in common that pass the length filter, the positional filter and the suffix
+   filter (fixed pivots cut the hashes into PARTS parts; the parts' numbers of elements bound the overlap).
+5. Each candidate pair is verified once, on the words of the texts themselves, so no hash makes a link.
+
+Pairs are not all made. In a round, the documents of an n-gram, in blocks of at most BLOCK, are gathered greedily: a
+leader takes all that pass the filters with it, and the next leader comes from what is left; a document gives one pair
+an n-gram. Verified links give components. Rounds go on, with blocks dealt anew, while n-grams are left whose documents
+lie in several components and would make many pairs. Last, every pair that passes the filters, shares a posting and
+lies in different components is verified, by pairs of blocks: documents outside an n-gram's largest component against
+all. So groups are exact, and a group of many similar documents costs about a comparison each.
+
+Hashes of n-grams have 64 bits, of which postings keep 40 besides the range's: an n-gram's words are hashed by BLAKE2b
+and then mixed. What equal hashes of different n-grams could do is make a set one smaller (n_shingles; two n-grams of
+one document, 2**-64 a pair), or add a candidate, which verification drops. Word sequences are told apart by 128 bits of
+BLAKE2b.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import common
 
-SKETCH_BITS = 20
-#: Parts that pivots cut the hashes into, for the suffix filter.
-PART_BITS = 9
+#: At most so many n-grams are broadcast as frequent; none that occurs fewer than HOT_LEAST times.
+HOTS, HOT_LEAST = 1 << 18, 256
+#: Parts that pivots cut the hashes into, for the suffix filter (half a byte each).
+PART_BITS = 8
 PARTS = 1 << PART_BITS
-CHUNKS = 64
-#: Documents with an n-gram in their prefix, above the mean of the table, from which its postings are spread.
-SPREAD = 4000
-#: Rounds, at most, in which documents outside an n-gram's largest component are compared with LEADERS of its documents.
-ROUNDS, LEADERS = 6, 8
-#: A document's shared n-grams by which the first round finds candidates.
-FEW = 12
 #: Bytes of text that are worked on at once (a longer text is one batch).
 BATCH = 1 << 19
-#: Rows of two sets given to a Python worker at once.
-PAIR_ROWS = 500
+#: N-grams that a task deals at once, and that a task of the second pass gets (about).
+FLUSH, TASK_GRAMS = 1 << 20, 1 << 21
+#: Documents of an n-gram that are compared in one task.
+BLOCK = 1024
+#: Rounds of greedy gathering, at most; what they leave is compared anyway.
+ROUNDS = 3
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 100_000
+LOW = np.uint64((1 << 40) - 1)
 
 
-def _fresh() -> dict:
-    rng = np.random.default_rng(20240229)
-    letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    space = np.zeros(256, dtype=bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-    return {"letter": letter, "space": space, "base": 0x9E3779B97F4A7C15 | 5, "size": 0}
+class _Words(dict):
+    """Word -> 64-bit hash."""
 
-
-def _constants() -> dict:
-    return common.hold("n-grams", _fresh)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse, modulo 2**64."""
-    s = _constants()
-    if s["size"] < n + 1:
-        size = max(n + 1, 2 * BATCH)
-        inverse = pow(s["base"], -1, 1 << 64)
-        out = []
-        for b in (s["base"], inverse):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        s["up"], s["down"] = out
-        s["size"] = size
-    return s["up"], s["down"]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,61 +75,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int, digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document number, n-gram hash) of each distinct n-gram of some texts, by document and hash.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer words than width is one n-gram,
-    one without words has none.
+    one without words has none. digests: gets the digest of each text's word sequence.
     """
-    s = _constants()
-    buf = b"\n".join(texts).lower() + b"\n"
-    raw = np.frombuffer(buf, dtype=np.uint8)
-    up, down = _powers(len(raw))
-    blank = s["space"][raw]
-    edge = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(s["letter"][raw] * up[: len(raw)], dtype=np.uint64)))
-    word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc = np.searchsorted(ends, start, side="right")
-    n = len(word)
-    h = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
-    for k in range(width):
-        h = mix(h * np.uint64(0x2545F4914F6CDD1D) + word[k : n - width + 1 + k]) if n >= width else h
-    whole = doc[: len(h)] == doc[width - 1 :] if n >= width else np.zeros(0, dtype=bool)
-    docs, grams = doc[: len(h)][whole], h[whole]
-    count = np.bincount(doc, minlength=len(texts))
-    for c in range(1, width):  # texts of c words
-        short = np.flatnonzero(count == c)
-        first = np.searchsorted(doc, short)
-        x = np.zeros(len(short), dtype=np.uint64)
-        for k in range(c):
-            x = mix(x * np.uint64(0x2545F4914F6CDD1D) + word[first + k])
-        docs, grams = np.append(docs, short), np.append(grams, mix(x ^ np.uint64(c)))
-    order = np.lexsort((grams, docs))
-    docs, grams = docs[order], grams[order]
-    if len(docs):
-        new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (grams[1:] != grams[:-1])))
-        docs, grams = docs[new], grams[new]
-    return docs, grams
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    """(ids, texts) of about BATCH bytes each, of columns doc and text."""
-    ids, texts, size = [], [], 0
+    get = common.hold("n-grams", _Words).__getitem__
+    hashes, counts = [], []
+    for t in texts:
+        words = t.lower().split()
+        counts.append(len(words))
+        hashes.append(np.fromiter(map(get, words), dtype=np.uint64, count=len(words)))
+        if digests is not None:
+            digests.append(blake2b(b" ".join(words), digest_size=16).digest())
+    word, many = np.concatenate(hashes or [np.zeros(0, dtype=np.uint64)]), np.array(counts, dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(many)[:-1])) if len(many) else many
+
+    def rolled(at: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(len(at), k, dtype=np.uint64)
+        for i in range(k):
+            h = mix(h * np.uint64(0x2545F4914F6CDD1D) + word[at + i])
+        return h
+
+    docs, grams = [], []
+    for k in range(1, width + 1):
+        of = np.flatnonzero(many >= width if k == width else many == k)
+        n = np.maximum(many[of] - k + 1, 0)
+        doc = np.repeat(of, n)
+        at = np.repeat(first[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        docs.append(doc)
+        grams.append(rolled(at, k))
+    doc, gram = np.concatenate(docs), np.concatenate(grams)
+    order = np.lexsort((gram, doc))
+    doc, gram = doc[order], gram[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
+    return doc[new], gram[new]
+
+
+def _batches(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[list[list[int | None]], list[bytes]]]:
+    """(values of each key, texts) of about BATCH bytes each, of columns keys and text."""
+    held, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column("doc").to_pylist(), b.column("text")):
+        for *key, t in zip(*(b.column(k).to_pylist() for k in keys), b.column("text")):
             raw = t.as_buffer().to_pybytes() if t.is_valid else b""
             if texts and size + len(raw) > BATCH:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
+                yield [list(x) for x in zip(*held)], texts
+                held, texts, size = [], [], 0
+            held.append(key)
             texts.append(raw)
             size += len(raw)
     if texts:
-        yield ids, texts
+        yield [list(x) for x in zip(*held)], texts
 
 
 def _record(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -142,179 +135,428 @@ def _record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-# --- pass 1: set sizes, signatures, counts
-STATS = "doc long, n int, s1 long, s2 long, parts binary, chunk int, counts binary"
+KIND = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, KIND[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+# --- 1: documents
+STATS = "doc long, node long, n int, digest binary, sig binary, gram long, seen long"
+
+
+class _Frequent:
+    """Lossy counting: whatever makes up more than 1 / HOTS of all that was added is among the counts."""
+
+    def __init__(self):
+        self.gram, self.n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.waiting, self.size, self.total = [], 0, 0
+
+    def add(self, grams: np.ndarray, last: bool = False) -> None:
+        self.waiting.append(grams)
+        self.size += len(grams)
+        if self.size >= FLUSH or last:
+            gram, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            keep = n >= max(2, self.size / HOTS)
+            both, at = np.unique(np.concatenate((self.gram, gram[keep])), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate((self.n, n[keep])), minlength=len(both)).astype(np.int64)
+            self.total += self.size
+            keep = n >= max(2, self.total / HOTS)
+            self.gram, self.n = both[keep], n[keep]
+            self.waiting, self.size = [], 0
+
+
+def _signatures(docs: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+    """How many of a document's hashes lie in each part, at most 15, two parts a byte."""
+    part = (grams >> np.uint64(64 - PART_BITS)).astype(np.int64)
+    spread = np.minimum(np.bincount(docs * PARTS + part, minlength=n * PARTS), 15).astype(np.uint8).reshape(n, PARTS)
+    return spread[:, ::2] | (spread[:, 1::2] << 4)
+
+
+def _counted(sigs: np.ndarray) -> np.ndarray:
+    return np.concatenate((sigs & 15, sigs >> 4), axis=-1).astype(np.int16)
 
 
 def _stats(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = _schema(STATS)
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        for ids, texts in _batches(batches):
-            docs, grams = shingle_sets(texts, width)
+        frequent = _Frequent()
+        for (ids, nodes), texts in _batches(batches, "doc", "node"):
+            digests: list[bytes] = []
+            docs, grams = shingle_sets(texts, width, digests)
             n = np.bincount(docs, minlength=len(texts)).astype(np.int32)
-            s1, s2 = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
-            parts = np.zeros((len(texts), PARTS), dtype=np.uint8)
-            if len(docs):
-                held = np.flatnonzero(n)
-                at = np.concatenate(([0], np.cumsum(n[held])[:-1]))
-                s1[held] = np.add.reduceat(mix(grams), at)
-                s2[held] = np.bitwise_xor.reduceat(mix(grams + np.uint64(0x9E3779B97F4A7C15)), at)
-                spread = np.bincount(docs * PARTS + (grams >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=len(texts) * PARTS)
-                parts = np.minimum(spread, 255).astype(np.uint8).reshape(len(texts), PARTS)
-                counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield _record(schema, doc=ids, n=n, s1=s1.view(np.int64), s2=s2.view(np.int64), parts=[x.tobytes() for x in parts])
-        yield _record(schema, chunk=np.arange(CHUNKS, dtype=np.int32), counts=[zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)])
+            yield _record(schema, doc=ids, node=nodes, n=n, digest=digests, sig=[x.tobytes() for x in _signatures(docs, grams, len(texts))])
+            frequent.add(grams)
+        frequent.add(np.zeros(0, dtype=np.uint64), last=True)
+        yield _record(schema, gram=frequent.gram.view(np.int64), seen=frequent.n)
 
     return run
 
 
-def _summed(stats: DataFrame) -> np.ndarray:
-    """The table of counts: 2**SKETCH_BITS numbers, whatever the corpus. Tasks add up the parts as they read them."""
-    size = (1 << SKETCH_BITS) // CHUNKS
-    schema = pa.schema([("chunk", pa.int32()), ("total", pa.binary())])
+# --- 2: frequencies
+def _part(nodes: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(nodes.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
 
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("counts")):
-                held.setdefault(chunk, np.zeros(size, dtype=np.int64))
-                held[chunk] += np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.uint32)
-        if held:
-            yield _record(schema, chunk=np.array(list(held), dtype=np.int32), total=[x.tobytes() for x in held.values()])
 
-    # parts are first added up by the files they lie in, then by chunk
-    parts = stats.where("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, "chunk int, total binary")
+def _packed(low: np.ndarray) -> np.ndarray:
+    """40-bit numbers as five bytes each."""
+    return low.view(np.uint8).reshape(-1, 8)[:, :5]
 
-    def finish(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("total")):
-                held.setdefault(chunk, np.zeros(size, dtype=np.int64))
-                held[chunk] += np.frombuffer(raw.as_py(), dtype=np.int64)
-        if held:
-            yield _record(schema, chunk=np.array(list(held), dtype=np.int32), total=[x.tobytes() for x in held.values()])
 
-    out = np.zeros((CHUNKS, size), dtype=np.int64)
-    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(finish, "chunk int, total binary").collect():  # CHUNKS rows
-        out[r.chunk] += np.frombuffer(bytes(r.total), dtype=np.int64)
-    return out.reshape(-1)
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones first: what they have in common is compressed away when they are shuffled."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _of_planes(raw: np.ndarray, n: int, kind) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(-1, n).T).reshape(-1).view(kind)
+
 
+DEALT = "bucket int, part int, body binary"
 
-# --- pass 2: postings
-def _postings(width: int, num: int, den: int, table, spread_at: float):
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+def _dealt(width: int, num: int, den: int, bits: int, parts: int, hot):
+    """Packs of n-grams by bucket (the first bits of the hash): ids and numbers of n-grams of the documents, and the n-grams.
+
+    A document's frequent n-grams go to its part at once, as do how many these are: in packs of a part of 0 or more.
+    """
+    schema = _schema(DEALT)
+    shift = np.uint64(64 - bits - 40)
 
     def run(batches):
-        rank = table.value
-        seen: set[bytes] = set()
-        for ids, texts in _batches(batches):
-            ids = np.array(ids, dtype=np.int64)
+        frequent, rank = hot.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            node, gram = (np.concatenate(x) for x in zip(*held))
+            bucket = (gram >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(gram), dtype=np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            node, low, bucket = node[order], (gram[order] >> shift) & LOW, bucket[order].astype(np.int64)
+            start = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
+            run = np.concatenate(([True], (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])))
+            bodies = []
+            for a, b in zip(start, [*start[1:], len(node)]):
+                at = np.flatnonzero(run[a:b])
+                of = np.diff(np.append(at, b - a)).astype(np.uint32)
+                bodies.append(np.uint32(len(at)).tobytes() + _planes(node[a:b][at]) + _planes(of) + _packed(low[a:b]).tobytes())
+            yield _record(schema, bucket=bucket[start].astype(np.int32), part=np.full(len(start), -1, dtype=np.int32), body=bodies)
+
+        for (nodes,), texts in _batches(batches, "node"):
+            nodes = np.array(nodes, dtype=np.int64)
             docs, grams = shingle_sets(texts, width)
-            if not len(docs):
-                continue
-            often = rank[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.lexsort((grams, often, docs))
-            docs, grams, often = docs[order], grams[order], often[order]
-            n = np.bincount(docs, minlength=len(texts))
-            first = np.concatenate(([0], np.cumsum(n)[:-1]))
-            # equal sets in a task: one of them will do, as classes are known from all signatures
-            fresh = np.zeros(len(texts), dtype=bool)
-            for d in np.flatnonzero(n):
-                sign = zlib.crc32(mem := grams[first[d] : first[d] + n[d]].tobytes()).to_bytes(4, "big") + mem[:8] + mem[-8:] + int(mix(grams[first[d] : first[d] + n[d]]).sum(dtype=np.uint64)).to_bytes(8, "big")
-                if sign not in seen:
-                    seen.add(sign)
-                    fresh[d] = True
-            pos = np.arange(len(docs)) - first[docs]
-            prefix = n - (-(-num * n // den)) + 1
-            kept = (pos < prefix[docs]) & fresh[docs]
-            docs, grams, often, pos = docs[kept], grams[kept], often[kept], pos[kept]
-            spread = np.maximum(np.ceil((often - spread_at) / SPREAD), 0).astype(np.int64)
-            salt = np.where(spread > 0, 1 + (mix(ids[docs].view(np.uint64)) % np.maximum(spread, 1).astype(np.uint64)).astype(np.int64), 0)
-            yield _record(schema, token=grams.view(np.int64), salt=salt.astype(np.int32), doc=ids[docs], n=n[docs].astype(np.int32), pos=pos.astype(np.int32))
+            if len(frequent) and len(grams):
+                at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+                is_hot = frequent[at] == grams
+                doc, order = docs[is_hot], rank[at[is_hot]]
+                if len(doc):
+                    n = np.bincount(docs, minlength=len(texts))
+                    many = np.bincount(doc, minlength=len(texts))
+                    by = np.lexsort((order, doc))
+                    doc, token = doc[by], grams[is_hot][by] >> shift
+                    nth = np.arange(len(doc)) - (np.cumsum(many) - many)[doc]
+                    pos = (n - many)[doc] + nth
+                    kept = pos < (n - (-(-num * n // den)) + 1)[doc]
+                    for d in np.flatnonzero(many):  # a row for each document that has any
+                        mine = slice(*np.searchsorted(doc, [d, d + 1]))
+                        body = np.array([nodes[d], many[d]]).tobytes() + token[mine][kept[mine]].tobytes()
+                        yield _record(schema, bucket=_part(nodes[d : d + 1], 1 << 20), part=_part(nodes[d : d + 1], parts), body=[body])
+                docs, grams = docs[~is_hot], grams[~is_hot]
+            if len(grams):
+                held.append((nodes[docs], grams))
+                size += len(grams)
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
     return run
 
 
-# --- sets and their comparison
-def _sets(width: int, wanted: DataFrame, n_wanted: int, docs: DataFrame) -> DataFrame:
-    """(doc, grams) of the wanted documents (column doc)."""
-    schema = pa.schema([("doc", pa.int64()), ("grams", pa.binary())])
+SENT = "part int, bucket int, body binary, node long, n int, sig binary"
 
-    def run(batches):
-        for ids, texts in _batches(batches):
-            at, grams = shingle_sets(texts, width)
-            cut = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(texts)))))
-            yield _record(schema, doc=ids, grams=[grams[cut[k] : cut[k + 1]].tobytes() for k in range(len(texts))])
 
-    hashed = wanted.select(F.xxhash64("doc").alias("h"))
-    maybe = common.bloom(hashed, "h", n_wanted)
-    rows = docs.withColumn("h", F.xxhash64("doc")).where(maybe).drop("h")
-    return rows.mapInArrow(run, "doc long, grams binary").join(wanted, "doc", "left_semi")
+def _frequencies(parts: int):
+    """Of a bucket's packs, the n-grams that two documents have at least, with their counts, to the documents' parts."""
+    schema = _schema(SENT)
 
+    def run(batches):
+        common.hold("n-grams", _Words)
+        now, packs = None, []
+
+        def finish():
+            nodes, lows = [], []
+            for raw in packs:
+                raw = np.frombuffer(raw, dtype=np.uint8)
+                k = int(raw[:4].view(np.uint32)[0])
+                nodes.append(np.repeat(_of_planes(raw[4 : 4 + 8 * k], k, np.int64), _of_planes(raw[4 + 8 * k : 4 + 12 * k], k, np.uint32)))
+                lows.append(_unpacked(raw[4 + 12 * k :]))
+            node, low = np.concatenate(nodes), np.concatenate(lows)
+            order = np.argsort(low, kind="stable")
+            node, low = node[order], low[order]
+            start = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+            n = np.diff(np.append(start, len(low)))
+            n = np.repeat(n, n)
+            node, low, n = node[n > 1], low[n > 1], n[n > 1]
+            if not len(node):
+                return
+            part = _part(node, parts)
+            order = np.argsort(part, kind="stable")
+            node, low, n, part = node[order], low[order], np.minimum(n[order], 65535).astype(np.uint16), part[order]
+            start = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
+            bodies = [np.uint32(b - a).tobytes() + _planes(node[a:b]) + _planes(n[a:b]) + _packed(low[a:b]).tobytes() for a, b in zip(start, [*start[1:], len(node)])]
+            yield _record(schema, part=part[start], bucket=np.full(len(start), now, dtype=np.int32), body=bodies)
 
-def overlap_enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Whether den * |a & b| >= num * |a | b|, for sorted arrays of distinct hashes."""
-    n = len(a) + len(b)
-    if not n:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    common_n = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return den * common_n >= num * (n - common_n)
+        for b in batches:
+            for bucket, part, body in zip(b.column("bucket").to_pylist(), b.column("part").to_pylist(), b.column("body")):
+                if part >= 0:
+                    yield _record(schema, part=[part], body=[body.as_py()])
+                    continue
+                if bucket != now and packs:
+                    yield from finish()
+                    packs = []
+                now = bucket
+                packs.append(body.as_py())
+        if packs:
+            yield from finish()
 
+    return run
 
-def _suffix_filtered(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the suffix filter passes.
 
-    Elements in different parts can't be equal, so two sets differ by at least the sum, over the parts, of the
-    differences of their numbers of elements there; a pair whose sum is more than links allow is dropped.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _heads(parts: int):
+    schema = _schema(SENT)
 
     def run(batches):
-        for x in batches:
-            n = x.num_rows
-            if not n:
-                continue
-            pa_, pb_ = (np.frombuffer(b"".join(v.as_py() for v in x.column(c)), dtype=np.uint8).reshape(n, PARTS).astype(np.int16) for c in ("xa", "xb"))
-            size = np.asarray(x.column("na")).astype(np.int64) + np.asarray(x.column("nb"))
-            need = -(-num * size // (num + den))
-            kept = np.abs(pa_ - pb_).sum(axis=1) <= size - 2 * need
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(kept)), x.column("b").filter(pa.array(kept))], schema=schema)
-
-    # only the parts of documents in candidates are shuffled
-    docs = pairs.select(F.xxhash64("a").alias("h")).unionByName(pairs.select(F.xxhash64("b").alias("h")))
-    parts = parts.withColumn("h", F.xxhash64("doc")).where(common.bloom(docs, "h", 2 * pairs.count())).drop("h")
-    both = pairs.join(parts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa")), "a")
-    both = both.join(parts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb")), "b")
-    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) for pairs (a, b)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+        for b in batches:
+            nodes = np.asarray(b.column("node"))
+            yield _record(schema, part=_part(nodes, parts), node=b.column("node"), n=b.column("n"), sig=b.column("sig"))
+
+    return run
+
+
+# --- 3: prefixes
+POSTING = "token long, node long, n int, pos int, sig binary"
+
+
+def _prefixes(num: int, den: int):
+    schema = _schema(POSTING)
 
     def run(batches):
+        common.hold("n-grams", _Words)
+        now, rows = None, []
+
+        def finish():
+            heads = {node: (n, sig) for _, body, node, n, sig in rows if body is None}
+            if not heads:
+                return
+            ids = np.array(sorted(heads), dtype=np.int64)
+            size = np.array([heads[i][0] for i in ids.tolist()], dtype=np.int64)
+            sigs = [heads[i][1] for i in ids.tolist()]
+            node, token, df = [], [], []
+            special = np.zeros(len(ids), dtype=np.int64)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tokens, documents' numbers, positions
+            for bucket, body, *_ in rows:
+                if body is None:
+                    continue
+                if bucket is None:  # frequent n-grams of one document
+                    (doc, many), mine = np.frombuffer(body, np.int64, 2).tolist(), np.frombuffer(body, np.int64, offset=16)
+                    if doc in heads:
+                        d = int(np.searchsorted(ids, doc))
+                        if not special[d]:  # rows alike come more than once
+                            special[d] = many
+                            out.append((mine, np.full(len(mine), d), size[d] - many + np.arange(len(mine))))
+                    continue
+                raw = np.frombuffer(body, dtype=np.uint8)
+                k = int(raw[:4].view(np.uint32)[0])
+                node.append(_of_planes(raw[4 : 4 + 8 * k], k, np.int64))
+                df.append(_of_planes(raw[4 + 8 * k : 4 + 10 * k], k, np.uint16))
+                token.append(_unpacked(raw[4 + 10 * k :]) | np.uint64(bucket << 40))
+            if node:
+                node, token, df = np.concatenate(node), np.concatenate(token), np.concatenate(df)
+                at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+                kept = ids[at] == node
+                at, token, df = at[kept], token[kept], df[kept]
+                order = np.lexsort((token, df, at))
+                at, token = at[order], token[order]
+                new = np.ones(len(at), dtype=bool)  # rows alike
+                new[1:] = (at[1:] != at[:-1]) | (token[1:] != token[:-1])
+                at, token = at[new], token[new]
+                shared = np.bincount(at, minlength=len(ids))
+                alone = np.maximum(size - shared - special, 0)
+                pos = alone[at] + np.arange(len(at)) - (np.cumsum(shared) - shared)[at]
+                kept = pos < (size - (-(-num * size // den)) + 1)[at]
+                out.append((token[kept].view(np.int64), at[kept], pos[kept]))
+            if out:
+                token, at, pos = (np.concatenate(x) for x in zip(*out))
+                for a in range(0, len(token), 20_000):
+                    t, d, p = token[a : a + 20_000], at[a : a + 20_000], pos[a : a + 20_000]
+                    yield _record(schema, token=t, node=ids[d], n=size[d].astype(np.int32), pos=p.astype(np.int32), sig=[sigs[x] for x in d.tolist()])
+
         for b in batches:
-            out = []
-            for x, y in zip(b.column("ga"), b.column("gb")):
-                out.append(overlap_enough(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), num, den))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], schema=schema)
+            parts, *columns = (b.column(c).to_pylist() for c in ("part", "bucket", "body", "node", "n", "sig"))
+            for part, *row in zip(parts, *columns):
+                if part != now and rows:
+                    yield from finish()
+                    rows = []
+                now = part
+                rows.append(row)
+        if rows:
+            yield from finish()
+
+    return run
 
-    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
-    out = both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, linked boolean")
-    # an id that several rows have gives several comparisons
-    return out.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
+# --- 4: candidates
+class _Group:
+    """Postings of one n-gram (or of two blocks of it) as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        for c in ("node", "n", "pos", "comp"):
+            setattr(self, c, np.asarray(batch.column(c)).astype(np.int64))
+        self.sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+
+    def passes(self, a: int | np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of b may link with a: length, positional (for the first n-gram that two sets share) and suffix filter."""
+        na, nb = self.n[a], self.n[b]
+        size = na + nb
+        ok = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+        ok &= np.minimum(na - self.pos[a], nb - self.pos[b]) * (num + den) >= size * num
+        at = np.flatnonzero(ok)
+        if len(at):
+            # elements in different parts aren't equal, so the sets differ by the parts' differences at least
+            apart = np.abs(_counted(self.sig[a if np.isscalar(a) else a[at]]) - _counted(self.sig[b[at]])).sum(axis=-1)
+            ok[at] = apart <= (size - 2 * (-(-num * size // (num + den))))[at]
+        return ok
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that are sorted by keys: tables, and where their groups begin."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[0] = True
+        for k in keys:
+            x = np.asarray(t.column(k))
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        t = pa.Table.from_batches(held)
+        at = starts(t)
+        if len(at) > 1:
+            yield t.slice(0, at[-1]), at[:-1]
+            held = t.slice(at[-1]).combine_chunks().to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
 
-def _passes(n1: Column, n2: Column, p1: Column, p2: Column, num: int, den: int) -> Column:
-    """Length filter, and the positional filter for the first n-gram that two sets share."""
-    need = (n1 + n2) * num
-    most = F.least(n1 - p1, n2 - p2)
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (most * (num + den) >= need)
+
+PAIR = "a long, b long"
+
+
+def _greedy(num: int, den: int, seed: int):
+    """(leader, document) for the documents of each n-gram that pass the filters and lie in different components."""
+    schema = _schema(PAIR)
+
+    def run(batches):
+        common.hold("n-grams", _Words)
+        for t, start in _groups(batches, ["token", "block"]):
+            g = _Group(t)
+            end = np.append(start[1:], t.num_rows)
+            two = start[end - start == 2]  # by far most of them
+            two = two[(g.comp[two] != g.comp[two + 1]) & (g.node[two] != g.node[two + 1])]
+            for k in range(0, len(two), 4096):
+                a = two[k : k + 4096]
+                a = a[g.passes(a, a + 1, num, den)]
+                yield _record(schema, a=g.node[a], b=g.node[a + 1])
+            for i, j in zip(start.tolist(), end.tolist()):
+                if j - i < 3:
+                    continue
+                left = np.arange(i, j)
+                left = left[np.lexsort((mix(g.node[left].view(np.uint64) + np.uint64(seed)), g.n[left] if not seed else g.comp[left] * 0))]
+                while len(left) > 1:
+                    a, left = int(left[0]), left[1:]
+                    other = g.comp[left] != g.comp[a]
+                    taken = np.zeros(len(left), dtype=bool)
+                    taken[other] = g.passes(a, left[other], num, den)
+                    if taken.any():
+                        yield _record(schema, a=np.full(int(taken.sum()), g.node[a]), b=g.node[left[taken]])
+                    left = left[~taken & other]
+        yield _record(schema, a=[], b=[])
+
+    return run
+
+
+def _across(num: int, den: int):
+    """All pairs (a, b), of rows outside their n-gram's largest component (role 0) and all others, that pass and lie in different components."""
+    schema = _schema(PAIR)
+
+    def run(batches):
+        common.hold("n-grams", _Words)
+        for t, start in _groups(batches, ["token", "i", "j"]):
+            g = _Group(t)
+            role, main = np.asarray(t.column("role")), np.asarray(t.column("main"))
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), t.num_rows]):
+                every = np.arange(i, j)
+                against = every[role[i:j] == 1]
+                for a in every[role[i:j] == 0].tolist():
+                    b = against[(g.comp[against] != g.comp[a]) & ((g.comp[against] == main[a]) | (g.node[against] > g.node[a]))]
+                    b = b[g.passes(a, b, num, den)] if len(b) else b
+                    if len(b):
+                        yield _record(schema, a=np.full(len(b), g.node[a]), b=g.node[b])
+        yield _record(schema, a=[], b=[])
+
+    return run
+
+
+# --- 5: verification
+def linked(a: bytes, b: bytes, width: int, num: int, den: int) -> bool:
+    """Whether den * |A & B| >= num * |A | B| for the sets of n-grams of two texts, told by the words themselves."""
+    number: dict[bytes, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in t.lower().split()], dtype=np.int64) for t in (a, b))
+    if not len(x) or not len(y):
+        return False
+    if min(len(x), len(y)) < width:
+        return num <= den and np.array_equal(x, y)
+    n, size = len(number), 1
+    cut = len(x) - width + 1
+    g = np.concatenate((x[:cut], y[: len(y) - width + 1]))
+    for k in range(1, width):
+        size *= n
+        if size * n >= 1 << 62:  # the n-grams so far are numbered anew
+            g = np.unique(g, return_inverse=True)[1]
+            size = len(g)
+        g = g * n + np.concatenate((x[k : cut + k], y[k : len(y) - width + 1 + k]))
+    p, q = np.unique(g[:cut]), np.unique(g[cut:])
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return den * both >= num * (len(p) + len(q) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked) for pairs (a, b)."""
+    schema = _schema("a long, b long, linked boolean")
+
+    def run(batches):
+        common.hold("n-grams", _Words)
+        for r in batches:
+            out = [linked(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), width, num, den) for x, y in zip(r.column("ta"), r.column("tb"))]
+            yield _record(schema, a=r.column("a"), b=r.column("b"), linked=out)
+
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -348,141 +590,158 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _few_rows_a_batch(spark: SparkSession):
-    """A context in which Python workers get few rows at once, for rows that hold whole sets."""
-
-    class Context:
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-        def __enter__(self):
-            self.before = spark.conf.get(self.key)
-            spark.conf.set(self.key, str(PAIR_ROWS))
-
-        def __exit__(self, *_):
-            spark.conf.set(self.key, self.before)
-
-    return Context()
+def _postings(rows: DataFrame, found: DataFrame, hot, total: int, width: int, num: int, den: int) -> DataFrame:
+    """The postings of class representatives, by exact frequencies."""
+    tasks = max(1, -(-total // TASK_GRAMS))
+    bits, parts = min(24, (2 * tasks - 1).bit_length()), 2 * tasks
+    dealt = rows.where("node IS NOT NULL").select("node", "text").mapInArrow(_dealt(width, num, den, bits, parts, hot), DEALT)
+    sent = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies(parts), SENT)
+    heads = found.where("rep = node AND n > 0").select("node", "n", "sig").mapInArrow(_heads(parts), SENT)
+    return sent.unionByName(heads).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_prefixes(num, den), POSTING)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, class_id.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of distinct word n-grams; component_id is the
-    smallest id reachable, class_id the smallest id with the very same set. Null and empty texts, or texts of white
+    smallest id reachable, class_id the smallest id with the very same words. Null and empty texts, or texts of white
     space, have no n-grams and link with nothing. Rows that share an id are one document that links through any of its
-    rows. A null id takes part in nothing and has null component and class. Empty input gives no rows.
+    rows (their texts are shuffled to tell them apart). A null id takes part in nothing and has null component and
+    class. Empty input gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    twice = common.written(rows.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("k")).where("k > 1"), "twice")
+    repeated = twice.limit(1).count() > 0
+    if repeated:  # each text of an id gets a number of its own
+        rows = common.lookup(rows, twice, ["doc"], "k", rows.count()).select("doc", "text", F.when(F.col("k").isNull(), F.col("doc")).otherwise(F.xxhash64("doc", "text")).alias("node"))
+    else:
+        rows = rows.withColumn("node", F.col("doc"))
     stats = common.written(rows.mapInArrow(_stats(width), STATS), "stats")
-    table = _summed(stats)
-    rank = spark.sparkContext.broadcast(np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32))  # 4 MB, whatever the corpus
-    parts = stats.where("chunk IS NULL AND doc IS NOT NULL").select("doc", "n", "parts")
-    stats = stats.where("chunk IS NULL").select("doc", "n", "s1", "s2")
-    total = stats.count()
-
-    # classes of equal sets
-    same = ["n", "s1", "s2"]
-    classes = stats.where("n > 0 AND doc IS NOT NULL").groupBy(*same).agg(F.min("doc").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    of_docs = stats.where("n IS NOT NULL")
+    sums = of_docs.agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).first()
+    total, n_grams = sums.rows, int(sums.grams or 0)
+
+    # frequent n-grams: HOTS at most, as their numbers are from below
+    often = stats.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(n_grams / HOTS, HOT_LEAST)).toPandas()
+    gram, seen = often["gram"].to_numpy(dtype=np.int64).view(np.uint64), often["seen"].to_numpy(dtype=np.int64)
+    rank = np.empty(len(gram), dtype=np.int64)
+    rank[np.lexsort((gram, seen))] = np.arange(len(gram))
+    order = np.argsort(gram)
+    hot = spark.sparkContext.broadcast((gram[order], rank[order].astype(np.int32)))
+
+    # classes of equal word sequences
+    classes = of_docs.where("n > 0 AND node IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
     classes = common.written(classes, "classes")
-    rep = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc"))
-    found = common.written(common.lookup(stats, classes, same, "size", total).select("doc", "n", rep.alias("rep"), F.coalesce("size", F.lit(1)).cast("long").alias("size")), "reps")
-
-    # postings that at least two documents have, by class representatives
-    known = rows.where("doc IS NOT NULL")
-    posted = known.mapInArrow(_postings(width, num, den, rank, 2.0 * float(table.mean()) + SPREAD), "token long, salt int, doc long, n int, pos int")
-    w = Window.partitionBy("token", "salt")
-    live = posted.withColumn("lo", F.min("doc").over(w)).withColumn("hi", F.max("doc").over(w)).where("lo < hi OR salt > 0").select("token", "doc", "n", "pos")
-    live = common.written(live, "live0")
-    moved = found.where("rep <> doc").select("doc", "rep").distinct()
-    live = live.join(moved, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"), "n", "pos").distinct()
-    shared_tokens = live.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token")
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))
-    live = common.written(live.join(shared_tokens, "token", "left_semi").withColumn("nth", nth), "live")
+    rep = F.when(F.col("node").isNotNull(), F.coalesce("rep", "node")).alias("rep")
+    met = common.lookup(of_docs.select("doc", "node", "n", "sig", "digest"), classes, ["digest"], "size", total)
+    found = common.written(met.select("doc", "node", "n", "sig", rep, F.coalesce("size", F.lit(1)).cast("long").alias("size")), "found")
+    common.drop(stats, classes)
 
+    live = common.written(_postings(rows, found, hot, n_grams, width, num, den).where("token IS NOT NULL"), "postings")
+    n_live = live.count()
     done: DataFrame | None = None
     labels: DataFrame | None = None
 
-    def outside() -> tuple[DataFrame, DataFrame, int]:
-        """The postings with components, those outside their n-gram's largest one, and a bound on the pairs these have."""
-        now = common.written(labelled(live), "labelled")
-        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("x"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
-        main = common.written(main.select("token", F.col("x.comp").alias("main"), F.col("x.k").alias("inside"), "k"), "open")
-        work = main.agg(F.sum((F.col("k") - F.col("inside")) * F.col("k"))).first()[0] or 0
-        rest = now.join(main.select("token", "main"), "token").where("comp <> main").select("token", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "pos", "comp")], "main")
-        return now, rest, work
-
-    def verify(pairs: DataFrame, name: str) -> bool:
-        """Compares the pairs that were not yet, and brings the components up to date; whether there were new links."""
-        nonlocal done, labels
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = _suffix_filtered(common.written(pairs, "candidates"), parts, num, den)
+    def joined(links: DataFrame) -> None:
+        """Brings the components up to date; components so far are single nodes."""
+        nonlocal labels
+        if labels is not None:
+            now = links.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+            links = now.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        labels = common.written(components(links), "components")
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal done
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        # sets are worked out again from the texts, for the documents that are compared
-        sets = common.written(_sets(width, wanted, 2 * pairs.count(), known), "sets")
-        with _few_rows_a_batch(spark):
-            new = common.written(_verified(pairs, sets, num, den), name)
+        n = pairs.count()
+        if not n:
+            return
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().withColumn("h", F.xxhash64("node"))
+        texts = rows.withColumn("h", F.xxhash64("node")).where(common.bloom(wanted, "h", 2 * n)).drop("h")
+        texts = common.written(texts.join(wanted, "node", "left_semi").select("node", "text"), "texts")
+        new = common.written(_verified(pairs, texts, width, num, den), "links")
+        common.drop(pairs, texts)
         done = new if done is None else done.unionByName(new)
-        links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if labels is not None and not links.limit(1).count():
-            return False
-        if labels is not None:  # components so far are single nodes now
-            links = links.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-            links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        labels = common.written(components(links), "components")
-        return True
-
-    def labelled(df: DataFrame) -> DataFrame:
-        if labels is None:
-            return df.withColumn("comp", F.col("doc"))
-        return df.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left").withColumn("comp", F.coalesce("c", "doc")).drop("c")
-
-    # an id that several rows have, with different sets, is one document
-    twice = stats.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select("doc")
-    twice = common.written(found.join(twice, "doc").where("rep <> doc").select(F.col("doc").alias("u"), F.col("rep").alias("v")).distinct(), "twice")
-    if twice.count():
-        labels = common.written(components(twice), "components")
-
-    def filtered(n: str, pos: str) -> Column:
-        return _passes(F.col("n"), F.col(n), F.col("pos"), F.col(pos), num, den)
-
-    # a document's first few shared n-grams do in these rounds, which only spare comparisons later
-    lead = live.where(F.col("nth") <= FEW).groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("x"))
-    pairs = live.where(F.col("nth") <= FEW).join(lead, "token").where((F.col("doc") != F.col("x.doc")) & filtered("x.n", "x.pos"))
-    verify(pairs.select(F.col("x.doc").alias("a"), F.col("doc").alias("b")), "round")
-    n_live = live.count()
-    for r in range(ROUNDS):
-        now, rest, work = outside()
-        if work <= 4 * n_live:
-            break
-        share = F.pmod(F.xxhash64("doc", F.lit(r)), F.lit(LEADERS))
-        lead = now.join(rest.select("token", "main").distinct(), "token").where("comp = main").groupBy("token", share.alias("share")).agg(F.min(F.struct("doc", "n", "pos")).alias("x"))
-        pairs = rest.withColumnsRenamed({f"r_{c}": c for c in ("doc", "n", "pos", "comp")}).join(lead, "token").where(filtered("x.n", "x.pos"))
-        if not verify(pairs.select(F.col("x.doc").alias("a"), F.col("doc").alias("b")), "round"):
-            break
+        joined(new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def several() -> tuple[DataFrame, int]:
+        """Postings of n-grams whose documents lie in several components, and a bound on the pairs that these would make."""
+        now = live.withColumn("comp", F.col("node"))
+        if labels is not None:
+            now = live.join(labels.select("node", "component"), "node", "left").select(*live.columns, F.coalesce("component", "node").alias("comp"))
+        now = common.written(now, "labelled")
+        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("x"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
+        main = common.written(main.select("token", F.col("x.comp").alias("main"), F.col("x.k").alias("inside"), "k"), "open")
+        work = main.agg(F.sum((F.col("k") - F.col("inside")) * F.col("k"))).first()[0] or 0
+        return common.lookup(now, main, ["token"], "k", n_live).where("k IS NOT NULL"), work
 
-    # all that is left: documents outside their n-gram's largest component, against all of other components
-    now, rest, _ = outside()
-    pairs = rest.join(now, "token").where((F.col("comp") != F.col("r_comp")) & ((F.col("comp") == F.col("main")) | (F.col("r_doc") < F.col("doc"))) & filtered("r_n", "r_pos"))
-    verify(pairs.select(F.col("r_doc").alias("a"), F.col("doc").alias("b")), "round")
+    def block(n_rows, seed: int):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n_rows / BLOCK)).cast("int")
 
-    of_class = found.where("rep IS NOT NULL").groupBy("rep").agg(F.max("size").alias("size"))
-    table_ = labels.select(F.col("node").alias("rep"), "component").join(of_class, "rep")
-    out = common.lookup(found.drop("size"), table_, ["rep"], "size", total)
-    return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"))
+    if repeated:  # the rows of an id are linked
+        joined(found.where("node <> doc").select(F.col("rep").alias("u"), F.min("rep").over(Window.partitionBy("doc")).alias("v")).distinct())
+    for seed in range(ROUNDS):
+        now, work = several()
+        if not work or seed and work <= 4 * n_live:
+            break
+        dealt = now.withColumn("block", block(F.col("k"), seed)).repartition("token", "block").sortWithinPartitions("token", "block")
+        verify(dealt.mapInArrow(_greedy(num, den, seed), PAIR))
+    else:
+        now, work = several()
+    if work:  # all that is left
+        outside = now.where("comp <> main").withColumns({"role": F.lit(0), "i": block(F.col("k") - F.col("inside"), -1), "j": F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / BLOCK).cast("int") - 1))})
+        every = now.withColumns({"role": F.lit(1), "j": block(F.col("k"), -1), "i": F.explode(F.sequence(F.lit(0), F.ceil((F.col("k") - F.col("inside")) / BLOCK).cast("int") - 1))})
+        dealt = outside.unionByName(every).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        verify(dealt.mapInArrow(_across(num, den), PAIR))
+
+    out = found.select("doc", "n", "rep", "size")
+    if labels is not None:
+        of_class = found.where("rep IS NOT NULL").groupBy("rep").agg(F.max("size").alias("size"))
+        table = labels.select(F.col("node").alias("rep"), "component").join(of_class, "rep")
+        out = common.lookup(out.drop("size"), table, ["rep"], "size", total).withColumn("component", F.coalesce("component", "rep"))
+    else:
+        out = out.withColumn("component", F.col("rep"))
+    if repeated:  # numbers become ids again
+        for c in ("component", "rep"):
+            names = out.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("doc").alias(f"least_{c}"), F.count("*").alias("many"))
+            out = common.lookup(out, names, [c], "many", total).drop("many")
+        out = out.select("doc", "n", F.col("least_component").alias("component"), F.col("least_rep").alias("rep"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all columns, with the smallest id of each group only. Rows of null id stay."""
+    """docs, all columns, with the smallest id of each group only. Rows of null id stay, and all rows of an id that stays."""
     groups = near_groups(docs, id_col, text_col, width, num, den)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
+    return common.without(docs, gone, id_col)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_groups(docs).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i : i + 2] END AS g
+  FROM t, LATERAL unnest(range(1, greatest(len(w) - 1, 2))) AS r(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
+       CASE WHEN len(t.w) = 0 THEN t.doc_id ELSE min(t.doc_id) OVER (PARTITION BY t.w) END AS class_id
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = t.doc_id
+"""

@@ -52,13 +52,54 @@ def near_copies(n, edits, seed):
     return rows
 
 
-@pytest.mark.parametrize("k,num,den,spread", [(3, 90, 100, 4000), (5, 80, 100, 20), (2, 50, 100, 4000)])
-def test_against_all_pairs(spark, monkeypatch, k, num, den, spread):
-    monkeypatch.setattr(ngram_join, "SPREAD", spread)
+@pytest.mark.parametrize("k,num,den,settings", [
+    (3, 90, 100, {}),
+    (5, 80, 100, {"BLOCK": 16, "TASK_GRAMS": 1000}),
+    (2, 50, 100, {"HOT_LEAST": 30, "TASK_GRAMS": 3000}),
+    (3, 70, 100, {"HOT_LEAST": 2, "BLOCK": 8, "ROUNDS": 1}),
+])
+def test_against_all_pairs(spark, monkeypatch, k, num, den, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(120, 5, 1) + near_copies(40, 12, 2) + [(9000, None), (9001, ""), (9002, "a"), (9003, "A "), (9004, "a b"), (9005, " \n"), (9006, "x y z"), (9007, "X\ty\nz"), (9008, "x y z q")]
     assert got(spark, rows, k, num, den) == plain(rows, k, num, den)
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements agree under every polynomial modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rows = [(10, f"one {a} two"), (11, f"one {b} two"), (12, f"one {a} two three"), (13, f"ONE {a} two")]
+    assert got(spark, rows, 3, 90, 100) == plain(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 9])
+def test_links_are_told_by_words(width):
+    rng = random.Random(width)
+    for _ in range(300):
+        a, b = (" ".join(rng.choices(["a", "B", "c", "dd"], k=rng.randint(0, 14))) for _ in (0, 1))
+        b = a + b if rng.random() < 0.5 else b
+        x, y = grams(a, width), grams(b, width)
+        assert ngram_join.linked(a.encode(), b.encode(), width, 60, 100) == bool(x and y and 100 * len(x & y) >= 60 * len(x | y))
+    long = [" ".join(f"w{rng.randrange(9000)}" for _ in range(9000)) for _ in (0, 1)]
+    assert ngram_join.linked(long[0].encode(), (long[0] + " x").encode(), width, 99, 100) and not ngram_join.linked(*(t.encode() for t in long), 5, 50, 100)
+
+
+def test_frequent_ngrams_are_found(monkeypatch):
+    monkeypatch.setattr(ngram_join, "FLUSH", 1000)
+    monkeypatch.setattr(ngram_join, "HOTS", 50)
+    rng = np.random.default_rng(1)
+    found, every = ngram_join._Frequent(), []
+    for _ in range(80):
+        x = np.concatenate((rng.integers(0, 10**9, 200), rng.integers(0, 20, 30))).astype(np.uint64)
+        every.append(x)
+        found.add(x)
+    found.add(np.zeros(0, dtype=np.uint64), last=True)
+    count = collections.Counter(np.concatenate(every).tolist())
+    held = dict(zip(found.gram.tolist(), found.n.tolist()))
+    assert all(held.get(g, 0) > 0 for g, n in count.items() if n > 80 * 230 / 50) and all(n <= count[g] for g, n in held.items()) and len(held) <= 50
+
+
 def test_awkward_rows(spark):
     rows = [(1, "a b c"), (1, "d e f"), (2, "a b c"), (3, "d e f"), (None, "a b c"), (4, "a b c " * 5000), (5, "A b c " * 5000)]
     assert got(spark, rows, 3, 90, 100) == plain(rows, 3, 90, 100)
