@@ -36,6 +36,7 @@ QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_warc_index": warc_index.ORACLE,
     "op10_source_mix": source_mix.ORACLE,
 }

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 
@@ -46,11 +47,29 @@ def test_awkward_rows(spark):
 
 
 def test_directory_doubles_only_where_needed():
-    depth, slots = exact_dedup.directory({0: 10, 1: 10, 15: 1}, 10, 4)
+    depth, slots, enough = exact_dedup.directory({0: 10, 1: 10, 15: 1}, 10, 4)
+    assert enough
     assert depth == 4 and len(slots) == 16 and slots[0] != slots[1] and len(set(slots[8:])) == 1
     assert slots == sorted(slots)
-    assert exact_dedup.directory({}, 10, 4) == (0, [0])
-    assert exact_dedup.directory({3: 99}, 10, 2)[0] == 2  # one value can't be split further
+    assert exact_dedup.directory({}, 10, 4) == (0, [0], True)
+    depth, _, enough = exact_dedup.directory({3: 99}, 10, 2)
+    assert depth == 2 and not enough  # more bits are needed
+
+
+def test_index_of_the_query_has_buckets_of_bounded_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = exact_dedup.exact_dedup(docs).select("bucket", "chain", "text_sha256").distinct().collect()
+    sizes = collections.Counter(r.bucket for r in rows)
+    assert len(sizes) > 3 and max(sizes.values()) <= exact_dedup.BUCKET_ROWS and all(r.chain == 0 for r in rows)
+
+
+def test_collisions_are_chained(spark):
+    df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(120)], "doc_id long, text string")
+    rows = exact_dedup.exact_dedup(df, hash_bits=2, capacity=1).select("bucket", "chain", "text_sha256").distinct().collect()
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.bucket].append(r.chain)
+    assert len(rows) == 40 and all(sorted(p) == list(range(len(p))) for p in places.values()) and len(places) == 4
 
 
 def test_lookup_and_bloom(spark):
