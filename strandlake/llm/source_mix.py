@@ -5,6 +5,11 @@ queued; a source may be read up to MAX_PASSES times over. A document's virtual f
 the source's tokens queued up to its end, divided by the source's target. All finish times are range-sorted and the
 queue is cut where the total budget is reached; whole documents only.
 
+A finish time over 1 would take a source past its target, so what lies between 1 and the cut is passed over, and each
+source is filled up from further down its queue instead: FILLS times with documents of the largest size that still fits
+what is left of its target, up to SAME of them, each time of a smaller size. So a long document does not end its source,
+and the budget holds.
+
 Texts are read once, for their sizes; everything after works on a narrow table (id, source, size, shuffle key).
 Cumulative sums never gather a source in one task: a source is cut into CHUNKS by its shuffle key's leading digits,
 sums run within a chunk, and the chunks' totals are summed up in a table of (sources x chunks) rows. The same is done
@@ -20,6 +25,9 @@ from strandlake.llm import common
 
 MAX_PASSES = 3
 CYCLE = 3
+FILLS, SAME = 4, 4
+#: Tables of so many sources are broadcast, larger ones joined by a shuffle (hot sources still by broadcast).
+FEW_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -66,6 +74,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = common.written(targets(per_source.select("source", "source_size"), cycle, passes), "targets")
     budget = goals.agg(F.sum("source_size")).first()[0] or 0
     total = sized.count()
+    few = goals.count() <= FEW_SOURCES
+
+    def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+        """rows with the other columns of table, which has one row a source."""
+        if few:
+            table = table.withColumnRenamed("source", "__source")
+            return rows.join(F.broadcast(table), rows["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
+        counts = sized.groupBy("source").agg(F.count("*").alias("__n")).withColumnRenamed("source", "__source")
+        table = table.join(counts, table["source"].eqNullSafe(F.col("__source"))).drop("__source")
+        return common.lookup(rows, table, ["source"], "__n", total).drop("__n")
 
     # the queue of each source: position at the end of the document within one pass
     digits = 0
@@ -79,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     within = Window.partitionBy(*flow, "chunk").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.withColumn("within", F.sum("size").over(within)).join(ahead.select(*flow, "chunk", "ahead"), [*flow, "chunk"])
     queued = queued.select("id", "source", "size", "key", (F.col("within") + F.col("ahead")).alias("queued"))
-    queued = common.written(queued.join(goals, queued["source"].eqNullSafe(goals["source"])).drop(goals["source"]), "queued")
+    queued = common.written(by_source(queued, goals), "queued")
 
     # one row a document and pass, range-sorted by virtual finish time
     def finish(p: Column) -> Column:
@@ -105,13 +123,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         w = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         crossing = ordered.where(F.col("range") == cut_range).withColumn("run", F.sum("size").over(w) + F.lit(run)).where(F.col("run") > budget)
         last = crossing.agg(F.min(F.struct(*order)).alias("cut")).first().cut
-    if last is None:
-        copies = F.when(F.col("size") > 0, F.lit(passes)).otherwise(0)
-    else:
+    within_target = [finish(F.lit(p)) <= 1 for p in range(passes)]
+    if last is not None:
         cut = [F.lit(last[c]).cast(ordered.schema[c].dataType) for c in order]
-        copies = sum(_before([finish(F.lit(p)), F.col("source").isNull(), F.col("source"), F.col("key"), F.col("size"), F.col("id"), F.lit(p)], cut).cast("int") for p in range(passes))
-        copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    out = queued.withColumn("copies", copies)
+        within_target = [x & _before([finish(F.lit(p)), F.col("source").isNull(), F.col("source"), F.col("key"), F.col("size"), F.col("id"), F.lit(p)], cut) for p, x in enumerate(within_target)]
+    copies = F.when(F.col("size") > 0, sum(x.cast("int") for x in within_target)).otherwise(0)
+    queued = queued.withColumn("copies", copies)
+
+    # what is left of targets, and the documents that may fill it: of a size, those least often taken, first in the queue
+    left = queued.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+    left = common.written(left, "left")
+    fits = by_source(queued.where((F.col("size") > 0) & (F.col("copies") < passes)), left).where(F.col("size") <= F.col("left"))
+    nth = F.row_number().over(Window.partitionBy("source", "size").orderBy("copies", "queued"))
+    fits = common.written(fits.select("source", "size", "left", "copies", "queued").withColumn("nth", nth).where(F.col("nth") <= SAME), "fits")
+    below = fits.groupBy("source", "size").agg(F.max("left").alias("left"), F.count("*").alias("n"))
+    picks = None
+    for _ in range(FILLS):
+        best = below.groupBy("source").agg(F.max(F.struct("size", "n", "left")).alias("x")).select(F.col("source").alias("__source"), F.col("x.size").alias("__size"), F.least("x.n", F.floor(F.col("x.left") / F.col("x.size"))).alias("__m"), F.col("x.left").alias("__left"))
+        best = common.written(best.withColumn("__left", F.col("__left") - F.col("__m") * F.col("__size")), "best")
+        picks = best if picks is None else picks.unionByName(best)
+        below = below.join(best, F.col("source").eqNullSafe(F.col("__source"))).where((F.col("size") < F.col("__size")) & (F.col("size") <= F.col("__left")))
+        below = below.select("source", "size", F.col("__left").alias("left"), "n")
+    picks = fits.join(picks, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("nth") <= F.col("__m")))
+    # a queue's positions tell rows of some size apart
+    picks = picks.select("__source", F.col("queued").alias("__queued"), F.lit(1).alias("more"))
+    out = queued.join(F.broadcast(picks) if few else picks, F.col("source").eqNullSafe(F.col("__source")) & (F.col("queued") == F.col("__queued")) & (F.col("size") > 0), "left")
+    out = out.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "weight", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -168,8 +205,37 @@ WITH d AS (
 ), o AS (
   SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, key, size, doc_id, pass ROWS UNBOUNDED PRECEDING) AS run FROM e
 ), c AS (
-  SELECT doc_id, count(*) AS copies FROM o WHERE run <= (SELECT sum(size) FROM d) GROUP BY doc_id
+  SELECT doc_id, count(*) AS copies FROM o WHERE run <= (SELECT sum(size) FROM d) AND finish <= 1 GROUP BY doc_id
+), r AS (
+  SELECT q.*, coalesce(c.copies, 0) AS first_copies, coalesce(q.source, '') || (q.source IS NULL) AS src
+  FROM q LEFT JOIN c ON q.doc_id IS NOT DISTINCT FROM c.doc_id
+), l AS (
+  SELECT src, max(target) - sum(first_copies * size) AS left_over FROM r GROUP BY src
+), fit AS (
+  SELECT r.src, r.size, r.doc_id, l.left_over,
+         row_number() OVER (PARTITION BY r.src, r.size ORDER BY r.first_copies, r.queued) AS nth
+  FROM r JOIN l USING (src) WHERE r.size > 0 AND r.first_copies < 3 AND r.size <= l.left_over
+), z AS (
+  SELECT src, size, max(left_over) AS left0, least(count(*), 4) AS n FROM fit GROUP BY src, size
+), f1 AS (
+  SELECT src, size AS s1, least(n, floor(left0 / size)) AS m1, left0 - m1 * size AS left1 FROM z
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY size DESC) = 1
+), f2 AS (
+  SELECT src, size AS s2, least(n, floor(left1 / size)) AS m2, left1 - m2 * size AS left2 FROM z JOIN f1 USING (src)
+  WHERE size < s1 AND size <= left1 QUALIFY row_number() OVER (PARTITION BY src ORDER BY size DESC) = 1
+), f3 AS (
+  SELECT src, size AS s3, least(n, floor(left2 / size)) AS m3, left2 - m3 * size AS left3 FROM z JOIN f2 USING (src)
+  WHERE size < s2 AND size <= left2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY size DESC) = 1
+), f4 AS (
+  SELECT src, size AS s4, least(n, floor(left3 / size)) AS m4 FROM z JOIN f3 USING (src)
+  WHERE size < s3 AND size <= left3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY size DESC) = 1
+), p AS (
+  SELECT src, s1 AS size, m1 AS m FROM f1 UNION ALL SELECT src, s2, m2 FROM f2
+  UNION ALL SELECT src, s3, m3 FROM f3 UNION ALL SELECT src, s4, m4 FROM f4
+), more AS (
+  SELECT doc_id FROM fit JOIN p ON p.src = fit.src AND p.size = fit.size WHERE nth <= m
+), k AS (
+  SELECT r.*, first_copies + (doc_id IN (SELECT doc_id FROM more))::INTEGER AS copies FROM r
 )
-SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(c.copies, 0) * q.size)::BIGINT AS taken, q.source, coalesce(c.copies, 0)::INTEGER AS copies
-FROM q LEFT JOIN c ON q.doc_id IS NOT DISTINCT FROM c.doc_id
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies::INTEGER AS copies FROM k
 """

@@ -31,7 +31,18 @@ def plain(rows, cycle=3, passes=3):
         run += f[4]
         if run > budget:
             break
-        taken[f[5]] += f[4]
+        if f[0] <= 1:
+            taken[f[5]] += f[4]
+    for s in sources:  # up to four of the largest size that fits what is left, four times, each smaller than the one before
+        mine = [(q[5], q[4], q[0]) for q in queue if q[6] == 0 and (q[1], q[2]) == (s is None, s or "")]
+        left, last = target[s] - sum(taken[i] for i, *_ in mine), float("inf")
+        room = [(taken[i] // n, place, i, n) for i, n, place in mine if taken[i] < passes * n and n <= left]
+        for _ in range(4):
+            last = max((n for *_, n in room if n < last and n <= left), default=0)
+            for _, _, i, n in sorted(r for r in room if r[3] == last)[:4]:
+                if n <= left:
+                    left -= n
+                    taken[i] += n
     return {i: (size[i], total[s], target[s], taken[i]) for i, _, s in rows}
 
 
@@ -64,6 +75,21 @@ def test_targets_are_met(spark):
         assert abs(sum(got[i][3] for i in ids) - got[ids[0]][2]) < 120
 
 
+def test_few_documents_a_source_still_meet_targets(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * int(10 ** rng.uniform(0, 3)), f"s{i % 12}") for i in range(240)]
+    got = check(spark, rows)
+    for s in {x for _, _, x in rows}:
+        ids = [i for i, _, x in rows if x == s]
+        assert 0.95 <= sum(got[i][3] for i in ids) / got[ids[0]][2] <= 1 + 1e-9
+    assert sum(t for *_, t in got.values()) <= sum(n for n, *_ in got.values())
+
+
+def test_many_sources_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "FEW_SOURCES", 3)
+    check(spark, corpus(6))
+
+
 def test_awkward_rows(spark):
     check(spark, [(1, None, "x"), (2, "", "x"), (3, "a", None)])
     check(spark, [(1, None, "x"), (2, " ", None)])
