@@ -2,11 +2,12 @@
 
 A word is a run of letters. Its score for a language is the sum, over its letters, of the log-likelihood ratios of the
 trigram and the pentagram around each letter, from hashed count tables learned on labelled documents. A word's script
-(the range its first letter lies in) narrows the candidates to languages seen with that script in training; words of a
+(the range its first letter lies in) narrows the candidates to languages seen with that script in training: all others
+score OUT less than any of a word's languages, far more than the two switches that spare them the word; words of a
 script that no language has say nothing. Viterbi with a constant penalty for each switch then labels the words, and
 neighbouring words of one label form a span.
 
-Scoring works on whole batches of texts with array operations, WINDOW characters at a time. Most texts are in one
+Scoring works on whole batches of texts with array operations, about WINDOW characters at a time, never cutting a word. Most texts are in one
 language, which is recognised exactly: if no stretch of words gains more than one penalty over the best single
 language, no path with a switch is better, and the recursion is run for the others only.
 
@@ -15,6 +16,8 @@ Training reads about DOCS_PER_LANG documents of every language, chosen by hash;
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,7 @@ UNDETERMINED = "und"
 DOCS_PER_LANG = 1500
 SLOTS = 1 << 16
 SWITCH = 12.0
+OUT = 10_000.0
 SMOOTHING = 0.5
 #: Characters that are turned into arrays at once.
 WINDOW = 400_000
@@ -92,11 +96,18 @@ def word_grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return starts, ends, firsts, three >> np.uint32(16), five >> np.uint32(16)
 
 
+#: Characters that are no letters, whatever else.
+_gap = re.compile(r"[\W\d_]")
+
+
 def windows(text: str) -> list[tuple[int, str]]:
-    """The text in stretches of about WINDOW characters that end at white space where there is any."""
+    """The text in stretches of about WINDOW characters that end between words; a longer word is within one stretch."""
     out, at = [], 0
     while len(text) - at > WINDOW:
-        cut = text.rfind(" ", at + WINDOW // 2, at + WINDOW) + 1 or at + WINDOW
+        cut = text.rfind(" ", at + WINDOW // 2, at + WINDOW) + 1
+        if not cut:
+            gap = _gap.search(text, at + WINDOW // 2)
+            cut = gap.end() if gap else len(text)
         out.append((at, text[at:cut]))
         at = cut
     out.append((at, text[at:]))
@@ -112,9 +123,8 @@ class SpanModel:
         score -= score.mean(axis=2, keepdims=True) if langs else 0
         self.score = score.astype(np.float32) * 0.5  # the two overlap, so each counts half
         seen = scripts > 0.001 * scripts.sum(axis=0, keepdims=True)
-        self.barred = np.where(seen, 0.0, -30.0).astype(np.float32)
-        self.barred[~seen.any(axis=1)] = 0.0
         self.silent = ~seen.any(axis=1)
+        self.candidate = seen | self.silent[:, None]
 
     def words(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: word starts, ends, scores (words, langs)."""
@@ -126,7 +136,8 @@ class SpanModel:
             w = np.add.reduceat(per, firsts, axis=0)
             code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)[starts]
             kind = script[code]
-            w += self.barred[kind]
+            if not self.candidate[kind].all():
+                w = np.where(self.candidate[kind], w, w.min(axis=1, keepdims=True) - np.float32(OUT))
             w[self.silent[kind]] = 0.0
         else:
             w = np.zeros((0, len(self.langs)), dtype=np.float32)

@@ -63,3 +63,33 @@ def test_awkward_rows(spark):
     assert language_spans.identify(docs.limit(0)).count() == 0
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_spans.identify(none).collect()} == {"und"}
+
+
+def test_long_words_are_not_cut(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the quick house of that " * 30, "en"), ("und nicht das haus mit der " * 30, "de")] * 8)], "doc_id long, text string, lang string")
+    fitted = language_spans.fit(docs)
+    texts = ["thequickhouseofthat" * 100, "a," * 700, "undnichtdas" * 90 + "-" + "thatquickhouse" * 90, "the house " * 200 + "x" * 3000, "x1" * 2000]
+    whole = [fitted.words([t])[0] for t in texts]
+    spans = fitted.spans(texts)
+    monkeypatch.setattr(language_spans, "WINDOW", 300)
+    assert all("".join(x for _, x in language_spans.windows(t)) == t for t in texts)
+    assert fitted.spans(texts) == spans
+    for t, (starts, _, w) in zip(texts, whole):
+        parts = [(at, fitted.words([x])[0]) for at, x in language_spans.windows(t)]
+        assert np.concatenate([s + at for at, (s, _, _) in parts]).tolist() == starts.tolist()
+        assert np.allclose(np.concatenate([x for _, (_, _, x) in parts]), w, atol=1e-3)
+
+
+def test_scripts_narrow_the_candidates(spark):
+    english, greek = "the quick house of that and this " * 40, "το σπίτι και ο δρόμος " * 40
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([(english, "en"), (greek, "el")] * 8)], "doc_id long, text string, lang string")
+    fitted = language_spans.fit(docs)
+    # one word of the other script is a span of its own, whatever its letters score
+    assert [x for _, _, x in fitted.spans(["the quick house ζζζζ of that and this"])[0]] == ["en", "el", "en"]
+    assert [x for _, _, x in fitted.spans(["the quick שלום house"])[0]] == ["en"]  # a script that was never seen says nothing
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, "the house of that", "en", "x", 1.0, True, "y") for i in range(6)], "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean, key string")
+    assert language_spans.identify(docs).columns == ["doc_id", "held_out", "lang_pred", "score", "n_spans"]
+    assert {r.lang_pred for r in language_spans.identify(docs).collect()} == {"en"}
