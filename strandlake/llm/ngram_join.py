@@ -7,11 +7,13 @@ any order common to all, share one. The order is by the number of documents that
    sequence are one class, represented by the smallest), a signature for the suffix filter, and the n-grams that are
    very frequent. These are found by lossy counting: what makes up more than one in HOTS of all occurrences is found
    for certain, so at most HOTS n-grams are broadcast, whatever the input. They come last in the order.
-2. Frequencies: a second pass deals all other n-grams by ranges of their hash, packed (5 bytes an n-gram and the
+2. Frequencies: a second pass deals the even half of all other hashes by ranges, packed (4 bytes an n-gram and the
    documents' ids once a pack). A task sorts its range and sends back, for each n-gram that two documents share, the
-   document and the exact count. N-grams of one document alone, usually most, never travel again.
+   document and the exact count. N-grams of one document alone, usually most, never travel again. The even half holds
+   several times a prefix's length, so the rarest of it make the prefix; it comes first in the order, by the counts,
+   then the odd half by hash (which only very small sets need), then the very frequent ones.
 3. Prefixes: a document's n-grams that nobody else has come first, so the shared ones' positions follow from their
-   number. Those within the prefix are the postings (n-gram, document, set size, position, signature).
+   number. Those within the prefix are the postings (n-gram, document, set size, position).
 4. Candidates: documents with a posting in common that pass the length filter, the positional filter and the suffix
    filter (fixed pivots cut the hashes into PARTS parts; the parts' numbers of elements bound the overlap).
 5. Each candidate pair is verified once, on the words of the texts themselves, so no hash makes a link.
@@ -23,7 +25,7 @@ lie in several components and would make many pairs. Last, every pair that passe
 lies in different components is verified, by pairs of blocks: documents outside an n-gram's largest component against
 all. So groups are exact, and a group of many similar documents costs about a comparison each.
 
-Hashes of n-grams have 64 bits, of which postings keep 40 besides the range's: an n-gram's words are hashed by BLAKE2b
+Hashes of n-grams have 64 bits, of which postings keep 32 besides the range's: an n-gram's words are hashed by BLAKE2b
 and then mixed. What equal hashes of different n-grams could do is make a set one smaller (n_shingles; two n-grams of
 one document, 2**-64 a pair), or add a candidate, which verification drops. Word sequences are told apart by 128 bits of
 BLAKE2b.
@@ -56,7 +58,8 @@ BLOCK = 1024
 ROUNDS = 3
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 100_000
-LOW = np.uint64((1 << 40) - 1)
+#: Bits of a hash that n-grams of one range are told apart by (about a million share a range).
+LOW_BITS = 32
 
 
 class _Words(dict):
@@ -76,7 +79,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], width: int, digests: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, n-gram hash) of each distinct n-gram of some texts, by document and hash.
+    """(document number, n-gram hash) of each distinct n-gram of some texts, a document's together.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer words than width is one n-gram,
     one without words has none. digests: gets the digest of each text's word sequence.
@@ -98,20 +101,21 @@ def shingle_sets(texts: list[bytes], width: int, digests: list[bytes] | None = N
             h = mix(h * np.uint64(0x2545F4914F6CDD1D) + word[at + i])
         return h
 
-    docs, grams = [], []
-    for k in range(1, width + 1):
-        of = np.flatnonzero(many >= width if k == width else many == k)
-        n = np.maximum(many[of] - k + 1, 0)
-        doc = np.repeat(of, n)
-        at = np.repeat(first[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        docs.append(doc)
-        grams.append(rolled(at, k))
-    doc, gram = np.concatenate(docs), np.concatenate(grams)
-    order = np.lexsort((gram, doc))
-    doc, gram = doc[order], gram[order]
+    of = np.flatnonzero(many >= width)
+    n = many[of] - width + 1
+    cut = np.concatenate(([0], np.cumsum(n)))
+    doc = np.repeat(of, n)
+    gram = rolled(np.repeat(first[of], n) + np.arange(cut[-1]) - np.repeat(cut[:-1], n), width)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        gram[a:b].sort()
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
-    return doc[new], gram[new]
+    docs, grams = [doc[new]], [gram[new]]
+    for k in range(1, width):  # texts of k words
+        short = np.flatnonzero(many == k)
+        docs.append(short)
+        grams.append(rolled(first[short], k))
+    return np.concatenate(docs), np.concatenate(grams)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[list[list[int | None]], list[bytes]]]:
@@ -200,17 +204,6 @@ def _part(nodes: np.ndarray, parts: int) -> np.ndarray:
     return ((mix(nodes.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
 
 
-def _packed(low: np.ndarray) -> np.ndarray:
-    """40-bit numbers as five bytes each."""
-    return low.view(np.uint8).reshape(-1, 8)[:, :5]
-
-
-def _unpacked(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
-    return out.reshape(-1).view(np.uint64)
-
-
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, all first ones first: what they have in common is compressed away when they are shuffled."""
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -223,66 +216,78 @@ def _of_planes(raw: np.ndarray, n: int, kind) -> np.ndarray:
 DEALT = "bucket int, part int, body binary"
 
 
+def _sliced(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal keys begin and end."""
+    start = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()] if len(keys) else []
+    return list(zip(start, [*start[1:], len(keys)]))
+
+
 def _dealt(width: int, num: int, den: int, bits: int, parts: int, hot):
-    """Packs of n-grams by bucket (the first bits of the hash): ids and numbers of n-grams of the documents, and the n-grams.
+    """Packs of even n-grams by bucket (the first bits of the hash): ids and numbers of n-grams of the documents, and the n-grams.
 
-    A document's frequent n-grams go to its part at once, as do how many these are: in packs of a part of 0 or more.
+    Of each document, the number of n-grams that aren't dealt, and those of them that its prefix reaches, go to its part
+    at once: in packs of a part of 0 or more.
     """
     schema = _schema(DEALT)
-    shift = np.uint64(64 - bits - 40)
+    shift = np.uint64(64 - bits - LOW_BITS)
 
     def run(batches):
         frequent, rank = hot.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held, direct, size = [], [], 0
 
         def flush():
             node, gram = (np.concatenate(x) for x in zip(*held))
             bucket = (gram >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(gram), dtype=np.uint16)
             order = np.argsort(bucket, kind="stable")
-            node, low, bucket = node[order], (gram[order] >> shift) & LOW, bucket[order].astype(np.int64)
-            start = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
-            run = np.concatenate(([True], (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])))
-            bodies = []
-            for a, b in zip(start, [*start[1:], len(node)]):
+            node, low, bucket = node[order], (gram[order] >> shift).astype(np.uint32), bucket[order].astype(np.int64)
+            run = np.concatenate(([True], (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1]))) if len(node) else np.zeros(0, dtype=bool)
+            buckets, of, bodies = [], [], []
+            for a, b in _sliced(bucket):
                 at = np.flatnonzero(run[a:b])
-                of = np.diff(np.append(at, b - a)).astype(np.uint32)
-                bodies.append(np.uint32(len(at)).tobytes() + _planes(node[a:b][at]) + _planes(of) + _packed(low[a:b]).tobytes())
-            yield _record(schema, bucket=bucket[start].astype(np.int32), part=np.full(len(start), -1, dtype=np.int32), body=bodies)
+                many = np.diff(np.append(at, b - a)).astype(np.uint32)
+                buckets.append(int(bucket[a]))
+                of.append(-1)
+                bodies.append(np.uint32(len(at)).tobytes() + _planes(node[a:b][at]) + _planes(many) + low[a:b].tobytes())
+            node, special, many, token = (np.concatenate(x) for x in zip(*direct))
+            part = _part(node, parts)
+            ends = np.cumsum(many)
+            for p in np.unique(part):
+                mine = np.flatnonzero(part == p)
+                tokens = [token[ends[d] - many[d] : ends[d]] for d in mine[many[mine] > 0]]
+                buckets.append(int(p))
+                of.append(int(p))
+                bodies.append(np.uint32(len(mine)).tobytes() + _planes(node[mine]) + _planes(special[mine]) + _planes(many[mine]) + b"".join([x.tobytes() for x in tokens]))
+            yield _record(schema, bucket=buckets, part=of, body=bodies)
 
         for (nodes,), texts in _batches(batches, "node"):
             nodes = np.array(nodes, dtype=np.int64)
             docs, grams = shingle_sets(texts, width)
+            n = np.bincount(docs, minlength=len(texts))
+            late = (grams & np.uint64(1)).astype(np.int64)  # 0: dealt, 1: odd half, over 1: very frequent
             if len(frequent) and len(grams):
                 at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-                is_hot = frequent[at] == grams
-                doc, order = docs[is_hot], rank[at[is_hot]]
-                if len(doc):
-                    n = np.bincount(docs, minlength=len(texts))
-                    many = np.bincount(doc, minlength=len(texts))
-                    by = np.lexsort((order, doc))
-                    doc, token = doc[by], grams[is_hot][by] >> shift
-                    nth = np.arange(len(doc)) - (np.cumsum(many) - many)[doc]
-                    pos = (n - many)[doc] + nth
-                    kept = pos < (n - (-(-num * n // den)) + 1)[doc]
-                    for d in np.flatnonzero(many):  # a row for each document that has any
-                        mine = slice(*np.searchsorted(doc, [d, d + 1]))
-                        body = np.array([nodes[d], many[d]]).tobytes() + token[mine][kept[mine]].tobytes()
-                        yield _record(schema, bucket=_part(nodes[d : d + 1], 1 << 20), part=_part(nodes[d : d + 1], parts), body=[body])
-                docs, grams = docs[~is_hot], grams[~is_hot]
-            if len(grams):
-                held.append((nodes[docs], grams))
-                size += len(grams)
+                late = np.where(frequent[at] == grams, 2 + rank[at], late)
+            special = np.bincount(docs[late > 0], minlength=len(texts))
+            need = np.where(n > 0, n - (-(-num * n // den)) + 1 - (n - special), 0)  # how many of these the prefix reaches
+            reached = (late > 0) & (need[docs] > 0)
+            doc, token, order = docs[reached], grams[reached] >> shift, late[reached]
+            by = np.lexsort((grams[reached], order, doc))
+            doc, token = doc[by], token[by]
+            nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            kept = nth < need[doc]
+            direct.append((nodes, special.astype(np.uint32), np.bincount(doc[kept], minlength=len(texts)).astype(np.uint32), token[kept]))
+            held.append((nodes[docs[late == 0]], grams[late == 0]))
+            size += len(grams)
             if size >= FLUSH:
                 yield from flush()
-                held, size = [], 0
-        if size:
+                held, direct, size = [], [], 0
+        if held:
             yield from flush()
 
     return run
 
 
-SENT = "part int, bucket int, body binary, node long, n int, sig binary"
+SENT = "part int, bucket int, body binary, node long, n int"
 
 
 def _frequencies(parts: int):
@@ -299,12 +304,12 @@ def _frequencies(parts: int):
                 raw = np.frombuffer(raw, dtype=np.uint8)
                 k = int(raw[:4].view(np.uint32)[0])
                 nodes.append(np.repeat(_of_planes(raw[4 : 4 + 8 * k], k, np.int64), _of_planes(raw[4 + 8 * k : 4 + 12 * k], k, np.uint32)))
-                lows.append(_unpacked(raw[4 + 12 * k :]))
+                lows.append(raw[4 + 12 * k :].view(np.uint32))
             node, low = np.concatenate(nodes), np.concatenate(lows)
             order = np.argsort(low, kind="stable")
             node, low = node[order], low[order]
             start = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-            n = np.diff(np.append(start, len(low)))
+            n = np.diff(np.append(start, len(low)))  # documents of each
             n = np.repeat(n, n)
             node, low, n = node[n > 1], low[n > 1], n[n > 1]
             if not len(node):
@@ -312,9 +317,9 @@ def _frequencies(parts: int):
             part = _part(node, parts)
             order = np.argsort(part, kind="stable")
             node, low, n, part = node[order], low[order], np.minimum(n[order], 65535).astype(np.uint16), part[order]
-            start = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
-            bodies = [np.uint32(b - a).tobytes() + _planes(node[a:b]) + _planes(n[a:b]) + _packed(low[a:b]).tobytes() for a, b in zip(start, [*start[1:], len(node)])]
-            yield _record(schema, part=part[start], bucket=np.full(len(start), now, dtype=np.int32), body=bodies)
+            cuts = _sliced(part)
+            bodies = [np.uint32(b - a).tobytes() + _planes(node[a:b]) + _planes(n[a:b]) + low[a:b].tobytes() for a, b in cuts]
+            yield _record(schema, part=[int(part[a]) for a, _ in cuts], bucket=np.full(len(cuts), now, dtype=np.int32), body=bodies)
 
         for b in batches:
             for bucket, part, body in zip(b.column("bucket").to_pylist(), b.column("part").to_pylist(), b.column("body")):
@@ -338,13 +343,13 @@ def _heads(parts: int):
     def run(batches):
         for b in batches:
             nodes = np.asarray(b.column("node"))
-            yield _record(schema, part=_part(nodes, parts), node=b.column("node"), n=b.column("n"), sig=b.column("sig"))
+            yield _record(schema, part=_part(nodes, parts), node=b.column("node"), n=b.column("n"))
 
     return run
 
 
 # --- 3: prefixes
-POSTING = "token long, node long, n int, pos int, sig binary"
+POSTING = "token long, node long, n int, pos int"
 
 
 def _prefixes(num: int, den: int):
@@ -355,54 +360,60 @@ def _prefixes(num: int, den: int):
         now, rows = None, []
 
         def finish():
-            heads = {node: (n, sig) for _, body, node, n, sig in rows if body is None}
+            heads = {node: n for _, body, node, n in rows if body is None}
             if not heads:
                 return
             ids = np.array(sorted(heads), dtype=np.int64)
-            size = np.array([heads[i][0] for i in ids.tolist()], dtype=np.int64)
-            sigs = [heads[i][1] for i in ids.tolist()]
+            size = np.array([heads[i] for i in ids.tolist()], dtype=np.int64)
+            special = np.full(len(ids), -1, dtype=np.int64)
             node, token, df = [], [], []
-            special = np.zeros(len(ids), dtype=np.int64)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tokens, documents' numbers, positions
+
+            def numbers(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Documents' numbers, and which are representatives at all."""
+                at = np.minimum(np.searchsorted(ids, nodes), len(ids) - 1)
+                return at, ids[at] == nodes
+
             for bucket, body, *_ in rows:
                 if body is None:
                     continue
-                if bucket is None:  # frequent n-grams of one document
-                    (doc, many), mine = np.frombuffer(body, np.int64, 2).tolist(), np.frombuffer(body, np.int64, offset=16)
-                    if doc in heads:
-                        d = int(np.searchsorted(ids, doc))
-                        if not special[d]:  # rows alike come more than once
-                            special[d] = many
-                            out.append((mine, np.full(len(mine), d), size[d] - many + np.arange(len(mine))))
-                    continue
                 raw = np.frombuffer(body, dtype=np.uint8)
                 k = int(raw[:4].view(np.uint32)[0])
+                if bucket is None:  # what wasn't dealt
+                    at, known = numbers(_of_planes(raw[4 : 4 + 8 * k], k, np.int64))
+                    rest, many = (_of_planes(raw[4 + a * k : 4 + (a + 4) * k], k, np.uint32).astype(np.int64) for a in (8, 12))
+                    tokens = raw[4 + 16 * k :].view(np.int64)
+                    known &= special[at] < 0  # rows alike come more than once
+                    special[at[known]] = rest[known]
+                    d = np.repeat(np.arange(k), many)
+                    nth = np.arange(len(d)) - np.repeat(np.cumsum(many) - many, many)
+                    mine = known[d]
+                    d, nth = d[mine], nth[mine]
+                    out.append((tokens[mine], at[d], size[at[d]] - rest[d] + nth))
+                    continue
                 node.append(_of_planes(raw[4 : 4 + 8 * k], k, np.int64))
                 df.append(_of_planes(raw[4 + 8 * k : 4 + 10 * k], k, np.uint16))
-                token.append(_unpacked(raw[4 + 10 * k :]) | np.uint64(bucket << 40))
+                token.append(raw[4 + 10 * k :].view(np.uint32).astype(np.int64) | (bucket << LOW_BITS))
             if node:
                 node, token, df = np.concatenate(node), np.concatenate(token), np.concatenate(df)
-                at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
-                kept = ids[at] == node
-                at, token, df = at[kept], token[kept], df[kept]
+                at, known = numbers(node)
+                at, token, df = at[known], token[known], df[known]
                 order = np.lexsort((token, df, at))
                 at, token = at[order], token[order]
                 new = np.ones(len(at), dtype=bool)  # rows alike
                 new[1:] = (at[1:] != at[:-1]) | (token[1:] != token[:-1])
                 at, token = at[new], token[new]
                 shared = np.bincount(at, minlength=len(ids))
-                alone = np.maximum(size - shared - special, 0)
+                alone = np.maximum(size - shared - np.maximum(special, 0), 0)
                 pos = alone[at] + np.arange(len(at)) - (np.cumsum(shared) - shared)[at]
                 kept = pos < (size - (-(-num * size // den)) + 1)[at]
-                out.append((token[kept].view(np.int64), at[kept], pos[kept]))
+                out.append((token[kept], at[kept], pos[kept]))
             if out:
                 token, at, pos = (np.concatenate(x) for x in zip(*out))
-                for a in range(0, len(token), 20_000):
-                    t, d, p = token[a : a + 20_000], at[a : a + 20_000], pos[a : a + 20_000]
-                    yield _record(schema, token=t, node=ids[d], n=size[d].astype(np.int32), pos=p.astype(np.int32), sig=[sigs[x] for x in d.tolist()])
+                yield _record(schema, token=token, node=ids[at], n=size[at].astype(np.int32), pos=pos.astype(np.int32))
 
         for b in batches:
-            parts, *columns = (b.column(c).to_pylist() for c in ("part", "bucket", "body", "node", "n", "sig"))
+            parts, *columns = (b.column(c).to_pylist() for c in ("part", "bucket", "body", "node", "n"))
             for part, *row in zip(parts, *columns):
                 if part != now and rows:
                     yield from finish()
@@ -596,7 +607,7 @@ def _postings(rows: DataFrame, found: DataFrame, hot, total: int, width: int, nu
     bits, parts = min(24, (2 * tasks - 1).bit_length()), 2 * tasks
     dealt = rows.where("node IS NOT NULL").select("node", "text").mapInArrow(_dealt(width, num, den, bits, parts, hot), DEALT)
     sent = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies(parts), SENT)
-    heads = found.where("rep = node AND n > 0").select("node", "n", "sig").mapInArrow(_heads(parts), SENT)
+    heads = found.where("rep = node AND n > 0").select("node", "n").mapInArrow(_heads(parts), SENT)
     return sent.unionByName(heads).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_prefixes(num, den), POSTING)
 
 
@@ -640,6 +651,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     live = common.written(_postings(rows, found, hot, n_grams, width, num, den).where("token IS NOT NULL"), "postings")
     n_live = live.count()
+    sigs = found.where("rep = node").select("node", "sig")
+    sigs = sigs.dropDuplicates(["node"]) if repeated else sigs
     done: DataFrame | None = None
     labels: DataFrame | None = None
 
@@ -670,6 +683,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def several() -> tuple[DataFrame, int]:
         """Postings of n-grams whose documents lie in several components, and a bound on the pairs that these would make."""
+        nonlocal live
         now = live.withColumn("comp", F.col("node"))
         if labels is not None:
             now = live.join(labels.select("node", "component"), "node", "left").select(*live.columns, F.coalesce("component", "node").alias("comp"))
@@ -678,7 +692,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("x"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
         main = common.written(main.select("token", F.col("x.comp").alias("main"), F.col("x.k").alias("inside"), "k"), "open")
         work = main.agg(F.sum((F.col("k") - F.col("inside")) * F.col("k"))).first()[0] or 0
-        return common.lookup(now, main, ["token"], "k", n_live).where("k IS NOT NULL"), work
+        now = common.written(common.lookup(now, main, ["token"], "k", n_live).where("k IS NOT NULL"), "live")
+        live = now.select(*live.columns)  # components only grow, so no other n-gram has several later
+        return now.join(sigs, "node"), work
 
     def block(n_rows, seed: int):
         return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n_rows / BLOCK)).cast("int")
