@@ -11,8 +11,9 @@ That pays for a small radius. Texts with a Jaccard index of 0.8 over their terms
 query searches within NEAR_RADIUS; tables for that would be keyed by 4 bits at best and yield more candidates than
 there are pairs, so from a radius of BLOCKS on every pair is compared, in generated code.
 
-The next document of a document, in descending order of ids, is found without sorting all in one task: ids are cut
-into buckets of about BUCKET_ROWS by a histogram of their leading bits, which are sorted each on its own; the first
+The next document of a document, in descending order of ids, is found without sorting all in one task: ids alone are
+range-sorted, and every BUCKET_ROWS-th (in tables of over MOST_BUCKETS buckets: fewer) is a border. A document finds its
+bucket by binary search among the borders, whatever the ids are like; buckets are sorted each on its own, and the first
 row of a bucket is also given to the bucket before it.
 """
 
@@ -35,8 +36,7 @@ RADIUS = 3
 NEAR_RADIUS = 16
 #: Queries broadcast at once, and pairs compared in a task, when every pair is compared.
 TILE_QUERIES, TASK_PAIRS = 1_000_000, 1 << 28
-BUCKET_ROWS = 1000
-CELL_BITS = 16
+BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 18
 
 
 def _votes(words: str, pos: str) -> tuple[Column, Column]:
@@ -133,24 +133,27 @@ def near_by_scan(queries: DataFrame, held: DataFrame, radius: int) -> DataFrame:
     return functools.reduce(DataFrame.unionAll, found).select("query", "found", apart.alias("distance"))
 
 
-def _buckets(docs: DataFrame, id_col: str, bucket_rows: int) -> Column:
-    """Bucket numbers, as an expression of the id: ascending as ids descend, nulls in the last."""
-    unsigned = F.col(id_col).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    ends = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    if ends.lo is None:
-        return F.lit(0)
-    lo, hi = ends.lo + (1 << 63), ends.hi + (1 << 63)
-    shift = max((lo ^ hi).bit_length() - CELL_BITS, 0)
-    cell = (F.shiftrightunsigned(unsigned, shift) if shift else unsigned).bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
-    held = {r.c: r.n for r in docs.where(F.col(id_col).isNotNull()).groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect()}  # 2**CELL_BITS rows at most
-    number, load, of = 0, 0, [0] * (1 << CELL_BITS)
-    for c in range((1 << CELL_BITS) - 1, -1, -1):
-        n = held.get(c, 0)
-        if load and load + n > bucket_rows:
-            number, load = number + 1, 0
-        load += n
-        of[c] = number
-    return F.coalesce(F.get(common.constant(docs.sparkSession, of, "array<int>"), cell), F.lit(number))
+def _borders(ids: DataFrame, bucket_rows: int) -> list[int]:
+    """Ids, ascending, that cut all ids (column id, long) into buckets of about bucket_rows; at most MOST_BUCKETS and one for each range."""
+    ids = ids.where("id IS NOT NULL")
+    n = ids.count()
+    step = max(bucket_rows, -(-n // MOST_BUCKETS))
+    if n <= step:
+        return []
+    ranges = min(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // step))
+    sorted_ = common.written(ids.repartitionByRange(ranges, "id").withColumn("range", F.spark_partition_id()), "ids")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("id"))
+    return sorted({r.id for r in sorted_.withColumn("nth", nth).where(F.col("nth") % step == 1).select("id").collect()})
+
+
+def _buckets(rows: DataFrame, borders: list[int]) -> DataFrame:
+    """rows with the number of their bucket: ascending as ids descend, nulls in the last. By binary search."""
+    steps = [1 << k for k in range(len(borders).bit_length() - 1, -1, -1)] if borders else []
+    rows = rows.withColumn("__borders", common.constant(rows.sparkSession, borders, "array<bigint>"))
+    held = F.col("__borders")
+    # how many borders are not above the id
+    below = F.aggregate(F.array(*[F.lit(x) for x in steps]).cast("array<int>"), F.lit(0), lambda at, x: F.when(F.get(held, at + x - 1) <= F.col("id"), at + x).otherwise(at))
+    return rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(borders) + 1)).otherwise(F.lit(len(borders)) - below)).drop("__borders")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -160,10 +163,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     The result is partitioned by bucket.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket = _buckets(rows.select("id"), "id", bucket_rows)
-    rows = rows.withColumn("bucket", bucket)
-    firsts = rows.groupBy("bucket").agg(F.max("id").alias("first"))
-    found = firsts.orderBy("bucket").collect()  # one row a bucket, 2**CELL_BITS at most
+    borders = _borders(rows.select("id"), bucket_rows)
+    firsts = _buckets(rows.select("id"), borders).groupBy("bucket").agg(F.max("id").alias("first"))
+    rows = _buckets(rows, borders)
+    found = firsts.orderBy("bucket").collect()  # one row a bucket
     before = [(found[k - 1].bucket if k else found[-1].bucket, r.first) for k, r in enumerate(found)]
     hosts = docs.sparkSession.createDataFrame(before, "host int, first long")
     guests = rows.join(F.broadcast(hosts), F.col("id").eqNullSafe(F.col("first"))).select("id", "text", F.col("host").alias("bucket"))

@@ -53,6 +53,13 @@ def test_awkward_rows(spark):
     assert simhash.fingerprint_documents(awkward(spark)).count() == awkward(spark).count()
 
 
+def test_one_far_id_does_not_gather_the_others(spark):
+    rows = [(i, "a b") for i in range(5000)] + [(1 << 62, "far"), (-(1 << 62), "low"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in simhash.with_next(df, bucket_rows=500).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 502 + 4
+
+
 def test_likeness(spark):
     rows = [(i, " ".join(f"w{(i * 977 + j * 31) % 10007}" for j in range(200))) for i in range(40)]
     got = simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.min("near_edited").alias("e"), F.avg("near_edited").alias("a"), F.avg("near_next").alias("n")).first()
