@@ -1,8 +1,8 @@
 """Quality classifier by co-training two views of a document: its text's content and its page's metadata.
 
 Content: frequencies of hashed character trigrams and of hashed five-grams of character kinds (letter in lower or upper
-case, digit, each mark, white space), and the shares of distinct and of repeated words and of distinct lines. Metadata: source, language, recorded
-length and the layout of lines, as hashed categories. Either view is a logistic regression. In each round both judge
+case, digit, each mark, white space), and the shares of distinct and of repeated words and of distinct lines, numbers and lengths of words and lines. Metadata:
+source, language and recorded length, as hashed categories; it never sees the text. Either view is a logistic regression. In each round both judge
 all unlabelled documents, and the most confident verdicts of one, in the labels' proportion and CONFIDENT more of all
 documents every round, teach the other. Then both are calibrated (Platt) on labelled documents kept apart, and a logistic unit over the two
 calibrated scores, fitted on these too, gives the document's score. The threshold keeps KEEP_GOOD of the good ones.
@@ -11,7 +11,8 @@ Fitting reads a sample of about LABELLED labelled documents, chosen by hash. The
 from a table of their views. Their verdicts come back in bounded size: a histogram of each view's scores, by which the
 cut of the most confident is set, and for each view, verdict and kind of document (source and language, hashed to
 KINDS_APART) the sum of the views of all documents within the cut. The mean of such a group, weighted by its number, is
-a row of the other view's training set; all of them together have at most half the weight of the labelled ones.
+a row of the other view's training set; all of them together have at most half the weight of the labelled ones, and
+less by how little better than chance the view that gave them puts the labelled documents kept apart in order.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ from strandlake.llm import common
 LABELLED = 3000
 ROUNDS, CONFIDENT = 4, 0.05
 KEEP_GOOD = 0.995
-GRAMS, KINDS, DENSE, META = 1024, 1024, 6, 256
+GRAMS, KINDS, DENSE, META = 1024, 1024, 8, 256
 CONTENT = GRAMS + KINDS + DENSE
 LEAST = 10
 #: Groups of documents whose confident verdicts are summed; bins of a score between -REACH and REACH.
 KINDS_APART, BINS, REACH = 32, 4096, 16.0
+#: Logarithm of nine.
+EDGE = 2.1972245773362196
 #: Sums are of whole numbers, so that no order of adding changes them.
 UNIT = float(1 << 24)
 
@@ -81,17 +84,23 @@ def dense(text: str) -> np.ndarray:
     lines = [x for x in text.split("\n") if x]
     n = max(len(words), 1)
     again = sum(map(operator.eq, words, words[1:])) / n
-    return np.array([1.0, 3 * again, 2 * len(set(words)) / n, len(set(lines)) / max(len(lines), 1), min(len(text) / n, 40.0) / 10.0, min(np.log1p(len(words)), 12.0) / 10.0])
+    return np.array([1.0, 3 * again, 2 * len(set(words)) / n, len(set(lines)) / max(len(lines), 1), min(len(text) / n, 40.0) / 10.0, min(np.log1p(len(words)), 12.0) / 10.0, min(np.log1p(text.count("\n")), 12.0) / 5.0, min(np.log1p(len(text) / (text.count("\n") + 1)), 12.0) / 5.0])
 
 
 WINDOW = 1_000_000
 
 
+def _slots_by_window(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """content_slots() of the whole text, WINDOW positions at a time, so that memory stays bounded for any text."""
+    for at in range(0, len(text), WINDOW):
+        three, five = content_slots(text[at : at + WINDOW + 4])
+        yield three[:WINDOW], five[:WINDOW]
+
+
 def content(text: str) -> np.ndarray:
     """The content view: frequencies (scaled) and shares."""
     out = np.zeros(CONTENT)
-    for at in range(0, len(text), WINDOW):  # memory stays bounded for any text
-        three, five = content_slots(text[at : at + WINDOW + 4])
+    for three, five in _slots_by_window(text):
         out[:GRAMS] += np.bincount(three, minlength=GRAMS)
         out[GRAMS : GRAMS + KINDS] += np.bincount(five, minlength=KINDS)
     out[: GRAMS + KINDS] *= SCALE / (len(text) + DAMPING)
@@ -104,21 +113,27 @@ SCALE = 20.0
 DAMPING = 100
 
 
-def metadata(text: str, source: str | None, lang: str | None, n_chars: float | None) -> list[int]:
+def metadata(source: str | None, lang: str | None, n_chars: float | None) -> list[int]:
     """The metadata view: slots that are 1."""
-    length = -1 if n_chars is None or n_chars != n_chars or n_chars < 0 else int(np.log2(1 + n_chars))
-    lines = text.count("\n") + 1
-    marks = [f"s:{source}", f"l:{lang}", f"n:{length}", f"k:{int(np.log2(lines))}", f"w:{int(np.log2(1 + len(text) / lines))}"]
+    length = -1 if n_chars is None or n_chars != n_chars or n_chars < 0 else int(2 * np.log2(1 + n_chars))
+    marks = [f"s:{source}", f"l:{lang}", f"n:{length}"]
     return sorted({zlib.crc32(m.encode("utf-8", "replace")) % META for m in marks})
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression by Nesterov's gradient steps."""
     weight = np.ones(len(y)) / len(y) if weight is None else weight / weight.sum()
     w, b = np.zeros(x.shape[1]), 0.0
     pw, pb = w.copy(), b
-    rate = 1.0 / (0.25 * max(float((weight @ (x * x)).sum()), 1.0) + ridge)
-    rate *= 4
+    # the greatest curvature, by power iteration from the mean (all features but the dense ones are frequencies or 0 and 1)
+    v, u, top = weight @ x, 1.0, 1.0
+    for _ in range(30):
+        size = float(np.sqrt(v @ v + u * u))
+        v, u = v / size, u / size
+        p = weight * (x @ v + u)
+        v, u = x.T @ p, p.sum()
+        top = float(np.sqrt(v @ v + u * u))
+    rate = 1.0 / (0.25 * 1.1 * top + ridge)
     for k in range(steps):
         m = k / (k + 3.0)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
@@ -128,6 +143,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
     return w, b
 
 
+def ordered(z: np.ndarray, y: np.ndarray) -> float:
+    """How much better than chance scores put good before bad ones: 1 for all pairs, 0 for no more than half of them."""
+    order = np.argsort(np.argsort(z, kind="stable"), kind="stable")
+    n1, n0 = y.sum(), (1 - y).sum()
+    return max(0.0, 2 * float((order[y == 1].sum() - n1 * (n1 - 1) / 2) / max(n1 * n0, 1)) - 1)
+
+
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     n1, n0 = y.sum(), (1 - y).sum()
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -152,12 +174,11 @@ class CoTrained:
         z = self.content_b
         if text:
             total = 0.0
-            for at in range(0, len(text), WINDOW):
-                three, five = content_slots(text[at : at + WINDOW + 4])
+            for three, five in _slots_by_window(text):
                 total += float(self.content_w[:GRAMS][three].sum() + self.content_w[GRAMS : GRAMS + KINDS][five].sum())
             z += total * SCALE / (len(text) + DAMPING)
         z += float(self.content_w[GRAMS + KINDS :] @ dense(text))
-        m = self.meta_b + float(self.meta_w[metadata(text, source, lang, n_chars)].sum())
+        m = self.meta_b + float(self.meta_w[metadata(source, lang, n_chars)].sum())
         a, b = self.content_cal[0] * z + self.content_cal[1], self.meta_cal[0] * m + self.meta_cal[1]
         c = self.mix[0] * a + self.mix[1] * b + self.mix[2]
         return tuple(1 / (1 + np.exp(-np.clip((c, a, b), -30, 30))))
@@ -167,22 +188,31 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, others: Unlabelled, ap
     """x, m: the two views of labelled documents; apart: those kept for calibration; others: the unlabelled ones."""
     base = np.flatnonzero(~apart)
     share = y[base].mean()
+    trust = [1.0, 1.0]
     taught: list[list[tuple[float, float, np.ndarray]]] = [[], []]  # (pseudo-label, number, mean) of groups of documents, for each view
 
+    def even(y: np.ndarray) -> np.ndarray:
+        """Weights by which either label of the labelled documents counts the same."""
+        return np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+
     def train(view: int):
         mine = (x, m)[view][base]
         extra = taught[view]
         if not extra:
-            return logistic(mine, y[base])
+            return logistic(mine, y[base], even(y[base]))
         number = np.array([n for _, n, _ in extra])
-        weight = np.concatenate((np.ones(len(base)), 0.5 * number * min(1.0, len(base) / number.sum())))
+        weight = np.concatenate((np.ones(len(base)), 0.5 * trust[1 - view] * number * min(1.0, len(base) / number.sum())))
+        weight *= even(np.concatenate((y[base], [q for q, _, _ in extra])))
         return logistic(np.concatenate((mine, [mean for _, _, mean in extra])), np.concatenate((y[base], [q for q, _, _ in extra])), weight)
 
-    for _ in range(rounds if others.n else 0):
-        for groups, more in zip(taught, others.verdicts((train(0), train(1)), confident, share)):
+    test = np.flatnonzero(apart)
+    for k in range(rounds if others.n else 0):
+        models = (train(0), train(1))
+        if not k:
+            trust = [ordered(v[test] @ w + b, y[test]) for v, (w, b) in zip((x, m), models)]
+        for groups, more in zip(taught, others.verdicts(models, confident, share)):
             groups += more
     (cw, cb), (mw, mb) = train(0), train(1)
-    test = np.flatnonzero(apart)
     z, v = x[test] @ cw + cb, m[test] @ mw + mb
     c_cal, m_cal = platt(z, y[test]), platt(v, y[test])
     a, b = c_cal[0] * z + c_cal[1], m_cal[0] * v + m_cal[1]
@@ -209,7 +239,7 @@ def _views(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 v = content(text).astype(np.float32)
                 at = np.flatnonzero(v).astype(np.int32)
-                out.append((key, y, at.tobytes(), v[at].tobytes(), np.array(metadata(text, source, lang, n_chars), dtype=np.int32).tobytes()))
+                out.append((key, y, at.tobytes(), v[at].tobytes(), np.array(metadata(source, lang, n_chars), dtype=np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["key", "y", "at", "value", "meta"])
 
     return docs.select("key", "y", *NAMES).mapInPandas(run, "key long, y int, at binary, value binary, meta binary")
@@ -228,7 +258,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 counts = np.rint(v[: GRAMS + KINDS] * ((len(text) + DAMPING) / SCALE)).astype("<u4")
                 held = counts > 0
                 body = np.packbits(held).tobytes() + v[GRAMS + KINDS :].astype("<f8").tobytes() + np.array([SCALE / (len(text) + DAMPING)]).astype("<f8").tobytes() + counts[held].tobytes()
-                meta = np.array(metadata(text, source, lang, n_chars), dtype="<u2").tobytes()
+                meta = np.array(metadata(source, lang, n_chars), dtype="<u2").tobytes()
                 out.append((zlib.crc32(f"{source} {lang}".encode("utf-8", "replace")) % KINDS_APART, meta, zlib.compress(body, 1)))
             yield pd.DataFrame(out, columns=["kind", "meta", "body"])
 
@@ -248,10 +278,15 @@ def _bin(z: float) -> int:
     return int(min(max((z + REACH) / (2 * REACH), 0.0), 1.0 - 1e-9) * BINS)
 
 
-def _side(z: float, cut: tuple[int, int]) -> int | None:
-    """The verdict on a document of this score, if it is confident: less than 0.1 or more than 0.9, and within the cut."""
-    edge = 2.1972245773362196  # log 9
-    return 0 if z < -edge and _bin(z) <= cut[0] else 1 if z > edge and _bin(z) >= cut[1] else None
+def _edges(share: float) -> tuple[float, float]:
+    """Scores below and above which a view is confident: odds of nine to one, for the commoner label on top of its share."""
+    prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
+    return -EDGE + min(prior, 0.0), EDGE + max(prior, 0.0)
+
+
+def _side(z: float, cut: tuple[int, int], edges: tuple[float, float]) -> int | None:
+    """The verdict on a document of this score, if it is confident and within the cut."""
+    return 0 if z < edges[0] and _bin(z) <= cut[0] else 1 if z > edges[1] and _bin(z) >= cut[1] else None
 
 
 class Unlabelled:
@@ -269,7 +304,7 @@ class Unlabelled:
         rest = docs.where(maybe & common.bloom(wanted, "h", wanted.count())).dropDuplicates(["doc_id", *NAMES]).join(wanted.select("doc_id"), "doc_id", "left_semi")
         self.rows = common.written(_packed(docs.where(~maybe).select(*NAMES).unionByName(rest.select(*NAMES))), "unlabelled")
         self.n = self.rows.count()
-        self.earlier: list = []  # the models and cuts of each round so far
+        self.earlier: list = []  # the models, cuts and edges of each round so far
 
     def _judged(self, models, schema: str, judge) -> DataFrame:
         """judge(rows of kind, meta slots, content slots and values, and each view's score or None if an earlier round took the document) in each task."""
@@ -289,9 +324,9 @@ class Unlabelled:
                         slots = np.frombuffer(meta, "<u2")
                         at, value = _unpacked(body)
                         taken = [False, False]
-                        for old, cuts in earlier:
+                        for old, cuts, edges in earlier:
                             z = scores(old, slots, at, value)
-                            taken = [t or _side(z[v], cuts[v]) is not None for v, t in enumerate(taken)]
+                            taken = [t or _side(z[v], cuts[v], edges) is not None for v, t in enumerate(taken)]
                         if not all(taken):
                             z = scores(models, slots, at, value)
                             yield kind, slots, at, value, [None if t else z[v] for v, t in enumerate(taken)]
@@ -304,10 +339,12 @@ class Unlabelled:
         """For each view (pseudo-label, number, mean) of the groups that the other view is confident of now and wasn't before.
 
         These are the documents of lowest and of highest score, part of all in the labels' proportion (share: of good
-        ones), where the view gives less than 0.1 or more than 0.9. Documents in the last bin that is needed are all
+        ones), of which the view is confident. Documents in the last bin that is needed are all
         taken, and the numbers lowered in proportion to what was wanted.
         """
 
+        edges = _edges(share)
+
         def count(rows):
             held = np.zeros((2, BINS), dtype=np.int64)
             for *_, z in rows:
@@ -327,7 +364,7 @@ class Unlabelled:
             sums: dict[tuple[int, int, int], list] = {}
             for kind, slots, at, value, z in rows:
                 for view in (0, 1):
-                    label = None if z[view] is None else _side(z[view], cuts[view])
+                    label = None if z[view] is None else _side(z[view], cuts[view], edges)
                     if label is not None:
                         key = (1 - view, label, int(kind))
                         if key not in sums:
@@ -345,7 +382,7 @@ class Unlabelled:
 
         schema = "view int, label int, kind int, n long, total binary"
         got = self._judged(models, schema, gather).groupBy("view", "label", "kind").applyInPandas(add, schema).collect()  # 4 * KINDS_APART rows at most
-        self.earlier.append((models, cuts))
+        self.earlier.append((models, cuts, edges))
         out: list[list[tuple[float, float, np.ndarray]]] = [[], []]
         for r in sorted(got, key=lambda r: (r.view, r.label, r.kind)):
             total = np.frombuffer(bytes(r.total), dtype=np.int64).astype(float)
@@ -367,8 +404,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, **settings
     known = usable.where(dice < min(1.0, labelled / max(n_labels, 1))).groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").cast("int").alias("y"))
     known = common.written(known, "known")  # about `labelled` rows
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["key"]).select("key", "y", *NAMES)
-    # a document that occurs many times counts once
-    got = common.written(_views(rows).dropDuplicates(["key"]), "views").toPandas()
+    # of rows that share an id one counts: the first by its views' bytes
+    views = _views(rows).groupBy("key").agg(F.min(F.struct("y", "at", "value", "meta")).alias("v")).select("key", "v.*")
+    got = common.written(views, "views").toPandas()
     got = got.sort_values("key", kind="stable").reset_index(drop=True)
 
     def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -391,11 +429,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, **settings
     return model
 
 
-def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """docs, all columns, with a struct `quality_scores` (score, p_content, p_meta, kept). Without a model all have score 1 and are kept."""
+def scored(docs: DataFrame, model: CoTrained | None, out_col: str = "quality_scores") -> DataFrame:
+    """docs, all columns, with a struct (score, p_content, p_meta, kept). Without a model all have score 1 and are kept.
+
+    An existing column of the struct's name is replaced.
+    """
     if model is None:
         one = F.lit(1.0)
-        return docs.withColumn("quality_scores", F.struct(one.alias("score"), one.alias("p_content"), one.alias("p_meta"), F.lit(True).alias("kept")))
+        return docs.withColumn(out_col, F.struct(one.alias("score"), one.alias("p_content"), one.alias("p_meta"), F.lit(True).alias("kept")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     @F.pandas_udf("score double, p_content double, p_meta double, kept boolean")
@@ -407,13 +448,13 @@ def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
         f["kept"] = f["score"] >= model.threshold
         return f
 
-    return docs.withColumn("quality_scores", judge(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars").cast("double")))
+    return docs.withColumn(out_col, judge(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars").cast("double")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """docs, all columns, without the documents that the classifier rejects. Null and empty texts are judged like any other."""
-    out = scored(docs, fit(docs.select("doc_id", *NAMES), labels, **settings))
-    return out.where("quality_scores.kept").drop("quality_scores")
+    out = scored(docs, fit(docs.select("doc_id", *NAMES), labels, **settings), "__quality")
+    return out.where("__quality.kept").drop("__quality")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,57 @@ def test_unlabelled_documents(spark):
     assert sum(n for view in a for _, n, _ in view) > 0
     for one, two in zip(a, b):
         assert [x[:2] for x in one] == [x[:2] for x in two] and all((x[2] == y[2]).all() for x, y in zip(one, two))
+
+
+def test_long_texts_count_every_gram_once(monkeypatch):
+    text = "Ab, c9! " * 400 + "x"
+    whole = quality.content(text)
+    monkeypatch.setattr(quality, "WINDOW", 7)
+    assert (quality.content(text) == whole).all()
+    three, five = (np.concatenate(x) for x in zip(*quality._slots_by_window(text)))
+    assert len(three) == len(text) - 2 and len(five) == len(text) - 4
+
+
+def test_one_exchange_against_plain_python(spark):
+    """Which documents each view is confident of, and the means that teach the other."""
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice(["ab", "cd", "EF!", "9"], 12)), ["en", "de", None][i % 3], f"s{i % 5}", int(rng.integers(1, 9000))) for i in range(300)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    others = quality.Unlabelled(df, spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long"))
+    models = ((rng.normal(0, 1, quality.CONTENT), 0.3), (rng.normal(0, 3, quality.META), -0.2))
+    part, share = 0.2, 0.7
+    got = others.verdicts(models, part, share)
+    free = [d for d in docs if d[0] % 3]
+    assert others.n == len(free)
+    for view in (0, 1):  # the verdicts of a view teach the other one
+        x = np.stack([quality.content(d[1]) for d in free])
+        m = np.zeros((len(free), quality.META))
+        for row, d in zip(m, free):
+            row[quality.metadata(d[3], d[2], d[4])] = 1
+        z = x @ models[0][0] + models[0][1] if view == 0 else m @ models[1][0] + models[1][1]
+        bins = np.array([quality._bin(v) for v in z])
+        expected = []
+        for label, wanted in ((0, part * len(free) * (1 - share)), (1, part * len(free) * share)):
+            order = np.sort(bins) if label == 0 else np.sort(bins)[::-1]
+            edge = order[min(int(np.ceil(wanted)), len(order)) - 1]
+            sure = (z < -np.log(9)) & (bins <= edge) if label == 0 else (z > np.log(9) + np.log(share / (1 - share))) & (bins >= edge)
+            kinds = np.array([quality.zlib.crc32(f"{d[3]} {d[2]}".encode()) % quality.KINDS_APART for d in free])
+            for kind in sorted(set(kinds[sure])):
+                at = sure & (kinds == kind)
+                expected.append((float(label), at.sum() * min(1.0, wanted / sure.sum()), (m if view == 0 else x)[at].mean(axis=0)))
+        assert len(expected) == len(got[1 - view]) and expected
+        for (a, n, mean), (b, k, other) in zip(expected, got[1 - view]):
+            assert a == b and abs(n - k) < 1e-9
+
+
+def test_clashing_columns_and_ties(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("ab" if i % 2 else "AB!!" for _ in range(rng.randint(5, 50))), "en", "s", 9) for i in range(80)]
+    # ids that come twice, with different texts, and labels that contradict each other
+    rows += [(i, "ab ab ab", "en", "s", 9) for i in range(10)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in ("quality_scores", "key", "y", "h", "meta", "kept")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(1, 0)], "doc_id long, quality int")
+    out = quality.keep_good(docs, labels)
+    assert out.columns == docs.columns and {r.quality_scores for r in out.collect()} == {"mine"}
+    a, b = (quality.fit(docs.repartition(n), labels) for n in (1, 5))
+    assert (a.content_w == b.content_w).all() and a.threshold == b.threshold
