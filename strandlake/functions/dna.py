@@ -102,20 +102,43 @@ def bit_width(x: Column) -> Column:
 def windows(runs_df: DataFrame, run: str, k: int, out: str, keep: list[str] | None = None, offset: str | None = None, start: str | None = None) -> DataFrame:
     """One row for each window of k characters of a column; with start, its 0-based position (plus offset's value).
 
-    Long strings are first cut into chunks that overlap by k - 1, so the work is linear in their length.
+    Long strings are first cut into chunks that overlap by k - 1, so the work is linear in their length. Windows are cut
+    after the explosion of their places, in generated code.
     """
     keep = keep or []
     step = max(CHUNK, 2 * k)
     long = runs_df.where(F.length(run) >= k)
     chunk = F.transform(F.sequence(F.lit(0), F.length(run) - k, F.lit(step)), lambda at: F.struct(at.alias("at"), F.substring(run, at + 1, F.lit(step + k - 1)).alias("part")))
-    cut = long.select(*keep, *([offset] if offset else []), F.explode(chunk).alias("__c"))
-    part = F.col("__c.part")
-    cells = F.transform(F.sequence(F.lit(0), F.length(part) - k), lambda i: F.struct(i.alias("i"), F.substring(part, i + 1, F.lit(k)).alias("w")))
+    before = [*keep, *([offset] if offset else [])]
+    cut = long.select(*before, F.explode(chunk).alias("__c")).select(*before, F.col("__c.at").alias("__at"), F.col("__c.part").alias("__part"))
+    rows = cut.select(*before, "__at", "__part", F.explode(F.sequence(F.lit(0), F.length("__part") - k)).alias("__i"))
+    window = F.substring("__part", F.col("__i") + 1, F.lit(k)).alias(out)
     if not start:
-        return cut.select(*keep, F.explode(F.transform(cells, lambda c: c["w"])).alias(out))
-    rows = cut.select(*keep, *([offset] if offset else []), F.col("__c.at").alias("__at"), F.explode(cells).alias("__w"))
-    at = F.col("__at") + F.col("__w.i") + (F.col(offset) if offset else F.lit(0))
-    return rows.select(*keep, at.cast("long").alias(start), F.col("__w.w").alias(out))
+        return rows.select(*keep, window)
+    at = F.col("__at") + F.col("__i") + (F.col(offset) if offset else F.lit(0))
+    return rows.select(*keep, at.cast("long").alias(start), window)
+
+
+#: The most characters that coded() holds: decimal digits of a BIGINT.
+CODED = 18
+
+
+def as_digits(seq: Column) -> Column:
+    """ACGT as 0123, all other characters as x."""
+    return F.regexp_replace(F.translate(seq, ALPHABET, "0123"), "[^0-3]", "x")
+
+
+def coded(digits: Column) -> Column:
+    """A string of at most CODED digits 0123 as a BIGINT, read as a decimal number; null if it holds an x.
+
+    Numbers of one length compare as the strings do, and are hashed, shuffled and compared as 8 bytes.
+    """
+    return digits.try_cast("long")
+
+
+def decoded(code: Column, k: int) -> Column:
+    """The string of k characters that a number stands for."""
+    return F.translate(F.lpad(code.cast("string"), k, "0"), "0123", ALPHABET)
 
 
 def register(spark: SparkSession) -> None:

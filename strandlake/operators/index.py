@@ -21,13 +21,29 @@ LETTERS = "ACGT"
 COLUMNS = ["colex", "node", "len", "is_dummy", "grp", "is_leader", "a", "c", "g", "t", "lcs"]
 
 
+def coded_windows(seqs: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
+    """keep, code: all windows of k characters ACGT, k at most dna.CODED."""
+    runs = sequences.dna_runs(seqs).withColumn("run", F.translate("run", "ACGT", "0123"))
+    return dna.windows(runs, "run", k, "w", keep).select(*(keep or []), dna.coded(F.col("w")).alias("code"))
+
+
 def kmers_of(seqs: DataFrame, k: int) -> DataFrame:
-    """The distinct windows of k characters ACGT (column kmer)."""
+    """The distinct windows of k characters ACGT (column kmer). Short ones are shuffled as numbers."""
+    if k <= dna.CODED:
+        return coded_windows(seqs, k).distinct().select(dna.decoded(F.col("code"), k).alias("kmer"))
     return dna.windows(sequences.dna_runs(seqs), "run", k, "kmer").distinct()
 
 
+def kmers_of_both_strands(seqs: DataFrame, k: int) -> DataFrame:
+    """The distinct k-mers and their reverse complements, which are made of the distinct ones only."""
+    one = kmers_of(seqs, k)
+    return one.select(F.explode(F.array("kmer", dna.reverse_complement(F.col("kmer")))).alias("kmer")).distinct()
+
+
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     """kmer, n: occurrences over all windows."""
+    if k <= dna.CODED:
+        return coded_windows(seqs, k).groupBy("code").agg(F.count("*").alias("n")).select(dna.decoded(F.col("code"), k).alias("kmer"), "n")
     return dna.windows(sequences.dna_runs(seqs), "run", k, "kmer").groupBy("kmer").agg(F.count("*").alias("n"))
 
 
@@ -97,10 +113,11 @@ class KmerIndex:
         if k < 1:
             raise ValueError("k must be at least 1")
         seqs = seqs.select("seq_id", dna.upper(F.col("seq")).alias("seq"))
+        kmers = kmers_of_both_strands(seqs, k) if add_rev_comp else kmers_of(seqs, k)
         if add_rev_comp:
             seqs = sequences.with_reverse_complements(seqs).select("seq_id", "seq")
         runs = sequences.dna_runs(seqs)
-        index = cls.from_kmers(kmers_of(seqs, k), k, runs if all_dummy_paths else None, precalc_length)
+        index = cls.from_kmers(kmers, k, runs if all_dummy_paths else None, precalc_length)
         if count:
             index.counts = store.written(node_counts(runs, k), "counts")
         return index

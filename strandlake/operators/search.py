@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
-from strandlake.operators.index import KmerIndex
-from strandlake.plans import rank
+from strandlake.operators.index import KmerIndex, coded_windows
+from strandlake.plans import rank, store
+from strandlake.sources import sequences
 
 
 def intervals(index: KmerIndex, lengths: list[int]) -> DataFrame:
@@ -93,9 +94,16 @@ def query_windows(queries: DataFrame, k: int) -> DataFrame:
 
 
 def lookup(index: KmerIndex, queries: DataFrame) -> DataFrame:
-    """query_id, pos, colex: the rank of every window of the queries (query_id, seq); -1 if absent."""
-    found = index.nodes.where(~F.col("is_dummy")).select(F.col("node").alias("kmer"), "colex")
-    out = query_windows(queries, index.k).join(found, "kmer", "left")
+    """query_id, pos, colex: the rank of every window of the queries (query_id, seq); -1 if absent. Short k-mers meet as numbers."""
+    held = index.nodes.where(~F.col("is_dummy"))
+    if index.k <= dna.CODED:
+        digits = queries.select("query_id", dna.as_digits(dna.upper(F.col("seq"))).alias("seq"))
+        asked = dna.windows(digits, "seq", index.k, "w", ["query_id"], start="pos").select("query_id", "pos", dna.coded(F.col("w")).alias("key"))
+        found = held.select(dna.coded(dna.as_digits(F.col("node"))).alias("key"), "colex")
+    else:
+        asked = query_windows(queries, index.k).withColumnRenamed("kmer", "key")
+        found = held.select(F.col("node").alias("key"), "colex")
+    out = asked.join(found, "key", "left")
     return out.select("query_id", "pos", F.coalesce("colex", F.lit(-1)).cast("long").alias("colex"))
 
 
@@ -107,13 +115,29 @@ def lookup_lines(index: KmerIndex, queries: DataFrame, membership_only: bool = F
     return queries.select("query_id").join(found.select("query_id", line.alias("line")), "query_id", "left").select("query_id", F.coalesce("line", F.lit("")).alias("line"))
 
 
-def membership(kmers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, n_kmers, n_found: windows of each query, and those in a set of k-mers (column kmer).
+#: Sets of so many k-mers are broadcast as a filter, larger ones joined by a shuffle.
+FEW_KMERS = 2_000_000
 
-    Distinct windows are counted first, so the set is met once by each, and a frequent window is one row.
+
+def membership(seqs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, n_kmers, n_found: windows of each query, and those that sequences (seq) have.
+
+    Distinct windows are counted first, so that a frequent one is one row. What is asked for filters the sequences'
+    windows before these are made distinct, as a broadcast table if it has FEW_KMERS at most.
     """
-    mine = dna.windows(queries.select("query_id", dna.upper(F.col("seq")).alias("seq")), "seq", k, "kmer", ["query_id"]).groupBy("query_id", "kmer").agg(F.count("*").alias("n"))
-    hit = mine.join(kmers.select("kmer", F.lit(True).alias("hit")), "kmer", "left")
+    windows = dna.windows(queries.select("query_id", dna.upper(F.col("seq")).alias("seq")), "seq", k, "kmer", ["query_id"])
+    mine = store.written(windows.groupBy("query_id", "kmer").agg(F.count("*").alias("n")), "asked")
+    asked = mine.where(~F.col("kmer").rlike("[^ACGT]")).select("kmer").distinct()
+    if k <= dna.CODED:
+        asked = store.written(asked.select(dna.coded(dna.as_digits(F.col("kmer"))).alias("code")), "distinct")
+        met = coded_windows(seqs, k)
+    else:
+        asked = store.written(asked.withColumnRenamed("kmer", "code"), "distinct")
+        met = dna.windows(sequences.dna_runs(seqs), "run", k, "code")
+    asked = F.broadcast(asked) if asked.count() <= FEW_KMERS else asked
+    met = met.join(asked, "code", "left_semi").distinct()
+    met = met.select((dna.decoded(F.col("code"), k) if k <= dna.CODED else F.col("code")).alias("kmer"), F.lit(True).alias("hit"))
+    hit = mine.join(met, "kmer", "left")
     return hit.groupBy("query_id").agg(F.sum("n").alias("n_kmers"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("n_found"))
 
 
