@@ -6,6 +6,7 @@ k = WIDE. Each has the same in DuckDB's SQL where SQL can say it. An index is bu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from strandlake.operators import checks, counting, dbg, matching, search, setops
 from strandlake.operators.index import KmerIndex, dummies_of, kmer_counts, kmers_of, kmers_of_both_strands, sources_of
 from strandlake.plans import store
 from strandlake.shipping import ship
-from strandlake.sources import sequences
+from strandlake.sources import index_store, sequences
 from strandlake.streaming import live
 
 K, WIDE, SETS = 7, 12, 9
@@ -111,6 +112,140 @@ def _counted(spark: SparkSession, sf_dir: str) -> KmerIndex:
     return index_of(spark, sf_dir, all_dummy_paths=True, count=True)
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{store.shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, seq: benchmark's sequences with N for all other characters, as files of sequences have them."""
+    return seqs(spark, sf_dir, "benchmark").select("seq_id", F.regexp_replace("seq", "[^ACGT]", "N").alias("seq"))
+
+
+def _written_fasta(spark: SparkSession, sf_dir: str) -> str:
+    path = _fresh(spark, "fasta")
+    # in two lines, the second one in lower case
+    lines = F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit(" x\n"), F.left("seq", F.lit(50)), F.lit("\n"), F.translate(F.expr("substring(seq, 51)"), "ACGT", "acgt"))
+    index_store.write_lines(_clean(spark, sf_dir).repartition(3).select(lines.alias("value")), path)
+    return path
+
+
+def _written_fastq(spark: SparkSession, sf_dir: str) -> str:
+    path = _fresh(spark, "fastq")
+    lines = F.concat(F.lit("@"), F.col("seq_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.expr("repeat('@', length(seq))"))
+    index_store.write_lines(_clean(spark, sf_dir).repartition(3).select(lines.alias("value")), path)
+    return path
+
+
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.read_fasta(spark, _written_fasta(spark, sf_dir)).select("header", "seq")
+
+
+def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.read_fastq(spark, _written_fastq(spark, sf_dir)).select("header", "seq", F.length("quality").cast("long").alias("n_quality"))
+
+
+def list_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_records of each sequence in a list of FASTA and FASTQ files of all of benchmark."""
+    files = [f for path in (_written_fasta(spark, sf_dir), _written_fastq(spark, sf_dir)) for f in sorted(spark.read.text(path).inputFiles())]
+    list_path = _fresh(spark, "list")
+    spark.createDataFrame([("\n".join(files),)], "value string").coalesce(1).write.text(list_path)
+    return sequences.read_list(spark, list_path).groupBy("seq").agg(F.count("*").alias("n_records"))
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "index")
+    index_store.save(_counted(spark, sf_dir), path)
+    back = index_store.load(spark, path)
+    return back.nodes.join(back.counts, "node", "left").select("colex", "node", F.col("lcs").cast("long").alias("lcs"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def dumped_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "dump")
+    index_store.dump_kmers(index_of(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "kmer")
+
+
+def growing_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padded spectrum of a set that a stream of benchmark's sequences has grown."""
+    table = store.written(seqs(spark, sf_dir, "benchmark").repartition(4), "stream")
+    top = _fresh(spark, "growing")
+    held = live.GrowingKmers(spark, f"{top}/kmers", K)
+    stream = live.read(spark, table.inputFiles()[0].rsplit("/", 1)[0], "seq_id long, seq string", 2)
+    held.ingest(stream, f"{top}/checkpoint").awaitTermination()
+    return held.index().nodes.select("colex", "node")
+
+
+def _pieces(spark: SparkSession, sf_dir: str, d: int) -> DataFrame:
+    return dna.windows(sequences.dna_runs(seqs(spark, sf_dir, "conversations")), "run", d, "w").distinct()
+
+
+def search_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of three characters, searched on by two more."""
+    rows = _pieces(spark, sf_dir, 5).select(F.left("w", F.lit(3)).alias("start"), F.right("w", F.lit(2)).alias("pattern"))
+    return _no_nulls(search.search_from(index_of(spark, sf_dir), rows))
+
+
+def _no_nulls(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("lo", "hi")})
+
+
+def range_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _counted(spark, sf_dir)
+    ranges = search.intervals(index, [3]).select("str", "lo", "hi")
+    return counting.range_sums(index, ranges).select("str", "n")
+
+
+def extend_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = index_of(spark, sf_dir)
+    rows = index.kmers().select(F.col("kmer").alias("str"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("label"))
+    return _no_nulls(matching.extend_right(index, rows))
+
+
+def contract_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = index_of(spark, sf_dir)
+    rows = index.kmers().select(F.col("kmer").alias("str"), F.explode(F.array(*map(F.lit, (0, 2, 4)))).alias("len"))
+    return _no_nulls(matching.contract_left(index, rows)).withColumn("len", F.col("len").cast("long"))
+
+
+def vo_get_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pieces(spark, sf_dir, 2).unionByName(_pieces(spark, sf_dir, 5)).unionByName(_pieces(spark, sf_dir, K + 1)).withColumnRenamed("w", "str")
+    return _no_nulls(_vo(spark, sf_dir).get_node(rows))
+
+
+def dbg_follow_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    steps = g.nodes.select("kmer", F.explode(F.array(*map(F.lit, "ACGT"))).alias("label"))
+    return g.follow_out(steps).withColumn("target", F.coalesce("target", F.lit("")))
+
+
+def kmer_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions on the k-mers of benchmark."""
+    kmer = F.col("kmer")
+    return kmers_of(seqs(spark, sf_dir, "benchmark"), WIDE).select(
+        "kmer",
+        dna.reverse_complement(kmer).alias("rc"),
+        dna.right_shifted(kmer, 3).alias("right3"),
+        dna.left_shifted(kmer, 3).alias("left3"),
+        dna.with_char(kmer, 2, "G").alias("with_g"),
+        dna.successor(kmer, F.lit("T")).alias("then_t"),
+        dna.char_idx(F.left("kmer", F.lit(1))).cast("long").alias("first"),
+        dna.is_dna(kmer).alias("is_dna"),
+        dna.common_prefix(kmer, dna.reverse_complement(kmer), WIDE).cast("long").alias("shared"),
+        dna.bit_width(dna.packed(kmer, WIDE)).cast("long").alias("width"),
+    )
+
+
+def set_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op, n_wrong of each set operation, and of an index against itself built from its own k-mers."""
+    a, b = index_of(spark, sf_dir, "benchmark", SETS), index_of(spark, sf_dir, "conversations", SETS)
+    out = None
+    for name, op in (("merge", setops.union), ("intersect", setops.intersection), ("difference", setops.difference)):
+        bad = checks.against_set_operation(op(a, b), name, a.kmers(), b.kmers()).agg(F.lit(name).alias("op"), F.count("*").alias("n_wrong"))
+        out = bad if out is None else out.unionByName(bad)
+    again = KmerIndex.from_kmers(a.kmers().select("kmer").repartition(5), SETS)
+    return out.unionByName(checks.differs(a.nodes, again.nodes).agg(F.lit("build").alias("op"), F.count("*").alias("n_wrong")))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_membership": entry,
     "kmer_distinct": lambda s, d: kmers_of(seqs(s, d, "documents"), WIDE),
@@ -176,6 +311,22 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_sequences": lambda s, d: checks.against_sequences(index_of(s, d), seqs(s, d, "conversations")),
     "stream_lookup": stream_lookup,
     "stream_matching_stats": stream_matching_stats,
+    "fasta_roundtrip": fasta_roundtrip,
+    "fastq_roundtrip": fastq_roundtrip,
+    "list_roundtrip": list_roundtrip,
+    "saved_index": saved_index,
+    "dumped_kmers": dumped_kmers,
+    "growing_set": growing_set,
+    "search_from": search_from,
+    "range_sums": range_sums,
+    "extend_right": extend_right,
+    "contract_left": contract_left,
+    "vo_get_node": vo_get_node,
+    "vo_representative": lambda s, d: _vo(s, d).representative(4),
+    "dbg_get_node": lambda s, d: _graph(s, d).get_node(_pieces(s, d, K).withColumnRenamed("w", "kmer")).select("kmer", F.coalesce("colex", F.lit(-1)).alias("colex")),
+    "dbg_follow_out": dbg_follow_out,
+    "kmer_characters": kmer_characters,
+    "set_checks": set_checks,
 }
 
 
@@ -255,6 +406,34 @@ def _vo_edges(d: int) -> str:
     return f"{_IV},\nv AS (SELECT str, lo, hi FROM iv WHERE d = {d}),\ne AS (SELECT x.str, x.lo AS from_lo, right(y.str, 1) AS label, y.str AS target, y.lo, y.hi FROM v x JOIN v y ON right(x.str, {d - 1}) = left(y.str, {d - 1}){held})"
 
 
+def _runs_of(d: int) -> str:
+    """CTE p<d> (w): the distinct windows of d characters ACGT of what is asked (after _ASK)."""
+    return f"p{d} AS (SELECT DISTINCT substring(seq, p, {d}) AS w FROM (SELECT seq, unnest(range(1, length(seq) - {d} + 2)) AS p FROM s_q) WHERE regexp_matches(substring(seq, p, {d}), '^[ACGT]+$'))"
+
+
+_UNITIGS = (
+    _EDGES.replace("WITH", "WITH RECURSIVE", 1)
+    + """,
+o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS n FROM e GROUP BY 1),
+un AS (SELECT src, dst FROM e JOIN o USING (src) JOIN i USING (dst) WHERE o.n = 1 AND i.n = 1),
+ch AS (SELECT kmer AS head, kmer AS cur, kmer AS seq, 1 AS n FROM km WHERE kmer NOT IN (SELECT dst FROM un)
+  UNION ALL SELECT head, dst, seq || right(dst, 1), n + 1 FROM ch JOIN un ON un.src = ch.cur),
+rest AS (SELECT kmer FROM km WHERE kmer NOT IN (SELECT cur FROM ch)),
+rc AS (SELECT kmer AS a, kmer AS b FROM rest UNION SELECT a, dst FROM rc JOIN un ON un.src = rc.b),
+cy AS (SELECT a AS head, a AS cur, a AS seq, 1 AS n FROM rc GROUP BY a HAVING min(b) = a
+  UNION ALL SELECT head, dst, seq || right(dst, 1), n + 1 FROM cy JOIN un ON un.src = cy.cur WHERE dst <> head),
+every AS (SELECT head, arg_max(seq, n) AS seq, max(n)::BIGINT AS n_kmers, false AS is_cycle FROM ch GROUP BY head
+  UNION ALL SELECT head, arg_max(seq, n), max(n)::BIGINT, true FROM cy GROUP BY head)
+SELECT row_number() OVER (ORDER BY head) - 1 AS unitig_id, seq, n_kmers, is_cycle FROM every"""
+)
+_RC = "translate(reverse(kmer), 'ACGT', 'TGCA')"
+_CHARACTERS = f"""WITH {_kmers_sql('benchmark', WIDE)},
+v AS (SELECT kmer, ({' + '.join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (WIDE - 1 - i)}" for i in range(WIDE))})::BIGINT AS packed FROM km)
+SELECT kmer, {_RC} AS rc, 'AAA' || left(kmer, {WIDE - 3}) AS right3, right(kmer, {WIDE - 3}) || 'AAA' AS left3, left(kmer, 2) || 'G' || substr(kmer, 4) AS with_g,
+  substr(kmer, 2) || 'T' AS then_t, (instr('ACGT', left(kmer, 1)) - 1)::BIGINT AS first, true AS is_dna,
+  {' + '.join(f'(left(kmer, {i}) = left({_RC}, {i}))::BIGINT' for i in range(1, WIDE + 1))} AS shared,
+  CASE WHEN packed > 0 THEN length(bin(packed)) ELSE 0 END::BIGINT AS width FROM v"""
+
 ORACLES: dict[str, str] = {
     "kmer_membership": f"WITH {_kmers_sql('documents', WIDE)}, {_kmers_sql('benchmark', WIDE, 'q')} SELECT seq_id AS item_id, count(*) AS n_kmers, count(km.kmer) AS n_found FROM w_q LEFT JOIN km USING (kmer) GROUP BY 1",
     "kmer_distinct": f"WITH {_kmers_sql('documents', WIDE)} SELECT kmer FROM km",
@@ -318,4 +497,21 @@ ORACLES: dict[str, str] = {
     "check_sequences": f"WITH {_kmers_sql('benchmark', K, 'ka')}, {_kmers_sql('conversations', K, 'kb')} SELECT kmer, 'missing' AS side FROM kb WHERE kmer NOT IN (SELECT kmer FROM ka) UNION ALL SELECT kmer, 'extra' FROM ka WHERE kmer NOT IN (SELECT kmer FROM kb)",
     "stream_lookup": f"{_LOOK} SELECT query_id, pos, colex FROM lk",
     "stream_matching_stats": _stats_sql(K).replace("best.len::BIGINT AS len", "best.len::INTEGER AS len"),
+    "unitigs": _UNITIGS,
+    "fasta_roundtrip": f"WITH s AS ({_seqs_sql('benchmark')}) SELECT seq_id::VARCHAR || ' x' AS header, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS seq FROM s",
+    "fastq_roundtrip": f"WITH s AS ({_seqs_sql('benchmark')}) SELECT seq_id::VARCHAR AS header, regexp_replace(seq, '[^ACGT]', 'N', 'g') AS seq, length(seq) AS n_quality FROM s",
+    "list_roundtrip": f"WITH s AS ({_seqs_sql('benchmark')}) SELECT regexp_replace(seq, '[^ACGT]', 'N', 'g') AS seq, 2 * count(*) AS n_records FROM s GROUP BY 1",
+    "saved_index": f"{_COUNTS} SELECT nd.colex, nd.node, nd.lcs, cn.n FROM nd JOIN cn USING (colex)",
+    "dumped_kmers": f"{_BASE} SELECT kmer FROM km",
+    "growing_set": f"{_BASE} SELECT colex, node FROM nd",
+    "search_from": f"{_IV}, {_ASK}, {_runs_of(5)} SELECT left(w, 3) AS start, right(w, 2) AS pattern, coalesce(lo, -1)::BIGINT AS lo, coalesce(hi, -1)::BIGINT AS hi FROM p5 LEFT JOIN iv ON iv.str = w AND EXISTS (SELECT 1 FROM iv x WHERE x.str = left(w, 3))",
+    "range_sums": f"{_COUNTS}, r AS (SELECT right(node, 3) AS str, min(colex) AS lo, max(colex) + 1 AS hi FROM nd WHERE len >= 3 GROUP BY 1) SELECT str, (SELECT sum(n) FROM cn WHERE colex >= lo AND colex < hi)::BIGINT AS n FROM r",
+    "extend_right": f"{_IV}, x AS (SELECT kmer AS str, label FROM km, (SELECT unnest(['A', 'C', 'G', 'T']) AS label)) SELECT x.str, label, coalesce(lo, -1)::BIGINT AS lo, coalesce(hi, -1)::BIGINT AS hi FROM x LEFT JOIN iv ON iv.str = right(x.str, {K - 1}) || label",
+    "contract_left": f"{_IV}, x AS (SELECT kmer AS str, len FROM km, (SELECT unnest([0, 2, 4])::BIGINT AS len)) SELECT x.str, x.len, lo, hi FROM x JOIN iv ON iv.str = right(x.str, x.len)",
+    "vo_get_node": f"{_IV}, {_ASK}, {_runs_of(2)}, {_runs_of(5)}, {_runs_of(K + 1)}, p AS (SELECT w FROM p2 UNION ALL SELECT w FROM p5 UNION ALL SELECT w FROM p{K + 1}) SELECT w AS str, coalesce(lo, -1)::BIGINT AS lo, coalesce(hi, -1)::BIGINT AS hi FROM p LEFT JOIN iv ON iv.str = w",
+    "vo_representative": f"{_IV} SELECT str, lo AS colex FROM iv WHERE d = 4",
+    "dbg_get_node": f"{_BASE}, {_ASK}, {_runs_of(K)} SELECT w AS kmer, coalesce(colex, -1) AS colex FROM p{K} LEFT JOIN nd ON nd.node = w AND nd.len = {K}",
+    "dbg_follow_out": f"{_BASE} SELECT x.kmer, label, coalesce(y.kmer, '') AS target FROM (SELECT kmer, label FROM km, (SELECT unnest(['A', 'C', 'G', 'T']) AS label)) x LEFT JOIN km y ON y.kmer = right(x.kmer, {K - 1}) || label",
+    "kmer_characters": _CHARACTERS,
+    "set_checks": "SELECT unnest(['merge', 'intersect', 'difference', 'build']) AS op, 0::BIGINT AS n_wrong",
 }

@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 import struct
 
 import pytest
@@ -174,3 +175,25 @@ def test_data_source(spark, tmp_path):
     datasource.register(spark)
     got = [r.seq for p in ("*.fna*", "c.fq") for r in spark.read.format("fastx").load(str(tmp_path / p)).orderBy("file", "record").collect()]
     assert got == [*SEQS, "ACGT", "AC", "GT"]
+
+
+def test_files_are_read_by_blocks_in_order(spark, tmp_path):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choices("ACGT", k=rng.randint(1, 90))) for _ in range(400)]
+    fq = "".join(f"@r{i}\n{s}\n+\n{'@' * len(s)}\n" for i, s in enumerate(seqs))
+    fa = "".join(f">f{i}\n{s[:30]}\n{s[30:]}\n" for i, s in enumerate(seqs))
+    for name, text in (("b.fq", fq + "@cut\nAC"), ("a.fa", fa), ("unnamed", fq.replace("\n", "\r\n")), ("folder/x.fa", fa), ("folder/y.fa", fa)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sequences.read_fastq(spark, f"{tmp_path}/b.fq").orderBy("seq_id").collect()
+        assert [(r.seq_id, r.header, r.seq, len(r.quality)) for r in got] == [(i, f"r{i}", s, len(s)) for i, s in enumerate(seqs)]
+        got = sequences.read_fasta(spark, [f"{tmp_path}/folder", f"{tmp_path}/a.fa"]).orderBy("seq_id").collect()
+        assert [(r.seq_id, r.header, r.seq) for r in got] == [(400 * f + i, f"f{i}", s) for f in range(3) for i, s in enumerate(seqs)]
+        (tmp_path / "list").write_text("\n".join(f"{tmp_path}/{x}" for x in ("b.fq", "folder/x.fa", "unnamed", "a.fa")))
+        got = sequences.read_list(spark, f"{tmp_path}/list").orderBy("seq_id").collect()
+        assert [(r.seq_id, r.seq) for r in got] == list(enumerate(seqs * 4))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
