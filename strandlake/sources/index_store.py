@@ -10,13 +10,35 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.index import COLUMNS, KmerIndex, ordered
 
-FORMAT = "strandlake-1"
+FORMAT = "strandlake-2"
+#: The longest k whose reversed nodes are stored as numbers (digits $ACGT in base 5 of a BIGINT).
+NUMBERED = 26
+DIGITS = "01234"
+
+
+def _packed(nodes: DataFrame, k: int) -> DataFrame:
+    """colex, rev, labels (a bit each), lcs: all else follows from these. Ascending numbers take a few bits each in a file."""
+    rev = F.reverse("node")
+    if k <= NUMBERED:
+        rev = F.conv(F.translate(rev, "$ACGT", DIGITS), 5, 10).cast("long")
+    bits = sum((F.when(F.col(x), 1 << n).otherwise(0) for n, x in enumerate("acgt")), F.lit(0))
+    return nodes.select("colex", rev.alias("rev"), bits.cast("byte").alias("labels"), F.col("lcs").cast("short").alias("lcs"))
+
+
+def _unpacked(rows: DataFrame, k: int) -> DataFrame:
+    rev = F.translate(F.lpad(F.conv(F.col("rev").cast("string"), 10, 5), k, "0"), DIGITS, "$ACGT") if k <= NUMBERED else F.col("rev")
+    rows = rows.withColumn("node", F.reverse(rev)).withColumn("len", F.length(F.translate("node", "$", "")).cast("int"))
+    leads = (F.col("colex") == 0) | (F.col("lcs") < k - 1)
+    labels = [F.col("labels").bitwiseAND(F.lit(1 << n)).cast("boolean").alias(x) for n, x in enumerate("acgt")]
+    return rows.select("colex", "node", "len", (F.col("len") < k).alias("is_dummy"), F.right("node", F.lit(k - 1)).alias("grp"), leads.alias("is_leader"), *labels, F.col("lcs").cast("int").alias("lcs")).select(*COLUMNS)
 
 
 def save(index: KmerIndex, path: str, mode: str = "errorifexists") -> None:
     """nodes in order of colex, range-partitioned so that rank ranges prune files; counts if there are any; one row of meta."""
     n = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
-    index.nodes.select(*COLUMNS).repartitionByRange(n, "colex").sortWithinPartitions("colex").write.mode(mode).parquet(f"{path}/nodes")
+    rows = _packed(index.nodes, index.k).repartitionByRange(n, "colex").sortWithinPartitions("colex")
+    # version 2 of the format writes ascending numbers as differences
+    rows.write.mode(mode).option("parquet.writer.version", "v2").option("parquet.enable.dictionary#rev", "false").option("parquet.enable.dictionary#colex", "false").parquet(f"{path}/nodes")
     if index.counts is not None:
         index.counts.write.mode(mode).parquet(f"{path}/counts")
     meta = index.stats().withColumns({"precalc_length": F.lit(index.precalc_length), "all_dummy_paths": F.lit(index.all_dummy_paths), "has_counts": F.lit(index.counts is not None), "format": F.lit(FORMAT)})
@@ -28,7 +50,7 @@ def load(spark: SparkSession, path: str) -> KmerIndex:
     if meta is None or meta["format"] != FORMAT:
         raise ValueError(f"{path} holds no index of this format")
     counts = spark.read.parquet(f"{path}/counts") if meta["has_counts"] else None
-    return KmerIndex(meta["k"], spark.read.parquet(f"{path}/nodes"), meta["all_dummy_paths"], meta["precalc_length"], counts)
+    return KmerIndex(meta["k"], _unpacked(spark.read.parquet(f"{path}/nodes"), meta["k"]), meta["all_dummy_paths"], meta["precalc_length"], counts)
 
 
 def size_bits(index: KmerIndex, path: str) -> DataFrame:

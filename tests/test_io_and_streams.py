@@ -197,3 +197,12 @@ def test_files_are_read_by_blocks_in_order(spark, tmp_path):
         assert [(r.seq_id, r.seq) for r in got] == list(enumerate(seqs * 4))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("k", [1, 2, 9, 26, 27, 31])
+def test_saved_nodes_are_the_same(spark, tmp_path, k):
+    index = KmerIndex.build(sequences.from_values(spark, ["ACGTTGCATGTCAGGCATTTACGATCAGCATCAGTTTACA", "TTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTT", *SEQS]), k)
+    index_store.save(index, f"{tmp_path}/index")
+    back = index_store.load(spark, f"{tmp_path}/index")
+    assert back.nodes.columns == index.nodes.columns and back.nodes.dtypes == index.nodes.dtypes
+    assert checks.differs(index.nodes, back.nodes).count() == 0
