@@ -20,9 +20,19 @@ from strandlake.plans import rank, store
 
 def contexts(queries: DataFrame, k: int) -> DataFrame:
     """query_id, pos, context for every character of the queries (query_id, seq)."""
-    padded = queries.select("query_id", F.concat(F.lit(dna.PAD * (k - 1)), dna.upper(F.col("seq"))).alias("seq"))
+    padded = queries.select("query_id", F.concat(F.lit(dna.PAD * (k - 1)), dna.sanitised(dna.upper(F.col("seq")))).alias("seq"))
     cells = dna.windows(padded, "seq", k, "w", ["query_id"], start="pos")
-    return cells.select("query_id", "pos", F.regexp_extract("w", r"([ACGT]*)\z", 1).alias("context"))
+    return cells.select("query_id", "pos", F.substring_index("w", dna.PAD, -1).alias("context"))
+
+
+#: Tables of so many contexts are broadcast to the positions (some 100 bytes each); larger ones are joined by a shuffle.
+FEW_CONTEXTS = 1_000_000
+
+
+def _back(at: DataFrame, by_context: DataFrame, how: str = "inner") -> DataFrame:
+    """The positions (with context) with what is known of their contexts, one row each."""
+    by_context = store.written(by_context, "by_context")
+    return at.join(F.broadcast(by_context) if by_context.count() <= FEW_CONTEXTS else by_context, "context", how)
 
 
 def _lengths(index: KmerIndex, distinct: DataFrame, bound: int) -> DataFrame:
@@ -46,7 +56,7 @@ def matching_statistics(index: KmerIndex, queries: DataFrame, bound: int | None
     strings = found.select("context", "len", F.expr("right(context, len)").alias("str"))
     ranges = bounds(index, strings.where("len > 0").select("str"))
     full = strings.join(ranges, "str", "left").select("context", "len", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(index.n_sets())).alias("hi"))
-    return at.join(full, "context").select("query_id", "pos", "len", "lo", "hi")
+    return _back(at, full).select("query_id", "pos", "len", "lo", "hi")
 
 
 def matching_statistics_by_join(index: KmerIndex, queries: DataFrame, bound: int | None = None) -> DataFrame:
@@ -69,7 +79,7 @@ def frequency_bounded_suffixes(index: KmerIndex, queries: DataFrame, t: int) ->
     ranges = bounds(index, each.where("d > 0").select("str"))
     met = each.join(ranges, "str", "left").select("context", "d", F.when(F.col("d") == 0, F.lit(0)).otherwise(F.col("lo")).alias("lo"), F.when(F.col("d") == 0, F.lit(n)).otherwise(F.col("hi")).alias("hi"))
     best = met.where(F.col("hi") - F.col("lo") <= t).groupBy("context").agg(F.min(F.struct("d", "lo", "hi")).alias("x"))
-    return at.join(best, "context", "left").select("query_id", "pos", F.col("x.d").cast("int").alias("len"), "x.lo", "x.hi")
+    return _back(at, best, "left").select("query_id", "pos", F.col("x.d").cast("int").alias("len"), "x.lo", "x.hi")
 
 
 def contract_left(index: KmerIndex, rows: DataFrame, col: str = "str", length: str = "len") -> DataFrame:

@@ -93,6 +93,10 @@ def query_windows(queries: DataFrame, k: int) -> DataFrame:
     return dna.windows(queries.select("query_id", dna.upper(F.col("seq")).alias("seq")), "seq", k, "kmer", ["query_id"], start="pos")
 
 
+#: Indexes of so many nodes are broadcast to the windows (some 50 bytes a node); larger ones are joined by a shuffle.
+FEW_NODES = 4_000_000
+
+
 def lookup(index: KmerIndex, queries: DataFrame) -> DataFrame:
     """query_id, pos, colex: the rank of every window of the queries (query_id, seq); -1 if absent. Short k-mers meet as numbers."""
     held = index.nodes.where(~F.col("is_dummy"))
@@ -103,7 +107,7 @@ def lookup(index: KmerIndex, queries: DataFrame) -> DataFrame:
     else:
         asked = query_windows(queries, index.k).withColumnRenamed("kmer", "key")
         found = held.select(F.col("node").alias("key"), "colex")
-    out = asked.join(found, "key", "left")
+    out = asked.join(F.broadcast(found) if index.n_sets() <= FEW_NODES else found, "key", "left")
     return out.select("query_id", "pos", F.coalesce("colex", F.lit(-1)).cast("long").alias("colex"))
 
 
