@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +21,19 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 
-#: Rows given to a Python worker at once, so that batches of whole texts stay small on both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes given to a Python worker at once, so that batches of whole texts stay small on both sides.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships the package, and lowers the rows of an Arrow batch to BATCH_ROWS where the session has Spark's default."""
+    """Ships the package, and lowers the size of an Arrow batch where the session has Spark's defaults."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10000:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +92,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def constant(spark: SparkSession, value, kind: str) -> Column:
-    """A large value as a scalar subquery: a literal would be printed into every description of the plan that the driver keeps."""
+    """A large value as a scalar subquery: a literal would be printed into every description of the plan that the driver keeps.
+
+    Arrays of numbers go to the JVM as they are, without an object for each.
+    """
+    if isinstance(value, np.ndarray):
+        return spark.createDataFrame(pa.table({"value": pa.array([value])})).scalar()
     return spark.createDataFrame([(value,)], f"value {kind}").scalar()
 
 
@@ -127,7 +136,7 @@ def bloom(keys: DataFrame, key: str, n_keys: int, most_bits: int = 1 << 25) -> C
     )
     held = np.zeros(1 << (log2 - 6), dtype=np.int64)
     held[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    word = F.get(constant(keys.sparkSession, held.tolist(), "array<bigint>"), F.expr(f"cast(shiftrightunsigned({key}, {64 - log2 + 6}) as int)"))
+    word = F.get(constant(keys.sparkSession, held, "array<bigint>"), F.expr(f"cast(shiftrightunsigned({key}, {64 - log2 + 6}) as int)"))
     return F.getbit(word, F.expr(f"cast(shiftrightunsigned({key}, {64 - log2}) & 63 as int)")) == 1
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = sums.rows or 0
     depth, slots = _planned(hashes, sums.hashes, capacity)
     slot = F.expr(f"cast(shiftrightunsigned(h, {64 - depth}) as int)") if depth else F.lit(0)
-    bucket = F.get(common.constant(spark, slots, "array<int>"), slot).alias("bucket")
+    bucket = F.get(common.constant(spark, np.array(slots, dtype=np.int32), "array<int>"), slot).alias("bucket")
     n_buckets = 1 + max(slots)
     owners = min(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -28,8 +28,8 @@ from strandlake.llm import common
 MARK = "▁"
 NEVER = float("-inf")
 START = -1
-#: Words, and parts of words, kept in a worker's tables before they start anew.
-KEPT_WORDS = 250_000
+#: Words, and parts of words, in a worker's tables before these start anew; what was used since the time before stays.
+KEPT_WORDS, KEPT_PARTS = 60_000, 20_000
 
 
 def tokenizer_path() -> str:
@@ -83,6 +83,8 @@ class PieceCodec:
         self.alphabet = {c for p in self.pieces for c in p}
         self.words: dict[str, tuple] = {}
         self.parts: dict[str, tuple] = {}
+        self.old_words: dict[str, tuple] = {}
+        self.old_parts: dict[str, tuple] = {}
         self.digits = [str(i) for i in range(1 + max(*self.text_of, *self.byte_ids))]
         # what an id stands for by itself: a piece, or a byte of ASCII
         ascii_ = {i: chr(b) for i, b in self.byte_of.items() if b < 128}
@@ -145,33 +147,34 @@ class PieceCodec:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """The same of a word with the mark before it."""
-        text = MARK + word
-        cuts = None
-        if not (word.isalpha() and self.alphabet.issuperset(word)):
-            bigrams = self.bigrams
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in bigrams]  # no piece reaches across these
-        if cuts:
-            start, found, parts = 0, [], self.parts
-            for cut in [*cuts, len(text)]:
-                part = text[start:cut]
-                start = cut
-                out = parts.get(part)
-                if out is None:
-                    out = self._part(part)
-                    if len(part) <= 64:
-                        if len(parts) >= KEPT_WORDS:
-                            parts.clear()
-                        parts[part] = out
-                found.append(out)
-            out = b"".join([f[0] for f in found]), ",".join([f[1] for f in found])
-        else:
-            out = self._part(text)
+        out = self.old_words.get(word) or self._cut(MARK + word, word)
         if len(word) <= 64:
             if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
+                self.old_words, self.words = self.words, {}
             self.words[word] = out
         return out
 
+    def _cut(self, text: str, word: str) -> tuple[bytes, str]:
+        cuts = None
+        if not (word.isalpha() and self.alphabet.issuperset(word)):
+            bigrams = self.bigrams
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in bigrams]  # no piece reaches across these
+        if not cuts:
+            return self._part(text)
+        start, found = 0, []
+        for cut in [*cuts, len(text)]:
+            part = text[start:cut]
+            start = cut
+            out = self.parts.get(part)
+            if out is None:
+                out = self.old_parts.get(part) or self._part(part)
+                if len(part) <= 64:
+                    if len(self.parts) >= KEPT_PARTS:
+                        self.old_parts, self.parts = self.parts, {}
+                    self.parts[part] = out
+            found.append(out)
+        return b"".join([f[0] for f in found]), ",".join([f[1] for f in found])
+
     def _run(self, n: int) -> tuple[bytes, str]:
         out = []
         while n > 0:

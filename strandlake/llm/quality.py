@@ -121,25 +121,32 @@ def metadata(source: str | None, lang: str | None, n_chars: float | None) -> lis
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by Nesterov's gradient steps."""
+    """Logistic regression by Nesterov's gradient steps. Products with x are made in its own precision, so it is never copied."""
     weight = np.ones(len(y)) / len(y) if weight is None else weight / weight.sum()
+    kind = x.dtype
+
+    def across(w: np.ndarray) -> np.ndarray:
+        return (x @ w.astype(kind)).astype(np.float64)
+
+    def down(d: np.ndarray) -> np.ndarray:
+        return (d.astype(kind) @ x).astype(np.float64)
+
     w, b = np.zeros(x.shape[1]), 0.0
     pw, pb = w.copy(), b
-    # the greatest curvature, by power iteration from the mean (all features but the dense ones are frequencies or 0 and 1)
-    v, u, top = weight @ x, 1.0, 1.0
+    # the greatest curvature, by power iteration from the mean
+    v, u, top = down(weight), 1.0, 1.0
     for _ in range(30):
         size = float(np.sqrt(v @ v + u * u))
-        v, u = v / size, u / size
-        p = weight * (x @ v + u)
-        v, u = x.T @ p, p.sum()
+        p = weight * (across(v / size) + u / size)
+        v, u = down(p), float(p.sum())
         top = float(np.sqrt(v @ v + u * u))
     rate = 1.0 / (0.25 * 1.1 * top + ridge)
     for k in range(steps):
         m = k / (k + 3.0)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
-        d = weight * (1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y)
+        d = weight * (1 / (1 + np.exp(-np.clip(across(vw) + vb, -30, 30))) - y)
         pw, pb = w, b
-        w, b = vw - rate * (x.T @ d + ridge * vw), vb - rate * d.sum()
+        w, b = vw - rate * (down(d) + ridge * vw), vb - rate * d.sum()
     return w, b
 
 
@@ -203,7 +210,7 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, others: Unlabelled, ap
         number = np.array([n for _, n, _ in extra])
         weight = np.concatenate((np.ones(len(base)), 0.5 * trust[1 - view] * number * min(1.0, len(base) / number.sum())))
         weight *= even(np.concatenate((y[base], [q for q, _, _ in extra])))
-        return logistic(np.concatenate((mine, [mean for _, _, mean in extra])), np.concatenate((y[base], [q for q, _, _ in extra])), weight)
+        return logistic(np.concatenate((mine, np.array([mean for _, _, mean in extra], dtype=mine.dtype))), np.concatenate((y[base], [q for q, _, _ in extra])), weight)
 
     test = np.flatnonzero(apart)
     for k in range(rounds if others.n else 0):
@@ -420,11 +427,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, **settings
     if min(y.sum(), (1 - y).sum()) < LEAST:
         return None
     x, m = matrix(got)
+    got = None
+    common.give_back()
     apart = np.zeros(len(y), dtype=bool)
     for q in (0, 1):
         apart[np.flatnonzero(y == q)[::3]] = True
     model = co_train(x, m, y, Unlabelled(docs, usable.select("doc_id")), apart, **settings)
-    del got, x, m
+    del x, m
     common.give_back()
     return model
 

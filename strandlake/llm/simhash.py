@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def _borders(ids: DataFrame, bucket_rows: int) -> list[int]:
 def _buckets(rows: DataFrame, borders: list[int]) -> DataFrame:
     """rows with the number of their bucket: ascending as ids descend, nulls in the last. By binary search."""
     steps = [1 << k for k in range(len(borders).bit_length() - 1, -1, -1)] if borders else []
-    rows = rows.withColumn("__borders", common.constant(rows.sparkSession, borders, "array<bigint>"))
+    rows = rows.withColumn("__borders", common.constant(rows.sparkSession, np.array(borders, dtype=np.int64), "array<bigint>"))
     held = F.col("__borders")
     # how many borders are not above the id
     below = F.aggregate(F.array(*[F.lit(x) for x in steps]).cast("array<int>"), F.lit(0), lambda at, x: F.when(F.get(held, at + x - 1) <= F.col("id"), at + x).otherwise(at))
