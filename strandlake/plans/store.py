@@ -31,10 +31,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from the shared folder; deleted when the driver ends."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is deleted when the driver ends."""
     top = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}"
     atexit.register(_delete, spark, top)
-    df.write.parquet(f"{top}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{top}/{name}")
+    return f"{top}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read back from the shared folder: readable after any executor is lost."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to.rsplit("/", 1)[0])
