@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.plans.store import drop, fresh_path, shared_dir, written
 from strandlake.shipping import ship
 
+__all__ = ["ascii_lower", "bloom", "constant", "drop", "fresh_path", "give_back", "hold", "lookup", "prepare", "shared_dir", "table", "without", "written"]
+
 #: ASCII white space as used by every word definition here.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -40,51 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or an own one where it is unset (local runs)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}/{name}"
-    atexit.register(_delete, spark, path.rsplit("/", 1)[0])
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone by then
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and readable after any executor is lost."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that written() made and that nothing reads any more."""
-    for t in tables:
-        _delete(t.sparkSession, t._written_to.rsplit("/", 1)[0])
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is. lower() does just that for texts of ASCII only and is faster."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
