@@ -322,9 +322,9 @@ def read_back(wanted: DataFrame, index: CaptureIndex, id_col: str = "page_id", u
     keys = wanted.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
     keys = keys.groupBy("id", "url").agg(F.count("*").alias("n"))
 
-    @F.udf("string")
-    def key_of(url):
-        return reversed_key(url)
+    @F.pandas_udf("string")
+    def key_of(urls: pd.Series) -> pd.Series:
+        return pd.Series([reversed_key(None if pd.isna(u) else u) for u in urls], dtype=object)
 
     keys = keys.withColumn("key", key_of("url")).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
 

@@ -63,6 +63,14 @@ def test_records_are_plain_gzip_members(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == 4 and text.count(b"WARC-Type: response") == 3  # both rows of the smallest id, and the other text
 
 
+def test_long_payloads_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://a.com/" + "x" * 50_000, "é\r\n\r\n" * 400_000), (2, "http://b.com", "é\r\n\r\n" * 400_000), (3, "http://b.com", "y")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("z") for c in ("id", "payload", "digest", "h", "key", "file", "offset", "n", "first_id")})
+    assert read(df, warc_index.archive(df)) == expected(rows)
+
+
 def test_keys():
     assert warc_index.reversed_key("HTTP://User@WWW.Example.com:80/A?b#c") == "com,example,www:80)/A?b"
     assert warc_index.reversed_key(None) == ")/" and warc_index.reversed_key("x") == "x)/"
