@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,12 +136,12 @@ def fasta_lines(unitigs: DataFrame) -> DataFrame:
     return unitigs.select(F.concat(F.lit(">"), F.col("unitig_id").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
 
 
-def orientations(unitigs: DataFrame, k: int, rounds: int = 12, id_col: str = "unitig_id") -> DataFrame:
+def orientations(unitigs: DataFrame, k: int, patience: int = 4, id_col: str = "unitig_id") -> DataFrame:
     """id, orientation (Forward or Reverse): chosen so that few sequences begin with k-1 characters that none ends with.
 
     In every round each sequence counts how many ends it would meet either way round; of those that gain by turning,
-    the ones with the largest hash among the sequences they touch turn at once. The result never has more sources than
-    all Forward has.
+    the ones with the largest hash among the sequences they touch turn at once. That goes on until none gains, or until
+    `patience` rounds have not lowered the number of sources. The result never has more sources than all Forward has.
     """
     ends = unitigs.select(F.col(id_col).alias("id"), dna.upper(F.col("seq")).alias("seq"))
     rc = dna.reverse_complement(F.col("seq"))
@@ -150,8 +152,8 @@ def orientations(unitigs: DataFrame, k: int, rounds: int = 12, id_col: str = "un
         now = ends.join(s, "id").select(F.when(F.col("turned"), F.col("rl")).otherwise(F.col("fl")).alias("l"), F.when(F.col("turned"), F.col("rr")).otherwise(F.col("fr")).alias("r"))
         return now.select("l").join(now.select(F.col("r").alias("l")).distinct(), "l", "left_anti").count()
 
-    best, kept = sources(state), state
-    for r in range(rounds):
+    best, kept, last = sources(state), state, 0
+    for r in itertools.count():
         now = store.written(ends.join(state, "id").select("id", "turned", F.when(F.col("turned"), F.col("rl")).otherwise(F.col("fl")).alias("l"), F.when(F.col("turned"), F.col("rr")).otherwise(F.col("fr")).alias("r"), F.when(F.col("turned"), F.col("fl")).otherwise(F.col("rl")).alias("tl"), F.when(F.col("turned"), F.col("fr")).otherwise(F.col("rr")).alias("tr")), "oriented")
         begins = now.groupBy(F.col("l").alias("x")).agg(F.count("*").alias("nb"))
         finishes = now.groupBy(F.col("r").alias("x")).agg(F.count("*").alias("ne"))
@@ -169,7 +171,7 @@ def orientations(unitigs: DataFrame, k: int, rounds: int = 12, id_col: str = "un
         state = store.written(state.join(turn, "id", "left").select("id", (F.col("turned") != F.coalesce("flip", F.lit(False))).alias("turned")), "state")
         n = sources(state)
         if n < best:
-            best, kept = n, state
-        if not turn.limit(1).count():
+            best, kept, last = n, state, r
+        if r - last >= patience or not turn.limit(1).count():
             break
     return kept.select(F.col("id").alias(id_col), F.when(F.col("turned"), F.lit("Reverse")).otherwise(F.lit("Forward")).alias("orientation"))

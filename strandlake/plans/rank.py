@@ -34,13 +34,18 @@ def ranked(df: DataFrame, key: str, rank: str = "rank", before: str | None = Non
 def running_sums(df: DataFrame, order: str, values: list[str], blocks: int = 1 << 16) -> DataFrame:
     """df with, for each value column v, before_v: its sum over the rows of smaller order (a dense rank from 0).
 
-    Sums run within blocks of consecutive ranks; the blocks' own sums are one row a block.
+    Sums run within blocks of consecutive ranks; the blocks' own sums run within groups of as many blocks, and only the
+    groups' sums, a row for blocks * blocks ranks, run in one task.
     """
     d = df.withColumn("__block", F.floor(F.col(order) / blocks))
     w = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy("__block").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    over = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__block", *[F.coalesce(F.sum(f"__s_{v}").over(over), F.lit(0)).alias(f"__b_{v}") for v in values])
+    sums = d.groupBy("__block").agg(*[F.sum(v).alias(f"__s_{v}") for v in values]).withColumn("__group", F.floor(F.col("__block") / blocks))
+    within = Window.partitionBy("__group").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("__group").agg(*[F.sum(f"__s_{v}").alias(f"__t_{v}") for v in values])
+    over = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("__group", *[F.coalesce(F.sum(f"__t_{v}").over(over), F.lit(0)).alias(f"__g_{v}") for v in values])
+    sums = sums.withColumns({f"__i_{v}": F.coalesce(F.sum(f"__s_{v}").over(within), F.lit(0)) for v in values}).join(groups, "__group")
+    sums = sums.select("__block", *[(F.col(f"__i_{v}") + F.col(f"__g_{v}")).alias(f"__b_{v}") for v in values])
     out = d.join(sums, "__block")
     for v in values:
         out = out.withColumn(f"before_{v}", F.coalesce(F.sum(v).over(w), F.lit(0)) + F.col(f"__b_{v}"))

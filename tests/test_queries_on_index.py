@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import checks, dbg, matching, setops, vodbg
 from strandlake.operators.index import KmerIndex, kmers_of
+from strandlake.plans import rank
 from strandlake.sources import sequences
 from tests import naive
 
@@ -165,3 +167,9 @@ def test_orientation_never_adds_sources(spark):
     turned = [s[::-1].translate(turn) if chosen[i] == "Reverse" else s for i, s in enumerate(mixed)]
     assert set(chosen) == set(range(len(mixed))) and sources(turned) <= sources(mixed)
     assert sources(turned) < sources(mixed) or sources(mixed) <= 2
+
+
+def test_running_sums_over_many_blocks(spark):
+    df = spark.range(500).select(F.col("id").alias("at"), (F.col("id") % 7).alias("v"))
+    got = {r.at: r.before_v for r in rank.running_sums(df, "at", ["v"], blocks=4).collect()}
+    assert got == {i: sum(j % 7 for j in range(i)) for i in range(500)}
