@@ -16,10 +16,17 @@ from strandlake.shipping import ship
 from strandlake.sources import index_store, sequences
 
 
-def _session(threads: int) -> SparkSession:
+def _session(a: argparse.Namespace) -> SparkSession:
+    """The session there is, or a local one. Of the options on resources, those count that Spark has a counterpart for."""
     spark = SparkSession.getActiveSession()
     if spark is None:
-        spark = SparkSession.builder.master(f"local[{threads}]").appName("strandlake").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(2 * threads)).getOrCreate()
+        parts = a.threads * (8 if getattr(a, "low_ram", False) else 2)  # smaller partitions need less memory at a time
+        start = SparkSession.builder.master(f"local[{a.threads}]").appName("strandlake").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(parts))
+        if getattr(a, "mem_gb", None):
+            start = start.config("spark.driver.memory", f"{a.mem_gb}g")
+        spark = start.getOrCreate()
+    if getattr(a, "temp_dir", None):
+        spark.sparkContext.setCheckpointDir(a.temp_dir)
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     return spark
@@ -42,6 +49,8 @@ def build(spark, a) -> int:
     t = time.time()
     index = KmerIndex.build(seqs, a.k, a.add_revcomp, a.add_all_dummy_paths, a.prefix_precalc)
     index_store.save(index, a.output, "overwrite")
+    if a.build_lcs:
+        index.nodes.select("colex", "lcs").write.mode("overwrite").parquet(f"{a.output}.lcs")
     bits = index_store.size_bits(index, a.output).first()
     print(f"built in {time.time() - t:.1f} s: {bits.n_kmers} k-mers, {bits.bits_per_kmer or 0:.1f} bits a k-mer", file=sys.stderr)
     return 0
@@ -88,7 +97,11 @@ def jaccard(spark, a) -> int:
 
 
 def dump_kmers(spark, a) -> int:
-    index_store.dump_kmers(_load(spark, a.input, a), a.output, a.include_dummies, "overwrite")
+    index = _load(spark, a.input, a)
+    if a.all_at_once:  # one file
+        index_store.write_lines(search.padded_spectrum(index, a.include_dummies).coalesce(1), a.output, "node", "overwrite")
+    else:
+        index_store.dump_kmers(index, a.output, a.include_dummies, "overwrite")
     return 0
 
 
@@ -129,13 +142,15 @@ def check(spark, a) -> int:
 def check_set_operation(spark, a) -> int:
     result = _load(spark, a.result, a)
 
-    def kmers(seqs: str | None, index: str | None) -> DataFrame:
+    def kmers(seqs: str | None, index: str | None, n: int) -> DataFrame:
         if seqs:
             return kmers_of(sequences.read_any(spark, seqs), result.k)
-        unitigs = dbg.Dbg(_load(spark, index, a)).unitigs().select(F.col("unitig_id").alias("seq_id"), "seq")
-        return kmers_of(unitigs, result.k)
+        unitigs = dbg.Dbg(_load(spark, index, a)).unitigs()
+        if a.keep_unitigs:
+            index_store.write_lines(dbg.fasta_lines(unitigs), f"{a.result}.unitigs{n}", mode="overwrite")
+        return kmers_of(unitigs.select(F.col("unitig_id").alias("seq_id"), "seq"), result.k)
 
-    first = checks.against_set_operation(result, a.op, kmers(a.seq1, a.index1), kmers(a.seq2, a.index2)).first()
+    first = checks.against_set_operation(result, a.op, kmers(a.seq1, a.index1, 1), kmers(a.seq2, a.index2, 2)).first()
     print("PASS" if first is None else f"FAIL: {first.kmer} is {first.side}")
     return int(first is not None)
 
@@ -158,7 +173,7 @@ def build_from_kmers(spark, a) -> int:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandlake")
-    p.add_argument("--threads", type=int, default=4)
+    p.add_argument("-t", "--threads", type=int, default=4)
     p.add_argument("--verbose", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -173,8 +188,12 @@ def parser() -> argparse.ArgumentParser:
         return flags, kw
 
     cpp = opt("--load-cpp-format", action="store_true")
-    out = opt("-o", "--output", required=True)
-    building = [out, opt("-k", type=int, required=True), opt("-r", "--add-revcomp", action="store_true"), opt("--add-all-dummy-paths", action="store_true"), opt("-p", "--prefix-precalc", type=int, default=8)]
+    low = opt("--low-ram", action="store_true")
+    # how an index is built is up to Spark, and the same index comes of all of these
+    ways = [opt(f"--{x}", action="store_true") for x in ("in-memory", "bounded-suffix-sort", "via-libsais")]
+    ways += [opt("-d", "--dedup-batches", action="store_true"), opt("--bucket-sort-prefix-length", type=int)]
+    out = opt("-o", "--output", "--output-prefix", required=True)
+    building = [out, opt("-k", type=int, required=True), opt("-r", "--add-revcomp", action="store_true"), opt("--add-all-dummy-paths", action="store_true"), opt("-p", "--prefix-precalc", type=int, default=8), opt("-l", "--build-lcs", action="store_true"), opt("-m", "--mem-gb", type=int), opt("--temp-dir"), *ways]
 
     def with_input(s, required=True):
         g = s.add_mutually_exclusive_group(required=required)
@@ -182,19 +201,19 @@ def parser() -> argparse.ArgumentParser:
         g.add_argument("--input-list")
 
     with_input(add("build", build, *building))
-    add("build-lcs", build_lcs, opt("-i", "--input", required=True), out, cpp)
+    add("build-lcs", build_lcs, opt("-i", "--input", required=True), out, low, cpp)
     add("benchmark", run_benchmark, opt("-i", "--input", required=True), opt("--queries", type=int, default=100_000), opt("--streams", type=int, default=100), opt("--length", type=int, default=10_000), cpp)
     add("lookup", lookup, opt("-i", "--index", required=True), opt("-q", "--query", required=True), out, opt("-b", "--membership-only", action="store_true"), cpp)
     add("matching-statistics", matching_statistics, opt("-i", "--index", required=True), opt("-q", "--query", required=True), out, opt("--bound", type=int), cpp)
     for name, op in (("merge", setops.union), ("intersect", setops.intersection), ("difference", setops.difference)):
-        add(name, set_operation(op), opt("first"), opt("second"), out, cpp)
-    add("jaccard", jaccard, opt("first"), opt("second"), cpp)
-    add("dump-kmers", dump_kmers, opt("-i", "--input", required=True), out, opt("-d", "--include-dummies", action="store_true"), cpp)
+        add(name, set_operation(op), opt("first"), opt("second"), out, low, cpp)
+    add("jaccard", jaccard, opt("first"), opt("second"), low, cpp)
+    add("dump-kmers", dump_kmers, opt("-i", "--input", required=True), out, opt("-d", "--include-dummies", action="store_true"), opt("-a", "--all-at-once", action="store_true"), cpp)
     add("dump-unitigs", dump_unitigs, opt("-i", "--input", required=True), out, cpp)
     add("stats", stats, opt("-i", "--input", required=True), cpp)
     add("kmer-at-colex", kmer_at_colex, opt("-i", "--input", required=True), opt("-r", "--rank", type=int, required=True), cpp)
     add("check", check, opt("-i", "--input", required=True), opt("--invariant", action="store_true"), opt("-s", "--original-sequences"), opt("--add-revcomp", action="store_true"), cpp)
-    add("check-set-operation", check_set_operation, opt("--op", required=True, choices=["merge", "intersect", "difference"]), *[opt(f"--{x}{n}") for x in ("seq", "index") for n in (1, 2)], opt("--result", required=True), cpp)
+    add("check-set-operation", check_set_operation, opt("--op", required=True, choices=["merge", "intersect", "difference"]), *[opt(f"--{x}{n}") for x in ("seq", "index") for n in (1, 2)], opt("--result", required=True), opt("--keep-unitigs", action="store_true"), cpp)
     with_input(add("sort-kmers-to-disk", sort_kmers, *building))
     with_input(add("build-from-kmers-on-disk", build_from_kmers, opt("--kmers-file", required=True), *building), required=False)
     return p
@@ -204,7 +223,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "check" and not (a.invariant or a.original_sequences):
         parser().error("check needs --invariant or --original-sequences")
-    return a.run(_session(a.threads), a)
+    return a.run(_session(a), a)
 
 
 if __name__ == "__main__":

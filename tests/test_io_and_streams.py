@@ -206,3 +206,23 @@ def test_saved_nodes_are_the_same(spark, tmp_path, k):
     back = index_store.load(spark, f"{tmp_path}/index")
     assert back.nodes.columns == index.nodes.columns and back.nodes.dtypes == index.nodes.dtypes
     assert checks.differs(index.nodes, back.nodes).count() == 0
+
+
+def test_command_line_options(spark, tmp_path):
+    a, b = write_fasta(tmp_path / "a.fna", SEQS[:1]), write_fasta(tmp_path / "b.fna", SEQS[1:])
+    before = spark.sparkContext.getCheckpointDir()
+    try:
+        assert run("build", "-i", a, "-o", tmp_path / "a", "-k", 4, "-l", "-d", "-m", 4, "--in-memory", "--temp-dir", tmp_path / "tmp") == 0
+        assert (tmp_path / "tmp").exists()
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
+    assert run("build", "-i", b, "--output-prefix", tmp_path / "b", "-k", 4, "--bounded-suffix-sort", "--bucket-sort-prefix-length", 3) == 0
+    lcs = [r.lcs for r in spark.read.parquet(f"{tmp_path}/a.lcs").orderBy("colex").collect()]
+    assert lcs == [r.lcs for r in index_store.load(spark, f"{tmp_path}/a").nodes.orderBy("colex").collect()]
+    assert run("merge", tmp_path / "a", tmp_path / "b", "-o", tmp_path / "ab", "--low-ram") == 0
+    assert run("check-set-operation", "--op", "merge", "--index1", tmp_path / "a", "--index2", tmp_path / "b", "--result", tmp_path / "ab", "--keep-unitigs") == 0
+    assert list((tmp_path / "ab.unitigs2").glob("part-*"))
+    assert run("dump-kmers", "-i", tmp_path / "ab", "-o", tmp_path / "dump", "-a") == 0
+    files = list((tmp_path / "dump").glob("part-*"))
+    assert len(files) == 1 and files[0].read_text().split() == [x for x in naive.padded(naive.kmers(SEQS, 4), 4) if "$" not in x]
