@@ -9,7 +9,7 @@ that of sorting nodes and contexts, without k rows for each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
@@ -69,17 +69,39 @@ def matching_statistics_by_join(index: KmerIndex, queries: DataFrame, bound: int
     return at.join(best, "context").select("query_id", "pos", F.col("x.d").cast("int").alias("len"), "x.lo", "x.hi")
 
 
+def _crowded(index: KmerIndex, t: int) -> DataFrame:
+    """colex, crowd: the longest suffix of a node that more than t nodes in a row around it end in; -1 if there are no more than t nodes.
+
+    Nodes t apart share what all between them share, so each node is met by the one t further on, and the greatest such
+    length of the t + 1 stretches that hold a node is its crowd. Stretches are dealt by blocks of ranks, those that reach
+    into the next block to both.
+    """
+    nodes = index.nodes.select("colex", F.reverse("node").alias("rev"))
+    apart = nodes.select((F.col("colex") - t).alias("colex"), F.col("rev").alias("far"))
+    pad = F.regexp_replace("rev", "\\$", "#")  # a pad is like no other character
+    shared = nodes.join(apart, "colex").select("colex", dna.common_prefix(pad, F.col("far"), index.k).alias("shared"))
+    block = 1 << 16
+    rows = nodes.select("colex").join(shared, "colex", "left").select("colex", F.coalesce("shared", F.lit(-1)).alias("shared"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("colex") / block), F.floor((F.col("colex") + t) / block))))
+    near = Window.partitionBy("block").orderBy("colex").rowsBetween(-t, 0)
+    out = rows.withColumn("crowd", F.max("shared").over(near))
+    return out.where(F.col("block") == F.floor(F.col("colex") / block)).select("colex", "crowd")
+
+
 def frequency_bounded_suffixes(index: KmerIndex, queries: DataFrame, t: int) -> DataFrame:
-    """query_id, pos, len, lo, hi: the shortest matching suffix whose range has at most t nodes; nulls where there is none."""
+    """query_id, pos, len, lo, hi: the shortest matching suffix whose range has at most t nodes; nulls where there is none.
+
+    The range of the longest match lies among all others, so its crowd says how short a suffix may be: one string a context.
+    """
     at = store.written(contexts(queries, index.k), "contexts")
-    found = _lengths(index, at.select("context").distinct(), index.k)
-    each = found.select("context", F.explode(F.sequence(F.lit(0), F.col("len"))).alias("d")).withColumn("str", F.expr("right(context, d)"))
-    each = store.written(each, "suffixes")
+    found = store.written(_lengths(index, at.select("context").distinct(), index.k).withColumn("str", F.expr("right(context, len)")), "longest")
     n = index.n_sets()
-    ranges = bounds(index, each.where("d > 0").select("str"))
-    met = each.join(ranges, "str", "left").select("context", "d", F.when(F.col("d") == 0, F.lit(0)).otherwise(F.col("lo")).alias("lo"), F.when(F.col("d") == 0, F.lit(n)).otherwise(F.col("hi")).alias("hi"))
-    best = met.where(F.col("hi") - F.col("lo") <= t).groupBy("context").agg(F.min(F.struct("d", "lo", "hi")).alias("x"))
-    return _back(at, best, "left").select("query_id", "pos", F.col("x.d").cast("int").alias("len"), "x.lo", "x.hi")
+    top = found.join(bounds(index, found.where("len > 0").select("str")), "str", "left").select("context", "len", F.coalesce("lo", F.lit(0)).alias("colex"))
+    top = top.join(store.written(_crowded(index, t), "crowds"), "colex").select("context", "len", (F.col("crowd") + 1).alias("d"))
+    best = store.written(top.where("d <= len").select("context", "d", F.expr("right(context, d)").alias("str")), "shortest")
+    best = best.join(bounds(index, best.where("d > 0").select("str")), "str", "left")
+    best = best.select("context", F.col("d").cast("int").alias("len"), F.coalesce("lo", F.lit(0)).cast("long").alias("lo"), F.coalesce("hi", F.lit(n)).cast("long").alias("hi"))
+    return _back(at, best, "left").select("query_id", "pos", "len", "lo", "hi")
 
 
 def contract_left(index: KmerIndex, rows: DataFrame, col: str = "str", length: str = "len") -> DataFrame:
