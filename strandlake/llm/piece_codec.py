@@ -15,6 +15,7 @@ runs of marks are cut from the left into the longest such pieces. Characters in
 from __future__ import annotations
 
 import hashlib
+import string
 from array import array
 
 import ahocorasick
@@ -28,8 +29,9 @@ from strandlake.llm import common
 MARK = "▁"
 NEVER = float("-inf")
 START = -1
+PUNCTUATION = string.punctuation
 #: Words, and parts of words, in a worker's tables before these start anew; what was used since the time before stays.
-KEPT_WORDS, KEPT_PARTS = 60_000, 20_000
+KEPT_WORDS, KEPT_PARTS = 100_000, 100_000
 
 
 def tokenizer_path() -> str:
@@ -137,42 +139,52 @@ class PieceCodec:
         out.reverse()
         return out
 
+    def _packed(self, found: list[int]) -> tuple[bytes, str]:
+        """Ids as 32-bit numbers and as text."""
+        digits = self.digits
+        return array("i", found).tobytes(), ",".join([digits[i] for i in found])
+
     def _part(self, part: str) -> tuple[bytes, str]:
-        """The ids, as 32-bit numbers and as text, of a string across whose ends no piece reaches."""
-        if self.alphabet.issuperset(part):
-            found = self._segment(part)
-        else:  # one character that is in no piece
-            found = [self.byte_ids[b] for b in part.encode("utf-8")]
-        return array("i", found).tobytes(), ",".join([self.digits[i] for i in found])
+        """The ids of a string across whose ends no piece reaches, kept if it is short."""
+        out = self.parts.get(part) or self.old_parts.get(part)
+        if out is None:
+            # else it is one character that is in no piece
+            out = self._packed(self._segment(part) if self.alphabet.issuperset(part) else [self.byte_ids[b] for b in part.encode("utf-8")])
+        if len(part) <= 64:
+            if len(self.parts) >= KEPT_PARTS:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = out
+        return out
 
     def word(self, word: str) -> tuple[bytes, str]:
-        """The same of a word with the mark before it."""
-        out = self.old_words.get(word) or self._cut(MARK + word, word)
+        """The ids of a word with the mark before it, kept if it is short."""
+        out = self.old_words.get(word)
+        if out is None:
+            if word.isalpha() and self.alphabet.issuperset(word):
+                out = self._packed(self._segment(MARK + word))
+            else:
+                out = self._cut(word)
         if len(word) <= 64:
             if len(self.words) >= KEPT_WORDS:
                 self.old_words, self.words = self.words, {}
             self.words[word] = out
         return out
 
-    def _cut(self, text: str, word: str) -> tuple[bytes, str]:
-        cuts = None
-        if not (word.isalpha() and self.alphabet.issuperset(word)):
-            bigrams = self.bigrams
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in bigrams]  # no piece reaches across these
-        if not cuts:
-            return self._part(text)
-        start, found = 0, []
-        for cut in [*cuts, len(text)]:
-            part = text[start:cut]
-            start = cut
-            out = self.parts.get(part)
-            if out is None:
-                out = self.old_parts.get(part) or self._part(part)
-                if len(part) <= 64:
-                    if len(self.parts) >= KEPT_PARTS:
-                        self.old_parts, self.parts = self.parts, {}
-                    self.parts[part] = out
-            found.append(out)
+    def _cut(self, word: str) -> tuple[bytes, str]:
+        """As word(), for words of more than letters: by their parts."""
+        bigrams = self.bigrams
+        core = word.rstrip(PUNCTUATION)
+        n = len(core)
+        if 0 < n < len(word) and word[n - 1 : n + 1] not in bigrams:  # no piece reaches across this, so the core is a word of its own
+            head = self.words.get(core) or self.word(core)
+            tail = word[n:]
+            cuts = [k for k in range(1, len(tail)) if tail[k - 1 : k + 1] not in bigrams]
+        else:
+            head, tail = None, MARK + word
+            cuts = [k for k in range(1, len(tail)) if tail[k - 1 : k + 1] not in bigrams]
+        found = [self._part(tail[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tail)])]
+        if head:
+            found.insert(0, head)
         return b"".join([f[0] for f in found]), ",".join([f[1] for f in found])
 
     def _run(self, n: int) -> tuple[bytes, str]:
