@@ -83,16 +83,19 @@ class PieceCodec:
         self.after: list[dict[int, bool]] = [{} for _ in range(1 + max(self.text_of))]
         self.length = [len(self.text_of.get(i, "")) for i in range(1 + max(self.text_of))]
         self.alphabet = {c for p in self.pieces for c in p}
-        self.words: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
-        self.old_words: dict[str, tuple] = {}
-        self.old_parts: dict[str, tuple] = {}
-        self.digits = [str(i) for i in range(1 + max(*self.text_of, *self.byte_ids))]
+        # ids as 32-bit numbers
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        size = 1 + max(*self.text_of, *self.byte_ids)
+        # every id as a decimal number and a comma, filled up with zero bytes
+        self.numbers = np.array([f"{i},".encode() for i in range(size)])
         # what an id stands for by itself: a piece, or a byte of ASCII
         ascii_ = {i: chr(b) for i, b in self.byte_of.items() if b < 128}
-        self.spelled = [self.text_of[i].replace(MARK, " ") if i in self.text_of else ascii_.get(i, "") for i in range(len(self.digits))]
-        self.odd = np.array([i not in self.text_of and i not in ascii_ for i in range(len(self.digits))])
-        self.lone = f"{runs[1]},"
+        self.spelled = [self.text_of[i].replace(MARK, " ") if i in self.text_of else ascii_.get(i, "") for i in range(size)]
+        self.odd = np.array([i not in self.text_of and i not in ascii_ for i in range(size)])
+        self.lone = array("i", [runs[1]]).tobytes()
         self.bigrams = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
 
     # --- compatibility of pieces
@@ -139,29 +142,24 @@ class PieceCodec:
         out.reverse()
         return out
 
-    def _packed(self, found: list[int]) -> tuple[bytes, str]:
-        """Ids as 32-bit numbers and as text."""
-        digits = self.digits
-        return array("i", found).tobytes(), ",".join([digits[i] for i in found])
-
-    def _part(self, part: str) -> tuple[bytes, str]:
+    def _part(self, part: str) -> bytes:
         """The ids of a string across whose ends no piece reaches, kept if it is short."""
         out = self.parts.get(part) or self.old_parts.get(part)
         if out is None:
             # else it is one character that is in no piece
-            out = self._packed(self._segment(part) if self.alphabet.issuperset(part) else [self.byte_ids[b] for b in part.encode("utf-8")])
+            out = array("i", self._segment(part) if self.alphabet.issuperset(part) else [self.byte_ids[b] for b in part.encode("utf-8")]).tobytes()
         if len(part) <= 64:
             if len(self.parts) >= KEPT_PARTS:
                 self.old_parts, self.parts = self.parts, {}
             self.parts[part] = out
         return out
 
-    def word(self, word: str) -> tuple[bytes, str]:
+    def word(self, word: str) -> bytes:
         """The ids of a word with the mark before it, kept if it is short."""
         out = self.old_words.get(word)
         if out is None:
             if word.isalpha() and self.alphabet.issuperset(word):
-                out = self._packed(self._segment(MARK + word))
+                out = array("i", self._segment(MARK + word)).tobytes()
             else:
                 out = self._cut(word)
         if len(word) <= 64:
@@ -170,7 +168,7 @@ class PieceCodec:
             self.words[word] = out
         return out
 
-    def _cut(self, word: str) -> tuple[bytes, str]:
+    def _cut(self, word: str) -> bytes:
         """As word(), for words of more than letters: by their parts."""
         bigrams = self.bigrams
         core = word.rstrip(PUNCTUATION)
@@ -182,12 +180,9 @@ class PieceCodec:
         else:
             head, tail = None, MARK + word
             cuts = [k for k in range(1, len(tail)) if tail[k - 1 : k + 1] not in bigrams]
-        found = [self._part(tail[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tail)])]
-        if head:
-            found.insert(0, head)
-        return b"".join([f[0] for f in found]), ",".join([f[1] for f in found])
+        return (head or b"") + b"".join([self._part(tail[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tail)])])
 
-    def _run(self, n: int) -> tuple[bytes, str]:
+    def _run(self, n: int) -> bytes:
         out = []
         while n > 0:
             k = min(n, self.longest_run)
@@ -195,9 +190,9 @@ class PieceCodec:
                 k -= 1
             out.append(self.runs[k])
             n -= k
-        return array("i", out).tobytes(), ",".join(map(str, out))
+        return array("i", out).tobytes()
 
-    def _words(self, text: str) -> list[tuple[bytes, str]]:
+    def _words(self, text: str) -> list[bytes]:
         """What word() gives, for the words and runs of marks of a text in order."""
         words, word = self.words.get, self.word
         split = text.replace(MARK, " ").split(" ")
@@ -212,8 +207,8 @@ class PieceCodec:
                 found = words(w) or word(w)
                 if marks > 1:
                     # the last mark belongs to the run before if the word didn't take it
-                    if found[1].startswith(lone):
-                        found = (found[0][4:], found[1][len(lone) :])
+                    if found.startswith(lone):
+                        found = found[4:]
                         marks += 1
                     out.append(self._run(marks - 1))
                 out.append(found)
@@ -224,7 +219,7 @@ class PieceCodec:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; an array takes a tenth of a list's memory."""
-        return np.frombuffer(b"".join([ids for ids, _ in self._words(text)]) if text else b"", dtype=np.int32)
+        return np.frombuffer(b"".join(self._words(text)) if text else b"", dtype=np.int32)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD each, the mark that encoding puts first is taken off."""
@@ -267,11 +262,10 @@ class PieceCodec:
 
     def whole(self, text: str) -> tuple[np.ndarray, int, str, str]:
         """Ids, their number, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids."""
-        found = self._words(text) if text else []
-        ids = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32)
-        joined = ",".join([f[1] for f in found])
+        ids = self.encode(text)
+        joined = self.numbers[ids].tobytes().translate(None, b"\0")[:-1]
         back = self.decode(ids).encode("utf-8", "surrogatepass")
-        return ids, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        return ids, len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest()
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids."""
