@@ -11,6 +11,13 @@ That pays for a small radius. Texts with a Jaccard index of 0.8 over their terms
 query searches within NEAR_RADIUS; tables for that would be keyed by 4 bits at best and yield more candidates than
 there are pairs, so from a radius of BLOCKS on every pair is compared, in generated code.
 
+Where many fingerprints lie close together, links are not expanded into pairs. Such places get a class each: a centre, with
+all fingerprints within the radius of it (of several centres: the nearest) as members. A fingerprint that is asked and lies
+within the radius of a centre gets the class as a whole, with the exact number of members that it links with; any other
+link stays a pair. As a link is a distance of fingerprints, the classes, their members and the pairs tell every link.
+Centres are looked for in a sample of CLASS_SAMPLE fingerprints, which has no part in what is a link: where it misses a
+group (of some CLASS_SEEN in CLASS_SAMPLE or less), the group's links are pairs.
+
 The next document of a document, in descending order of ids, is found without sorting all in one task: ids alone are
 range-sorted, and every BUCKET_ROWS-th (in tables of over MOST_BUCKETS buckets: fewer) is a border. A document finds its
 bucket by binary search among the borders, whatever the ids are like; buckets are sorted each on its own, and the first
@@ -38,6 +45,10 @@ NEAR_RADIUS = 16
 #: Queries broadcast at once, and pairs compared in a task, when every pair is compared.
 TILE_QUERIES, TASK_PAIRS = 1_000_000, 1 << 28
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 18
+#: Fingerprints in which centres of classes are looked for, and how many of them at least make a class.
+CLASS_SAMPLE, CLASS_SEEN = 8192, 16
+#: Members counted at once, and fingerprints compared in a task that counts them.
+CHUNK, TASK_COUNTS = 512, 1 << 24
 
 
 def _votes(words: str, pos: str) -> tuple[Column, Column]:
@@ -87,7 +98,8 @@ def near_fingerprints(queries: DataFrame, held: DataFrame, radius: int = RADIUS,
     """(query, found, distance): all fingerprints in held (column fingerprint, long) within radius of one in queries.
 
     Distinct fingerprints on both sides, so copies make no pairs; a fingerprint finds itself if it is held. Nulls
-    find nothing. radius must be below blocks.
+    find nothing. radius must be below blocks. If held has a column class, members of classes whose centre lies within
+    the radius of a query are not found by it.
     """
     size = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
     start = [sum(size[:k]) for k in range(blocks)]
@@ -105,10 +117,12 @@ def near_fingerprints(queries: DataFrame, held: DataFrame, radius: int = RADIUS,
                 key = key.bitwiseOR(F.shiftleft(part(x, k), at))
                 at += size[k]
             fronts.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-        df = df.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
-        return df.select(x.alias(name), F.explode(F.array(*fronts)).alias("f")).select(name, "f.t", "f.key")
+        df = df.where("fingerprint IS NOT NULL").distinct()
+        rest = [c for c in df.columns if c != "fingerprint"]
+        return df.select(x.alias(name), *rest, F.explode(F.array(*fronts)).alias("f")).select(name, *rest, F.col("f.t").alias(f"{name}_t"), F.col("f.key").alias(f"{name}_key"))
 
-    pairs = keyed(queries, "query").join(keyed(held, "found"), ["t", "key"])
+    asked, held = keyed(queries.select("fingerprint"), "query"), keyed(_classed(held), "found")
+    pairs = asked.join(held, (F.col("query_t") == F.col("found_t")) & (F.col("query_key") == F.col("found_key")) & _apart_from_class(radius)).withColumn("t", F.col("query_t"))
     both = F.col("query").bitwiseXOR(F.col("found"))
     # the first table in which the two agree
     first = F.lit(len(choices))
@@ -122,18 +136,90 @@ def near_fingerprints(queries: DataFrame, held: DataFrame, radius: int = RADIUS,
 
 def near_by_scan(queries: DataFrame, held: DataFrame, radius: int) -> DataFrame:
     """As near_fingerprints, for any radius: every distinct fingerprint held is compared with every one asked."""
+    held = _classed(held)
     asked = common.written(queries.select(F.col("fingerprint").alias("query")).where("query IS NOT NULL").distinct(), "asked")
-    held = common.written(held.select(F.col("fingerprint").alias("found")).where("found IS NOT NULL").distinct(), "held")
+    held = common.written(held.withColumnRenamed("fingerprint", "found").where("found IS NOT NULL").distinct(), "held")
     n = asked.count()
     tiles = -(-n // TILE_QUERIES) or 1
     parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * held.count() // tiles // TASK_PAIRS)
     held = held.repartition(parts, "found")
     apart = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
     tile = F.pmod(F.xxhash64("query"), F.lit(tiles))
-    found = [held.join(F.broadcast(asked.where(tile == k)), apart <= radius) for k in range(tiles)]
+    found = [held.join(F.broadcast(asked.where(tile == k)), (apart <= radius) & _apart_from_class(radius)) for k in range(tiles)]
     return functools.reduce(DataFrame.unionAll, found).select("query", "found", apart.alias("distance"))
 
 
+def _classed(held: DataFrame) -> DataFrame:
+    """fingerprint and its class, null if held has none."""
+    return held.select("fingerprint", *["class"] if "class" in held.columns else [F.lit(None).cast("long").alias("class")])
+
+
+def _apart_from_class(radius: int) -> Column:
+    """That the query doesn't get the class of what is found as a whole."""
+    return F.col("class").isNull() | (distance(F.col("query"), F.col("class")) > radius)
+
+
+def _centres(held: DataFrame, radius: int) -> list[int]:
+    """Centres of dense places among distinct fingerprints (column fingerprint), from a sample by hash; most often none."""
+    rows = held.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(CLASS_SAMPLE).collect()  # at most CLASS_SAMPLE
+    left = np.sort(np.array([r.fingerprint for r in rows], dtype=np.int64)).view(np.uint64)
+    if len(left) <= CLASS_SEEN:
+        return []
+    close = [np.flatnonzero(np.bitwise_count(left ^ x) <= radius) for x in left]
+    seen = np.array([len(c) - 1 for c in close])
+    free, out = np.ones(len(left), dtype=bool), []
+    while seen.max() >= CLASS_SEEN:
+        k = int(seen.argmax())
+        seen[k] = 0  # each is looked at once
+        around = left[close[k][free[close[k]]]]
+        if len(around) <= CLASS_SEEN:
+            continue
+        # the bits that most of them have: closer to all of them than any one is
+        bits = (around[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
+        centre = sum(1 << j for j in np.flatnonzero(bits.sum(axis=0) * 2 > len(around)).tolist())
+        free &= np.bitwise_count(left ^ np.uint64(centre)) > radius
+        out.append(_signed(centre))
+    return sorted(set(out))
+
+
+def with_classes(held: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (column fingerprint, nulls left out) with their class: the nearest centre within the radius, or null."""
+    held = common.written(held.select("fingerprint").where("fingerprint IS NOT NULL").distinct(), "distinct")
+    centres = _centres(held, radius)
+    if not centres:
+        return _classed(held)
+    apart = distance(F.col("fingerprint"), F.col("class"))
+    met = held.join(F.broadcast(held.sparkSession.createDataFrame([(c,) for c in centres], "class long")), apart <= radius, "left")
+    return common.written(met.groupBy("fingerprint").agg(F.min(F.struct(apart, "class"))["class"].alias("class")), "classes")
+
+
+def near_in_classes(queries: DataFrame, held: DataFrame, radius: int) -> DataFrame:
+    """(query, class, found): how many members of a class lie within the radius of a query, itself left out; 0 is left out.
+
+    For the queries (column fingerprint) within the radius of the class's centre. held is as of with_classes. Members
+    are compared in arrays, so no row is made for a pair.
+    """
+    session = held.sparkSession
+    members = held.where("class IS NOT NULL")
+    sizes = {r["class"]: r["count"] for r in members.groupBy("class").count().collect()}  # at most a row a centre
+    if not sizes:
+        return session.createDataFrame([], "query long, class long, found long")
+    many = session.createDataFrame([(c, -(-n // CHUNK)) for c, n in sizes.items()], "class long, chunks long")
+    chunk = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
+    held = common.written(members.join(F.broadcast(many), "class").groupBy("class", chunk.alias("chunk")).agg(F.collect_list("fingerprint").alias("held")), "members")
+    asked = queries.select(F.col("fingerprint").alias("query")).where("query IS NOT NULL").distinct()
+    asked = common.written(asked.join(F.broadcast(many.select("class")), distance(F.col("query"), F.col("class")) <= radius), "asked")
+    times = {r["class"]: r["count"] for r in asked.groupBy("class").count().collect()}  # at most a row a centre
+    tiles = -(-sum(times.values()) // TILE_QUERIES) or 1
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), sum(n * sizes[c] for c, n in times.items()) // tiles // TASK_COUNTS)
+    held = held.repartition(parts, "class", "chunk")
+    tile = F.pmod(F.xxhash64("query", "class"), F.lit(tiles))
+    met = functools.reduce(DataFrame.unionAll, [held.join(F.broadcast(asked.where(tile == k)), "class") for k in range(tiles)])
+    query = F.col("query")
+    met = met.select("query", "class", F.size(F.filter("held", lambda x: (x != query) & (distance(x, query) <= radius))).alias("found"))
+    return met.groupBy("query", "class").agg(F.sum("found").alias("found")).where("found > 0")
+
+
 def _borders(ids: DataFrame, bucket_rows: int) -> list[int]:
     """Ids, ascending, that cut all ids (column id, long) into buckets of about bucket_rows; at most MOST_BUCKETS and one for each range."""
     ids = ids.where("id IS NOT NULL")
@@ -205,18 +291,26 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def with_near(marks: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
     """marks, a table with a column fingerprint, with what of the table lies within the radius of the row's fingerprint.
 
-    near_found: how many other fingerprints; near: these, ascending; near_copies: how many other rows of the same
-    fingerprint. Only for the rows that asked holds for; null for the others.
+    near_class: the centre of the class that the fingerprint is in, for all rows; null if in none. Only for the rows that
+    asked holds for, and null for the others: near_found: how many other fingerprints; near_classes: the classes with a
+    centre within the radius that have some of these, ascending; near: the rest of these, ascending; near_copies: how
+    many other rows of the same fingerprint. So a row's links are near, and the fingerprints within the radius among
+    the members of near_classes.
     """
     marks_asked = marks.withColumn("__asked", asked)
-    queries = marks.where(asked)
-    pairs = near_fingerprints(queries, marks, radius) if radius < BLOCKS else near_by_scan(queries, marks, radius)
-    near = pairs.where("query <> found").groupBy("query").agg(F.count("*").alias("near_found"), F.sort_array(F.collect_list("found")).alias("near"))
-    rows = marks_asked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.count_if("__asked").alias("__n_asked")).where("__n_asked > 0")
+    queries, held = marks.where(asked), with_classes(marks, radius)
+    pairs = near_fingerprints(queries, held, radius) if radius < BLOCKS else near_by_scan(queries, held, radius)
+    near = pairs.where("query <> found").groupBy("query").agg(F.count("*").alias("__pairs"), F.sort_array(F.collect_list("found")).alias("near"))
+    whole = near_in_classes(queries, held, radius).groupBy(F.col("query").alias("__query")).agg(F.sum("found").alias("__whole"), F.sort_array(F.collect_list("class")).alias("near_classes"))
+    classes = held.where("class IS NOT NULL").select(F.col("fingerprint").alias("__member"), F.col("class").alias("near_class"))
+    rows = marks_asked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.count_if("__asked").alias("__n_asked"))
+    rows = rows.join(classes, F.col("fingerprint") == F.col("__member"), "left").where("__n_asked > 0 OR near_class IS NOT NULL")
     none = F.array().cast("array<long>")
-    table = rows.join(near, F.col("fingerprint") == F.col("query"), "left").select("fingerprint", "n", F.coalesce("near_found", F.lit(0)).alias("near_found"), F.coalesce("near", none).alias("near"), (F.col("n") - 1).alias("near_copies"))
+    table = rows.join(near, F.col("fingerprint") == F.col("query"), "left").join(whole, F.col("fingerprint") == F.col("__query"), "left")
+    found = F.coalesce("__pairs", F.lit(0)) + F.coalesce("__whole", F.lit(0))
+    table = table.select("fingerprint", "n", "near_class", found.alias("near_found"), F.coalesce("near", none).alias("near"), F.coalesce("near_classes", none).alias("near_classes"), (F.col("n") - 1).alias("near_copies"))
     out = common.lookup(marks_asked, table, ["fingerprint"], "n", marks.count()).drop("n")
-    return out.withColumns({c: F.when(F.col("__asked"), F.col(c)) for c in ("near_found", "near", "near_copies")}).drop("__asked")
+    return out.withColumns({c: F.when(F.col("__asked"), F.col(c)) for c in ("near_found", "near", "near_classes", "near_copies")}).drop("__asked")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,4 +320,4 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text_of(x: Column | str) -> Column:
         return F.lower(F.lpad(F.hex(x), 16, "0"))
 
-    return found.select("doc_id", "n_chars", "edited_sha256", text_of("fingerprint").alias("fingerprint"), text_of("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "near_found", F.transform("near", text_of).alias("near"), "near_copies")
+    return found.select("doc_id", "n_chars", "edited_sha256", text_of("fingerprint").alias("fingerprint"), text_of("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "near_found", F.transform("near", text_of).alias("near"), "near_copies", text_of("near_class").alias("near_class"), F.transform("near_classes", text_of).alias("near_classes"))

@@ -109,3 +109,71 @@ def test_query_finds_near_copies(spark, tmp_path):
     for i, mark in partner.items():
         assert got[i].near_found == len(got[i].near) and got[i].near_copies == 1 + (mark == got[i].fingerprint)
     assert sum(mark in (got[i].fingerprint, *got[i].near) for i, mark in partner.items()) >= 0.95 * len(partner)
+
+
+def made(df):
+    """The largest number of rows that a join of a plan has made."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_links_in_large_groups_are_not_expanded(spark, monkeypatch):
+    rng = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flip = lambda x, most: x ^ sum(1 << j for j in rng.sample(range(64), rng.randint(0, most)))
+    one, two, wide = (rng.getrandbits(64) for _ in range(3))
+    # a group, one that overlaps it, one too wide for one class, and others
+    held = [flip(one, 8) for _ in range(500)] + [flip(flip(one, 16), 8) for _ in range(100)] + [flip(two, 3) for _ in range(200)]
+    held += [flip(wide, 20) for _ in range(200)] + [rng.getrandbits(64) for _ in range(300)]
+    rows = [(i, signed(x)) for i, x in enumerate(held + held[:50])]
+    df = spark.createDataFrame([*rows, (-1, None)], "doc_id long, fingerprint long").where("doc_id >= 0")
+    distinct = sorted({signed(x) for x in held})
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    for radius, tile, chunk in ((16, 1_000_000, 512), (16, 30, 64), (3, 1_000_000, 512)):
+        monkeypatch.setattr(simhash, "TILE_QUERIES", tile)
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = simhash.with_near(df, F.col("doc_id") % 4 == 0, radius).collect()
+        assert len(got) == len(rows)
+        members = {}
+        for r in got:
+            if r.near_class is not None:
+                members.setdefault(r.near_class, set()).add(r.fingerprint)
+                assert apart(r.near_class, r.fingerprint) <= radius
+        assert members
+        for r in got:
+            if r.doc_id % 4:
+                assert r.near is None and r.near_classes is None and r.near_found is None
+                continue
+            links = [x for x in distinct if x != r.fingerprint and apart(x, r.fingerprint) <= radius]
+            told = r.near + [x for c in r.near_classes for x in members[c] if x != r.fingerprint and apart(x, r.fingerprint) <= radius]
+            assert sorted(told) == links and r.near_found == len(links)
+            assert r.near_copies == sum(x == r.fingerprint for _, x in rows) - 1
+
+
+def test_rows_made_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng = random.Random(6)
+    base = rng.getrandbits(64) >> 1
+    rows = [(i, base ^ sum(1 << j for j in rng.sample(range(62), 6))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint long")
+    counts, scan = [], simhash.near_by_scan
+
+    def counted(*args):
+        pairs = scan(*args)
+        pairs.collect()
+        counts.append(made(pairs))
+        return pairs
+
+    monkeypatch.setattr(simhash, "near_by_scan", counted)
+    got = simhash.with_near(df, F.col("doc_id") % 20 == 0, simhash.NEAR_RADIUS).where("doc_id % 20 = 0").collect()
+    # some 190,000 links
+    assert sum(r.near_found for r in got) > 100_000 and counts[0] <= 2 * len(rows)
