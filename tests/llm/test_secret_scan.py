@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -166,3 +167,81 @@ def test_scores_of_scan_and_training_agree():
     net = secret_scan.CharNet()
     ids = net.ids([secret_scan.windows("x " + "".join(rng.choice(list("abZ01/"), 60)) + " y", 2, 62)[0] for _ in range(50)])
     assert (net.logits(ids) == net.forward(ids)[3]).all()
+
+
+def plain_network(net, ids):
+    """The convolution position by position: symbols, features, where each is, logits."""
+    wide = np.pad(ids.astype(np.int64), ((0, 0), (secret_scan.TAPS // 2,) * 2))
+    response = net.bias + sum(net.filters[k][wide[:, k : k + ids.shape[1]]] for k in range(secret_scan.TAPS))
+    response[ids == 0] = -1e3
+    where = np.concatenate([response[:, lo:hi].argmax(axis=1) + lo for lo, hi in secret_scan.ZONES], axis=1)
+    features = np.concatenate([np.maximum(response[:, lo:hi].max(axis=1), 0.0) for lo, hi in secret_scan.ZONES], axis=1)
+    return wide, features, where, features @ net.out + net.shift
+
+
+def network_and_windows(n, lengths):
+    rng = np.random.default_rng(4)
+    net = secret_scan.CharNet()
+    net.bias[:] = rng.normal(0, 0.3, len(net.bias))
+    letters = list("abcdefghijZQX0189/_+-= \n.é")
+    got = []
+    for _ in range(n):
+        before, inside, after = ("".join(rng.choice(letters, k)) for k in (rng.integers(0, 40), rng.choice(lengths), rng.integers(0, 30)))
+        got += secret_scan.windows(before + inside + after, len(before), len(before) + len(inside))
+    return net, net.ids(got)
+
+
+def test_network_equals_plain_convolution():
+    net, ids = network_and_windows(400, [*range(10, 30), 47, 48, 49, 200])
+    wide, features, where, z = plain_network(net, ids)
+    assert np.allclose(net.logits(ids), z, atol=1e-4)
+    _, got, seen, _ = net.forward(ids)
+    assert np.allclose(got, features, atol=1e-5)
+    rows = np.arange(len(ids))[:, None]
+    assert all((seen[tap] == wide[rows, where + tap])[features > 1e-3].mean() > 0.999 for tap in range(secret_scan.TAPS))
+
+
+def test_step_follows_plain_gradient():
+    net, ids = network_and_windows(200, [10, 12, 22, 23, 48])
+    y, weight = (np.arange(len(ids)) % 2).astype(np.float64), np.ones(len(ids))
+    x = ids.copy()
+    blank = np.random.default_rng(1).random(len(x)) < 0.5
+    x[blank, : secret_scan.BEFORE] = 0
+    x[blank, secret_scan.BEFORE + secret_scan.INSIDE :] = 0
+    wide, features, where, z = plain_network(net, x)
+    d = (1 / (1 + np.exp(-z)) - y) / len(x)
+    expected = np.zeros(net.filters.shape)
+    f = np.arange(features.shape[1]) % secret_scan.FILTERS
+    for tap in range(secret_scan.TAPS):
+        np.add.at(expected[tap], (wide[np.arange(len(x))[:, None], where + tap], f[None, :]), np.outer(d, net.out) * (features > 0))
+    expected[:, 0] = 0
+    moments = net.moments()
+    net.step(ids, y, weight, moments, np.random.default_rng(1), 0.001)
+    assert np.allclose(moments[1][0][0], 0.1 * expected, atol=1e-6)
+
+
+def test_network_takes_less_time_than_plain_convolution():
+    net, ids = network_and_windows(4096, [10, 11, 12, 13])
+    y, weight, moments, rng = np.ones(len(ids)), np.ones(len(ids)), net.moments(), np.random.default_rng(1)
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            at = time.process_time()
+            for k in range(0, len(ids), 256):
+                run(slice(k, k + 256))
+            took.append(time.process_time() - at)
+        return min(took)
+
+    plainly = seconds(lambda k: plain_network(net, ids[k]))
+    assert seconds(lambda k: net.logits(ids[k])) < plainly / 2
+    assert seconds(lambda k: net.step(ids[k], y[k], weight[k], moments, rng, 0.001)) < plainly * 1.5
+
+
+def test_windows_beyond_ascii():
+    text = "é𝄞中\0a" * 300_000 + " abcdefghijklmnop ü"
+    at = text.index("abcdefghij")
+    plainly = bytes(ord(c) if ord(c) < 128 else 255 for c in text[at - secret_scan.BEFORE :])
+    (got,) = secret_scan.windows(text, at, at + 16)
+    inside = secret_scan.BEFORE + secret_scan.INSIDE
+    assert got == plainly[: secret_scan.BEFORE] + b"abcdefghijklmnop".ljust(secret_scan.INSIDE, b"\0") + b" \xff".ljust(len(got) - inside, b"\0")
