@@ -9,7 +9,7 @@ that of sorting nodes and contexts, without k rows for each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
@@ -18,11 +18,30 @@ from strandlake.operators.search import bounds, intervals
 from strandlake.plans import rank, store
 
 
-def contexts(queries: DataFrame, k: int) -> DataFrame:
-    """query_id, pos, context for every character of the queries (query_id, seq)."""
-    padded = queries.select("query_id", F.concat(F.lit(dna.PAD * (k - 1)), dna.sanitised(dna.upper(F.col("seq")))).alias("seq"))
-    cells = dna.windows(padded, "seq", k, "w", ["query_id"], start="pos")
-    return cells.select("query_id", "pos", F.substring_index("w", dna.PAD, -1).alias("context"))
+def padded(queries: DataFrame, k: int, *keep: str) -> DataFrame:
+    """query_id, keep, seq: the queries (query_id, seq) behind k-1 pads, so that they have a window for every character.
+
+    It is written once in as many parts as a shuffle has, whatever files the queries lie in: positions are made of it
+    anew each time they are read, as they are hundreds of times as many rows.
+    """
+    seq = F.concat(F.lit(dna.PAD * (k - 1)), dna.sanitised(dna.upper(F.col("seq"))))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store.written(queries.select("query_id", *keep, seq.alias("seq")).repartition(parts), "padded")
+
+
+def _context(window: str) -> Column:
+    return F.substring_index(window, dna.PAD, -1)
+
+
+def contexts(padded: DataFrame, k: int, offset: str | None = None) -> DataFrame:
+    """query_id, pos (plus offset's value), context for every character of padded queries."""
+    cells = dna.windows(padded, "seq", k, "w", ["query_id"], offset, "pos")
+    return cells.select("query_id", "pos", _context("w").alias("context"))
+
+
+def distinct_contexts(padded: DataFrame, k: int) -> DataFrame:
+    """The distinct contexts of padded queries; windows are made distinct first."""
+    return dna.windows(padded, "seq", k, "w").distinct().select(_context("w").alias("context")).distinct()
 
 
 #: Tables of so many contexts are broadcast to the positions (some 100 bytes each); larger ones are joined by a shuffle.
@@ -45,24 +64,33 @@ def _lengths(index: KmerIndex, distinct: DataFrame, bound: int) -> DataFrame:
     return keys.join(near, "key").select("context", best.cast("int").alias("len"))
 
 
+def _ranges(index: KmerIndex, text: DataFrame, bound: int | None = None) -> DataFrame:
+    """context, len, lo, hi of each distinct context of padded queries."""
+    bound = index.k if bound is None else min(bound, index.k)
+    distinct = store.written(distinct_contexts(text, index.k), "contexts")
+    found = store.written(_lengths(index, distinct, bound), "lengths") if bound else distinct.select("context", F.lit(0).alias("len"))
+    strings = found.select("context", "len", F.expr("right(context, len)").alias("str"))
+    ranges = bounds(index, strings.where("len > 0").select("str"))
+    return strings.join(ranges, "str", "left").select("context", "len", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(index.n_sets())).alias("hi"))
+
+
+def statistics_of(index: KmerIndex, text: DataFrame, bound: int | None = None, offset: str | None = None) -> DataFrame:
+    """query_id, pos (plus offset's value), len, lo, hi of padded queries."""
+    return _back(contexts(text, index.k, offset), _ranges(index, text, bound)).select("query_id", "pos", "len", "lo", "hi")
+
+
 def matching_statistics(index: KmerIndex, queries: DataFrame, bound: int | None = None) -> DataFrame:
     """query_id, pos, len, lo, hi: at each position the longest suffix (at most bound characters) in the index, and its range.
 
     A character that is not ACGT, or that the index doesn't have, gives length 0 and the range of all nodes.
     """
-    bound = index.k if bound is None else min(bound, index.k)
-    at = store.written(contexts(queries, index.k), "contexts")
-    found = store.written(_lengths(index, at.select("context").distinct(), bound), "lengths") if bound else at.select("context", F.lit(0).alias("len")).distinct()
-    strings = found.select("context", "len", F.expr("right(context, len)").alias("str"))
-    ranges = bounds(index, strings.where("len > 0").select("str"))
-    full = strings.join(ranges, "str", "left").select("context", "len", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(index.n_sets())).alias("hi"))
-    return _back(at, full).select("query_id", "pos", "len", "lo", "hi")
+    return statistics_of(index, padded(queries, index.k), bound)
 
 
 def matching_statistics_by_join(index: KmerIndex, queries: DataFrame, bound: int | None = None) -> DataFrame:
     """The same from a table of all suffixes' ranges: k rows a node and a context, good for small k."""
     bound = index.k if bound is None else min(bound, index.k)
-    at = contexts(queries, index.k)
+    at = contexts(padded(queries, index.k), index.k)
     each = at.select("context").distinct().select("context", F.explode(F.sequence(F.lit(0), F.least(F.length("context"), F.lit(bound)))).alias("d")).withColumn("str", F.expr("right(context, d)"))
     met = each.join(intervals(index, list(range(bound + 1))).drop("len"), "str")
     best = met.groupBy("context").agg(F.max(F.struct("d", "lo", "hi")).alias("x"))
@@ -93,15 +121,15 @@ def frequency_bounded_suffixes(index: KmerIndex, queries: DataFrame, t: int) ->
 
     The range of the longest match lies among all others, so its crowd says how short a suffix may be: one string a context.
     """
-    at = store.written(contexts(queries, index.k), "contexts")
-    found = store.written(_lengths(index, at.select("context").distinct(), index.k).withColumn("str", F.expr("right(context, len)")), "longest")
+    text = padded(queries, index.k)
+    found = store.written(_lengths(index, store.written(distinct_contexts(text, index.k), "contexts"), index.k).withColumn("str", F.expr("right(context, len)")), "longest")
     n = index.n_sets()
     top = found.join(bounds(index, found.where("len > 0").select("str")), "str", "left").select("context", "len", F.coalesce("lo", F.lit(0)).alias("colex"))
     top = top.join(store.written(_crowded(index, t), "crowds"), "colex").select("context", "len", (F.col("crowd") + 1).alias("d"))
     best = store.written(top.where("d <= len").select("context", "d", F.expr("right(context, d)").alias("str")), "shortest")
     best = best.join(bounds(index, best.where("d > 0").select("str")), "str", "left")
     best = best.select("context", F.col("d").cast("int").alias("len"), F.coalesce("lo", F.lit(0)).cast("long").alias("lo"), F.coalesce("hi", F.lit(n)).cast("long").alias("hi"))
-    return _back(at, best, "left").select("query_id", "pos", "len", "lo", "hi")
+    return _back(contexts(text, index.k), best, "left").select("query_id", "pos", "len", "lo", "hi")
 
 
 def contract_left(index: KmerIndex, rows: DataFrame, col: str = "str", length: str = "len") -> DataFrame:

@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         if jvm is not None:
@@ -34,7 +34,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted when the driver ends."""
     top = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, top)
+    atexit.register(delete, spark, top)
     return f"{top}/{name}"
 
 
@@ -51,4 +51,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that written() made and that nothing reads any more."""
     for t in tables:
-        _delete(t.sparkSession, t._written_to.rsplit("/", 1)[0])
+        delete(t.sparkSession, t._written_to.rsplit("/", 1)[0])

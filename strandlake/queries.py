@@ -65,10 +65,12 @@ def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_matching_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index_of(spark, sf_dir)
     whole = asked(spark, sf_dir).select("query_id", F.posexplode(F.expr("transform(sequence(0, greatest(length(seq) - 1, 0) div 64), i -> substring(seq, i * 64 + 1, 64))")).alias("chunk_no", "part"))
-    table = store.written(whole.withColumn("chunk_no", F.col("chunk_no").cast("long")).repartition(4), "chunks")
+    # read in two micro-batches, however many files are written at once
+    half = max(2, spark.sparkContext.defaultParallelism // 2)
+    table = store.written(whole.withColumn("chunk_no", F.col("chunk_no").cast("long")).repartition(2 * half), "chunks")
     path = table.inputFiles()[0].rsplit("/", 1)[0]
     top = f"{store.shared_dir(spark)}/strandlake/ms-{id(table)}-{spark.sparkContext.applicationId}"
-    stream = live.read(spark, path, "query_id long, chunk_no long, part string", 2)
+    stream = live.read(spark, path, "query_id long, chunk_no long, part string", half)
     live.matching_statistics(index, stream, f"{top}/out", f"{top}/checkpoint").awaitTermination()
     return spark.read.schema("query_id long, pos long, len int, lo long, hi long, batch long").parquet(f"{top}/out").drop("batch")
 

@@ -119,6 +119,52 @@ def test_streams(spark, tmp_path):
     assert checks.differs(got, whole).count() == 0
 
 
+def test_chunks_of_many_sequences_over_many_batches(spark, tmp_path, monkeypatch):
+    """More batches than one that writes all that is held, most touching few sequences; and no Python per sequence."""
+    rng = random.Random(3)
+    k, alphabet = 5, "ACGTacgtN\U0001f9ec"
+    index = KmerIndex.build(sequences.from_values(spark, ["".join(rng.choices("ACGT", k=300))]), k)
+    texts = {i: "".join(rng.choices(alphabet, weights=[9, 9, 9, 9, 1, 1, 1, 1, 1, 1], k=rng.randint(0, 90))) for i in range(12)}
+    rows = []
+    for i, text in texts.items():
+        cuts = sorted(rng.choices(range(len(text) + 1), k=6))
+        rows += [(i, n, text[a:b] or None) for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(text)]))]
+    rng.shuffle(rows)
+    rows += rng.choices(rows, k=9)  # once more, later
+    schema = "query_id long, chunk_no long, part string"
+    monkeypatch.setattr(live, "WHOLE", 2)
+    n = 5
+    for b in range(n):
+        spark.createDataFrame(rows[len(rows) * b // n : len(rows) * (b + 1) // n], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{b:02}"))
+    chunks = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.matching_statistics(index, chunks, str(tmp_path / "ms"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert "Python" not in q._jsq.explainInternal(True) and "Pandas" not in q._jsq.explainInternal(True)
+    assert sorted(p.name for p in (tmp_path / "cp" / "held").glob("batch=*")) == [f"batch={b}" for b in range(1, n)]
+    nodes = [r.node for r in index.nodes.orderBy("colex").collect()]
+    got = spark.read.schema("query_id long, pos long, len int, lo long, hi long, batch long").parquet(str(tmp_path / "ms"))
+    by = {i: [] for i in texts}
+    for r in got.orderBy("query_id", "pos").collect():
+        by[r.query_id].append((r.pos, (r.len, r.lo, r.hi)))
+    assert by == {i: list(enumerate(naive.matching(nodes, k, t.translate(str.maketrans("acgt", "ACGT"))))) for i, t in texts.items()}
+
+
+def test_a_chunk_without_number_is_an_error(spark):
+    held = spark.createDataFrame([], live.HELD)
+    chunks = spark.createDataFrame([(1, None, "ACG")], "query_id long, chunk_no long, part string")
+    with pytest.raises(Exception, match="no number"):
+        live.advanced(held, chunks, 4).collect()
+
+
+def test_a_retried_batch_reads_what_came_before_it(spark):
+    held = spark.createDataFrame([(1, 1, 5, "CAT", [(2, 0, "GG")], 0), (1, 2, 7, "TTT", [], 1), (2, 1, 3, "AAA", [], 0)], live.HELD)
+    chunks = spark.createDataFrame([(1, 2, "ac"), (1, 4, "C"), (1, 1, "zz")], "query_id long, chunk_no long, part string")
+    row = live.advanced(held, chunks, 4).collect()
+    assert len(row) == 1 and (row[0].expected, row[0].at, row[0].tail, row[0].first, row[0].text) == (3, 9, "TAC", 7, "TTTAC")
+    assert [tuple(x) for x in row[0].waiting] == [(4, 0, "C")]
+    assert live.advanced(held, chunks, 4, True).count() == 2
+
+
 def test_growing_set(spark, tmp_path):
     for i, s in enumerate(SEQS):
         sequences.from_values(spark, [s]).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
