@@ -77,7 +77,7 @@ def lookup(spark, a) -> int:
 
 
 def matching_statistics(spark, a) -> int:
-    lines = matching.ms_lines(matching.matching_statistics(_load(spark, a.index, a), _queries(spark, a.query), a.bound))
+    lines = matching.lines(_load(spark, a.index, a), _queries(spark, a.query), a.bound)
     index_store.write_lines(lines.orderBy("query_id"), a.output, "line", "overwrite")
     return 0
 

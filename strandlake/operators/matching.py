@@ -9,6 +9,11 @@ that of sorting nodes and contexts, without k rows for each.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,7 @@ from strandlake.functions import dna
 from strandlake.operators.index import KmerIndex
 from strandlake.operators.search import bounds, intervals
 from strandlake.plans import rank, store
+from strandlake.shipping import ship
 
 
 def padded(queries: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -148,8 +154,89 @@ def extend_right(index: KmerIndex, rows: DataFrame, col: str = "str", label: str
     return cut.join(found.withColumnRenamed("str", "__s"), "__s", "left").select(*rows.columns, "lo", "hi")
 
 
+def _cell(x: Column) -> Column:
+    return F.concat(F.lit("("), x["len"], F.lit(","), x["lo"], F.lit(".."), x["hi"], F.lit(")"))
+
+
 def ms_lines(stats: DataFrame) -> DataFrame:
     """query_id, line: (len,lo..hi) of all positions, joined by commas."""
     cells = stats.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "len", "lo", "hi"))).alias("r"))
-    one = lambda x: F.format_string("(%d,%d..%d)", x["len"], x["lo"], x["hi"])
-    return cells.select("query_id", F.array_join(F.transform("r", one), ",").alias("line"))
+    return cells.select("query_id", F.array_join(F.transform("r", _cell), ",").alias("line"))
+
+
+#: Cells of so many contexts are sent to the tasks that write lines (some 30 bytes each); with more, positions are rows.
+FEW_CELLS = 1 << 18
+#: Longer contexts don't fit a number of 64 bits with a mark for their length.
+WIDEST = 31
+#: Positions that are worked on at once (more only for a longer sequence).
+AT_ONCE = 1 << 20
+
+
+def _codes(text: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Of each character the context that ends there, as a number: 1, then two bits a character. starts: of sequences."""
+    digit = np.full(256, 4, np.uint8)
+    digit[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    digits = digit[text]
+    place = np.arange(len(text))
+    before = np.where(digits == 4, place, -1)
+    before[starts] = np.maximum(before[starts], starts - 1)
+    size = np.minimum(place - np.maximum.accumulate(before), k)
+    out = np.left_shift(np.uint64(1), (2 * size).astype(np.uint64))
+    for i in range(min(k, len(text))):
+        out[i:] |= np.where(size[i:] > i, digits[: len(digits) - i].astype(np.uint64) << np.uint64(2 * i), np.uint64(0))
+    return out
+
+
+def _line_writer(cells, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of query_id, seq (not empty, of ACGT$) their lines. cells: a broadcast of contexts' codes, in order, and their cells."""
+
+    def lines(ids: pa.Array, seqs: pa.Array) -> pa.RecordBatch:
+        size = pc.binary_length(seqs).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        text = np.frombuffer("".join(seqs.to_pylist()).encode(), np.uint8)
+        codes, words = cells.value
+        found = words.take(pa.array(np.searchsorted(codes, _codes(text, ends - size, k))))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), found), ",")
+        return pa.RecordBatch.from_arrays([ids, joined.cast(seqs.type)], ["query_id", "line"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.binary_length(b.column("seq")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+                part = b.slice(at, to - at)
+                yield lines(part.column("query_id"), part.column("seq"))
+                at = to
+
+    return write
+
+
+def lines(index: KmerIndex, queries: DataFrame, bound: int | None = None) -> DataFrame:
+    """ms_lines() of matching_statistics(). With few contexts a line is put together from its sequence, in Arrow batches.
+
+    Then no position is a row. Queries that share an id are one line, their cells sorted, and take the way by rows.
+    """
+    k = index.k
+    text = padded(queries, k)
+    ranges = store.written(_ranges(index, text, bound), "by_context")
+    by_rows = lambda t: ms_lines(_back(contexts(t, k), ranges))
+    if k > WIDEST or ranges.count() > FEW_CELLS:
+        return by_rows(text)
+    held = ranges.select("context", _cell(F.struct("len", "lo", "hi")).alias("cell")).toArrow()
+    digits = str.maketrans("ACGT", "0123")
+    codes = np.array([int("1" + c.translate(digits), 4) for c in held["context"].to_pylist()], np.uint64)
+    order = np.argsort(codes)
+    cells = index.spark.sparkContext.broadcast((codes[order], held["cell"].combine_chunks().take(pa.array(order))))
+    twice = store.written(text.groupBy("query_id").count().where("count > 1").select("query_id"), "twice")
+    if twice.isEmpty():
+        own, rest = text, None
+    else:
+        same = F.col("query_id").eqNullSafe(F.col("other"))
+        other = twice.withColumnRenamed("query_id", "other")
+        own, rest = text.join(other, same, "left_anti"), text.join(other, same, "left_semi")
+    seqs = own.select("query_id", F.substring("seq", F.lit(k), F.length("seq")).alias("seq")).where("length(seq) > 0")
+    ship(index.spark)
+    id_type = text.schema["query_id"].dataType.simpleString()
+    out = seqs.mapInArrow(_line_writer(cells, k), f"query_id {id_type}, line string")
+    return out if rest is None else out.unionByName(by_rows(rest))

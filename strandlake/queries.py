@@ -282,7 +282,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matching_stats": lambda s, d: matching.matching_statistics(index_of(s, d), asked(s, d)).select("query_id", "pos", F.col("len").cast("long").alias("len"), "lo", "hi"),
     "bounded_matching_stats": lambda s, d: matching.matching_statistics(index_of(s, d), asked(s, d), 4).select("query_id", "pos", F.col("len").cast("long").alias("len"), "lo", "hi"),
     "sfs": lambda s, d: matching.frequency_bounded_suffixes(index_of(s, d), asked(s, d), 3).select("query_id", "pos", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("len", "lo", "hi")]),
-    "ms_lines": lambda s, d: matching.ms_lines(matching.matching_statistics(index_of(s, d), asked(s, d))),
+    "ms_lines": lambda s, d: matching.lines(index_of(s, d), asked(s, d)),
     "set_union": _set_nodes(setops.union),
     "set_intersect": _set_nodes(setops.intersection),
     "set_difference": _set_nodes(setops.difference),

@@ -54,6 +54,26 @@ def test_matching_statistics_against_the_definitions(spark, k):
         assert got == [[x or (None, None, None) for x in naive.shortest(nodes, k, q.upper(), t)] for q in queries]
 
 
+@pytest.mark.parametrize("k, cells", [(3, 99), (9, 999), (9, 5), (31, 999), (32, 999)])
+def test_lines_are_those_of_the_positions(spark, monkeypatch, k, cells):
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(2)]
+    queries = [seqs[0][3:60] + "N" + seqs[1][:40], "", "N", "acgt\U0001f9ecé" + seqs[1], seqs[0], "G"]
+    rows = [(i, q) for i, q in enumerate(queries)] + [(7, None), (4, "TTNA"), (4, ""), (None, "CAT")]
+    index = build(spark, seqs, k)
+    monkeypatch.setattr(matching, "FEW_CELLS", cells)
+    monkeypatch.setattr(matching, "AT_ONCE", 50)
+    asked = spark.createDataFrame(rows, "query_id long, seq string")
+    key = lambda r: (r.query_id is not None, r.query_id)
+    expected = sorted(matching.ms_lines(matching.matching_statistics(index, asked)).collect(), key=key)
+    assert len(expected) == 6 and expected[1].line.startswith("(")
+    assert sorted(matching.lines(index, asked).collect(), key=key) == expected
+    once = matching.lines(index, asked.where("query_id < 4"))
+    assert sorted(once.collect(), key=key) == [r for r in expected if r.query_id is not None and r.query_id < 4]
+    if k <= matching.WIDEST and cells > 5:  # no row a position that is shuffled
+        assert "Exchange" not in once._jdf.queryExecution().toString() and "Generate" not in once._jdf.queryExecution().toString()
+
+
 def test_contraction_and_extension(spark):
     index = build(spark, ["AGGTAAA", "ACAGGTAGGAAAGGAAAGT"], 4)
     cut = spark.createDataFrame([("AGG", n) for n in (3, 2, 1, 0)], "str string, len int")
